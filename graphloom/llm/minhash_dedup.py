@@ -7,9 +7,10 @@ if they agree on two whole collections: a pair at similarity 0.85 does so with p
 with 0.99994. Candidates are then verified on the full shingle sets.
 
 Texts with one and the same shingle set are first collapsed to one row, so groups of exact copies cost
-nothing later. In each bucket (a table's key) the first text is held against all others; only buckets
-whose texts are still apart after that are looked at pair by pair, without the pairs that a leader's
-distances already exclude (the Jaccard distance is a metric). No bucket is capped.
+nothing later. In each bucket (a table's key) the first text is held against all others. Buckets whose
+texts are still in several classes get other leaders, a linear number of pairs each turn, until few pairs
+are left; those are then looked at one by one, without the pairs that the first leader's distances exclude
+(the Jaccard distance is a metric). No bucket is capped and no candidate pair between classes is left out.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from graphloom.llm.words import mix, slices, words
 SHINGLE = 5
 SIMILARITY = 0.85
 COLLECTIONS, WIDTH = 10, 3
+#: Buckets get new leaders, turn by turn, until the pairs left are at most so many times the rows left, or for so many turns.
+PAIRS_PER_ROW, MOST_TURNS = 4, 12
 #: Ids of candidate texts that may be broadcast; beyond that the texts are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -118,6 +121,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (F.col("i") / (F.col("t") - F.col("i"))).alias("jaccard"), (100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).alias("linked"))
 
 
+def _apart(placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of those buckets whose texts are in more than one class."""
+    at = placed.join(classes, placed.rep == classes.node, "left").select("key", "rep", "n", "off", F.coalesce("component", "rep").alias("component"))
+    keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    return at.join(keys, "key", "left_semi")
+
+
+def _led(apart: DataFrame, turn: int) -> DataFrame:
+    """(a, b): a new leader of each bucket, by a hash that is the same in all buckets, with those not in its class."""
+    leader = apart.groupBy("key").agg(F.min_by(F.struct(F.col("rep").alias("leader"), F.col("component").alias("own")), F.xxhash64("rep", F.lit(turn))).alias("x")).select("key", "x.*")
+    return apart.join(leader, "key").where("component != own").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+
+
+def _crossed(apart: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of a bucket that are in different classes, but for those that size or the first leader's distances exclude."""
+    other = apart.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "component", "off")))
+    near = f"rep < rep_b and component != component_b and abs(off - off_b) <= {1 - percent / 100 + 1e-9} and 100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
+    return apart.join(other, "key").where(near).select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, collections: int = COLLECTIONS, width: int = WIDTH) -> DataFrame:
     """(id, n_shingles, component_id, kept): one row per row of docs; other columns of docs play no part.
 
@@ -137,24 +160,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = placed.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1")
     members = staged(placed.join(buckets, "key").select("key", "leader", "rep", "n"), "buckets")
 
-    near_size = f"100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
     led = members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = staged(led, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = staged(_texts_of(docs, ids, shingle), "texts")
     tested = staged(_verified(pairs, texts, percent), "tested")
-    same_set = named.join(alike.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    off = tested.select(F.col("a").alias("leader"), F.col("b").alias("rep"), (1 - F.col("jaccard")).alias("off"))
+    placed = staged(members.join(off, ["leader", "rep"], "left").select("key", "rep", "n", F.coalesce("off", F.lit(0.0)).alias("off")), "placed")
     links = tested.where("linked").select("a", "b")
     classes = staged(components(links), "classes")
-
-    # buckets whose texts are apart: the pairs between classes that were not tested, and that leaders don't exclude
-    at = members.join(classes, members.rep == classes.node, "left").select("key", "leader", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    at = at.join(tested.select(F.col("a").alias("leader"), F.col("b").alias("rep"), (1 - F.col("jaccard")).alias("off")), ["leader", "rep"], "left").withColumn("off", F.coalesce("off", F.lit(0.0)))
-    apart = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    at = staged(at.where("rep != leader").join(apart, "key", "left_semi"), "apart")
-    other = at.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "component", "off")))
-    crossed = at.join(other, "key").where(f"rep < rep_b and component != component_b and abs(off - off_b) <= {1 - percent / 100 + 1e-9} and {near_size}")
-    crossed = crossed.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    later = _verified(staged(crossed, "crossed"), texts, percent).where("linked").select("a", "b")
-    final = components(links.unionByName(later).unionByName(same_set))
+    for turn in range(1, MOST_TURNS + 1):
+        apart = staged(_apart(placed, classes), "apart")
+        count = apart.groupBy("key", "component").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+        rows_left, crossed = count.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.expr("(k * k - kk) / 2")), F.lit(0.0))).first()
+        if not crossed:
+            break
+        last = crossed <= PAIRS_PER_ROW * rows_left or turn == MOST_TURNS
+        new = _crossed(apart, percent) if last else _led(apart, turn)
+        now = staged(_verified(staged(new.join(tested, ["a", "b"], "left_anti"), "pairs"), texts, percent), "tested")
+        tested = tested.unionByName(now)
+        classes = staged(components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(now.where("linked").select("a", "b"))), "classes")
+        if last:
+            break
+    same_set = named.join(alike.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    final = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(same_set))
     return rows.join(final, rows.id == final.node, "left").select(F.col("id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
