@@ -8,9 +8,10 @@ with 0.99994. Candidates are then verified on the full shingle sets.
 
 Texts with one and the same shingle set are first collapsed to one row, so groups of exact copies cost
 nothing later. In each bucket (a table's key) the first text is held against all others. Buckets whose
-texts are still in several classes get other leaders, a linear number of pairs each turn, until few pairs
-are left; those are then looked at one by one, without the pairs that the first leader's distances exclude
-(the Jaccard distance is a metric). No bucket is capped and no candidate pair between classes is left out.
+texts are then still in several classes are looked at pair by pair, without those pairs that bounds exclude
+for certain: by the shingles that no other text of such buckets has (two texts share at most what either
+has in common with any), and by distances to the first text that differ too much (the Jaccard distance is
+a metric). No bucket is capped.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from graphloom.llm.words import mix, slices, words
 SHINGLE = 5
 SIMILARITY = 0.85
 COLLECTIONS, WIDTH = 10, 3
-#: Buckets get new leaders, turn by turn, until the pairs left are at most so many times the rows left, or for so many turns.
-PAIRS_PER_ROW, MOST_TURNS = 4, 12
+#: Times that texts with too many shingles of their own are set aside before the last pairs are formed.
+PRUNINGS = 2
 #: Ids of candidate texts that may be broadcast; beyond that the texts are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -123,21 +124,30 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def _apart(placed: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of those buckets whose texts are in more than one class."""
-    at = placed.join(classes, placed.rep == classes.node, "left").select("key", "rep", "n", "off", F.coalesce("component", "rep").alias("component"))
+    return _mixed(placed.join(classes, placed.rep == classes.node, "left").select("key", "rep", "n", "off", F.coalesce("component", "rep").alias("component")))
+
+
+def _mixed(at: DataFrame) -> DataFrame:
     keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     return at.join(keys, "key", "left_semi")
 
 
-def _led(apart: DataFrame, turn: int) -> DataFrame:
-    """(a, b): a new leader of each bucket, by a hash that is the same in all buckets, with those not in its class."""
-    leader = apart.groupBy("key").agg(F.min_by(F.struct(F.col("rep").alias("leader"), F.col("component").alias("own")), F.xxhash64("rep", F.lit(turn))).alias("x")).select("key", "x.*")
-    return apart.join(leader, "key").where("component != own").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+def _linkable(apart: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Without the texts that hold too many shingles of their own to be linked with any other text here.
+
+    What two texts share is at most what either shares with anyone. So a text whose shingles found in
+    another text are under 85 % of its own cannot reach 0.85 with any of them.
+    """
+    reps = apart.select("rep", "n").distinct()
+    alone = texts.join(reps, texts.id == reps.rep).select("rep", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("k"), F.min("rep").alias("rep")).where("k = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    own = reps.join(alone, "rep", "left").select("rep", F.coalesce("alone", F.lit(0)).alias("own")).where(f"100 * (n - own) >= {percent} * n")
+    return _mixed(apart.drop("own").join(own, "rep"))
 
 
 def _crossed(apart: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of a bucket that are in different classes, but for those that size or the first leader's distances exclude."""
-    other = apart.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "component", "off")))
-    near = f"rep < rep_b and component != component_b and abs(off - off_b) <= {1 - percent / 100 + 1e-9} and 100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
+    """(a, b): all pairs of a bucket that are in different classes, but for those the shingles of their own or the first leader's distances exclude."""
+    other = apart.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "own", "component", "off", "keys")))
+    near = f"rep < rep_b and component != component_b and abs(off - off_b) <= {1 - percent / 100 + 1e-9} and 100 * least(n - own, n_b - own_b) >= {percent} * (n + n_b - least(n - own, n_b - own_b)) and key = array_min(array_intersect(keys, keys_b))"
     return apart.join(other, "key").where(near).select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
@@ -169,19 +179,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = staged(members.join(off, ["leader", "rep"], "left").select("key", "rep", "n", F.coalesce("off", F.lit(0.0)).alias("off")), "placed")
     links = tested.where("linked").select("a", "b")
     classes = staged(components(links), "classes")
-    for turn in range(1, MOST_TURNS + 1):
-        apart = staged(_apart(placed, classes), "apart")
-        count = apart.groupBy("key", "component").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        rows_left, crossed = count.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.expr("(k * k - kk) / 2")), F.lit(0.0))).first()
-        if not crossed:
-            break
-        last = crossed <= PAIRS_PER_ROW * rows_left or turn == MOST_TURNS
-        new = _crossed(apart, percent) if last else _led(apart, turn)
-        now = staged(_verified(staged(new.join(tested, ["a", "b"], "left_anti"), "pairs"), texts, percent), "tested")
-        tested = tested.unionByName(now)
-        classes = staged(components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(now.where("linked").select("a", "b"))), "classes")
-        if last:
-            break
+    apart = staged(_apart(placed, classes), "apart")
+    for _ in range(PRUNINGS):
+        apart = staged(_linkable(apart, texts, percent), "apart")
+    apart = apart.join(alike.select("rep", "keys"), "rep")
+    crossed = staged(_crossed(apart, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+    later = _verified(crossed, texts, percent).where("linked").select("a", "b")
+    classes = classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(later)
     same_set = named.join(alike.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    final = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(same_set))
+    final = components(classes.unionByName(same_set))
     return rows.join(final, rows.id == final.node, "left").select(F.col("id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
