@@ -6,17 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm import mixing
+from graphloom.llm.lm_scoring import score_texts
 from graphloom.llm.minhash_dedup import near_duplicates
 from graphloom.llm.tables import read
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).selectExpr("id as doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_source_mixing": op2_source_mixing,
+    "op8_lm_scoring": op8_lm_scoring,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
 #: DuckDB SQL, for those that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_source_mixing": mixing.SQL}
