@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm import mixing
+from graphloom.llm.language_id import identify
 from graphloom.llm.lm_scoring import score_texts
 from graphloom.llm.minhash_dedup import near_duplicates
+from graphloom.llm.quality import quality_scores
+from graphloom.llm.sampling import fold
 from graphloom.llm.tables import read
 
 
@@ -16,6 +20,16 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).selectExpr("id as doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+    return scores.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) != 2)
+    return found.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -26,6 +40,8 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
+    "op4_quality": op4_quality,
+    "op6_language_id": op6_language_id,
     "op8_lm_scoring": op8_lm_scoring,
     "op10_minhash_dedup": op10_minhash_dedup,
 }

@@ -21,6 +21,10 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
+#: For words(): 0 for blanks, 1 for all else; and with ASCII punctuation as a kind of its own.
+WHOLE = (~BLANK).astype(np.uint8)
+PARTED = WHOLE.copy()
+PARTED[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _CODES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -93,7 +97,8 @@ class Words:
         return self.body[self.starts[i] : self.ends[i]].tobytes().decode("utf-8", "replace")
 
 
-def words(texts: pa.Array, lower: bool = True) -> Words:
+def words(texts: pa.Array, lower: bool = True, kinds: np.ndarray = WHOLE) -> Words:
+    """All words of the texts: runs of bytes of one kind other than 0."""
     body, byte_at = flat(texts)
     codes = _LOWER_CODES if lower else _CODES
     edges = np.unique(byte_at)
@@ -102,13 +107,13 @@ def words(texts: pa.Array, lower: bool = True) -> Words:
     while first < n:
         last = _cut(body, edges, first, min(n, first + CHUNK))
         part = body[first:last]
-        full = np.zeros(len(part) + 2, bool)
-        np.logical_not(BLANK[part], out=full[1:-1])
+        full = np.zeros(len(part) + 2, np.uint8)
+        full[1:-1] = kinds[part]
         split = edges[np.searchsorted(edges, first, "right") : np.searchsorted(edges, last, "left")] - first
-        begin = full[1:-1] & ~full[:-2]
-        begin[split] |= full[split + 1]
-        end = full[1:-1] & ~full[2:]
-        end[split - 1] |= full[split]
+        change = full[1:] != full[:-1]
+        change[split] = True
+        begin = change[:-1] & (full[1:-1] > 0)
+        end = change[1:] & (full[1:-1] > 0)
         s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
         power, inverse = powers(len(part) + 1)
         sums = np.zeros(len(part) + 1, np.uint64)
