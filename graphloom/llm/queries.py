@@ -13,6 +13,7 @@ from graphloom.llm.lm_scoring import score_texts
 from graphloom.llm.minhash_dedup import near_duplicates
 from graphloom.llm.quality import quality_scores
 from graphloom.llm.sampling import fold
+from graphloom.llm.secrets import find_secrets
 from graphloom.llm.tables import read
 
 
@@ -30,6 +31,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(read(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
+    listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))))
+    base = F.sha2(listed(F.filter("spans", lambda s: s.kind != "crf")), 256)
+    return found.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), base.alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -42,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op4_quality": op4_quality,
     "op6_language_id": op6_language_id,
+    "op7_secret_scan": op7_secret_scan,
     "op8_lm_scoring": op8_lm_scoring,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
