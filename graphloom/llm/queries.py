@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import mixing
+from graphloom.llm import licenses, mixing
 from graphloom.llm.language_id import identify
 from graphloom.llm.lm_scoring import score_texts
 from graphloom.llm.minhash_dedup import near_duplicates
@@ -26,6 +26,17 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def license_digest(found: DataFrame) -> DataFrame:
+    at = F.col("base_places.at")
+    joined = lambda labels: F.array_join(labels, ",")
+    every = F.array_sort(F.array_union("base_labels", "found.label"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", F.size(at).cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"), joined("base_labels").alias("base_labels"), joined(every).alias("labels"), "score")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(licenses.scan(read(spark, sf_dir, "documents")))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify(read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) != 2)
     return found.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score")
@@ -50,6 +61,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op4_quality": op4_quality,
+    "op5_license_scan": op5_license_scan,
     "op6_language_id": op6_language_id,
     "op7_secret_scan": op7_secret_scan,
     "op8_lm_scoring": op8_lm_scoring,
