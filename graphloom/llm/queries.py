@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import licenses, mixing
+from graphloom.llm.embedding_dedup import near_vectors
 from graphloom.llm.language_id import identify
 from graphloom.llm.lm_scoring import score_texts
 from graphloom.llm.minhash_dedup import near_duplicates
@@ -15,12 +16,21 @@ from graphloom.llm.quality import quality_scores
 from graphloom.llm.sampling import fold
 from graphloom.llm.secrets import find_secrets
 from graphloom.llm.tables import read
+from graphloom.llm.token_counts import EDITS, count_tokens
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).selectExpr("id as doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits to every document, at places that its id determines: a replacement, a deletion, an insertion."""
+    at = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.length(F.coalesce("text", F.lit(""))) + 1)
+    change = lambda k, cut, new: F.struct(at(k).alias("start"), (at(k) + cut).alias("end"), F.lit(new).alias("text"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.array(change(1, 12, "edited text 42"), change(2, 7, ""), change(3, 0, " don't ")).cast(EDITS).alias("edits"))
+    return count_tokens(docs, "edits").withColumnRenamed("id", "doc_id")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
     return scores.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 3) == 1).alias("held_out"), "score", "predicted")
@@ -54,17 +64,23 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
+    "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
     "op5_license_scan": op5_license_scan,
     "op6_language_id": op6_language_id,
     "op7_secret_scan": op7_secret_scan,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
