@@ -20,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.sampling import first_by_hash, groups
+from graphloom.llm.sampling import first_by_hash, groups, parts_of, summed
 from graphloom.llm.words import PARTED, slices, words
 
 BUCKETS, DIMENSIONS, NONZERO, WINDOW = 2048, 64, 4, 2
 TRAIN_ROWS, HIDDEN, STEPS, RATE, DECAY = 20_000, 24, 400, 0.02, 1e-4
-PARTS = 64
 
 
 def index_vectors() -> np.ndarray:
@@ -42,7 +41,7 @@ def _bucketed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The task's sum of context vectors, in PARTS parts."""
+    """The task's sum of context vectors."""
     near = np.zeros(BUCKETS * BUCKETS, np.int32)
     for part in slices(batches):
         bucket, doc_at = _bucketed(part.column("text"))
@@ -52,22 +51,15 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(near, bucket[:-step][same] * BUCKETS + bucket[step:][same], 1)
     near = near.reshape(BUCKETS, BUCKETS)
     vectors = (near.astype(np.float64) + near.T) @ index_vectors()
-    sums = [x.tobytes() for x in np.split(vectors, PARTS)]
-    yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int64()), pa.array(sums)], names=["part", "sums"])
-
-
-def _total(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py()) for x in table.column("sums"))
-    return pa.table({"part": table.column("part").slice(0, 1), "sums": pa.array([total.tobytes()])})
+    yield parts_of(vectors)
 
 
 def word_vectors(texts: DataFrame) -> np.ndarray:
     """BUCKETS * DIMENSIONS: context directions plus own index vectors, learned from every text."""
-    sums = texts.mapInArrow(_contexts, "part long, sums binary").groupBy("part").applyInArrow(_total, "part long, sums binary").collect()
-    index = index_vectors()
-    if not sums:
+    context, index = summed(texts, _contexts), index_vectors()
+    if context is None:
         return index
-    context = np.concatenate([np.frombuffer(bytes(r.sums)) for r in sorted(sums, key=lambda r: r.part)]).reshape(BUCKETS, DIMENSIONS)
+    context = context.reshape(BUCKETS, DIMENSIONS)
     return context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1) + 0.5 * index
 
 
@@ -125,35 +117,63 @@ def fit(x: np.ndarray, y: np.ndarray) -> Network:
     return net
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(id, score, predicted), one row per row of docs: the calibrated probability of label 1, and whether it is at least 0.5.
+@dataclass
+class Classifier:
+    """Word vectors and a network; without one (labels of one kind) every text gets the labels' share."""
 
-    labels holds id_col and label_col (0 or 1; other values and nulls are left out, differing labels of one id
-    all count); learn, a condition on id_col, says which of its rows to learn from. Only the text feeds a score.
-    A null or empty text scores as a text without words. Labels of one kind, or none, give every row that
-    label's share, 0.5 without labels. Empty table: empty result.
-    """
+    vectors: np.ndarray
+    network: Network | None
+    share: float
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        return self.network.probability(features(texts, self.vectors)) if self.network else np.full(len(texts), self.share)
+
+
+def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> Classifier:
+    """Word vectors from all texts of docs, the network from at most train_rows labelled ones."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     known = labels.where(learn).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     sample = first_by_hash(known, "id", train_rows)
     vectors = word_vectors(texts.select("text"))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batches):
             x = features(part.column("text"), shared.value).astype(np.float32)
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "label", "x"])
 
     # at most train_rows ids of 12 bytes are sent
-    rows = texts.join(F.broadcast(sample), "id").mapInArrow(train, "id long, label int, x binary").collect()
+    rows = texts.join(F.broadcast(sample), "id").mapInArrow(run, "id long, label int, x binary").collect()
     rows.sort(key=lambda r: (r.id, r.label, r.x))
     y = np.array([r.label for r in rows], float)
     net = fit(np.stack([np.frombuffer(bytes(r.x), np.float32) for r in rows]).astype(float), y) if 0 < y.sum() < len(y) else None
-    share = float(y.mean()) if len(y) else 0.5
+    return Classifier(vectors, net, float(y.mean()) if len(y) else 0.5)
+
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(id, score, predicted), one row per row of docs: the calibrated probability of label 1, and whether it is at least 0.5.
+
+    labels holds id_col and label_col (0 or 1; other values and nulls are left out, differing labels of one id
+    all count); learn, a condition on id_col, says which of its rows to learn from. Only the text feeds a score.
+    A null or empty text scores as a text without words. Labels of one kind, or none, give every row that
+    label's share, 0.5 without labels. Empty table: empty result.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, learn, id_col, text_col, label_col, train_rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batches):
-            p = net.probability(features(part.column("text"), shared.value)) if net else np.full(part.num_rows, share)
+            p = shared.value.scores(part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
 
-    return texts.mapInArrow(score, "id long, score double, predicted int")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, "id long, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.5) -> DataFrame:
+    """The rows of docs that score at least least, all columns as they are; judged as they pass, without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, learn, id_col, text_col, label_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in groups(batches, column=text_col):
+            yield part.filter(pa.array(shared.value.scores(part.column(text_col)) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

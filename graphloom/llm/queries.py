@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import licenses, mixing
+from graphloom.llm.decontamination import contaminated
 from graphloom.llm.embedding_dedup import near_vectors
 from graphloom.llm.language_id import identify
 from graphloom.llm.lm_scoring import score_texts
@@ -19,6 +20,11 @@ from graphloom.llm.tables import read
 from graphloom.llm.token_counts import EDITS, count_tokens
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the item: one row per pair."""
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).selectExpr("id as doc_id", "size", "source_size", "target", "taken")
 
@@ -73,6 +79,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_source_mixing": op2_source_mixing,
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,

@@ -1,9 +1,10 @@
-"""Bounded samples of labelled rows for fitting, and texts in groups for dense features."""
+"""Bounded samples of rows for fitting, sums of arrays over tasks, and texts in groups for dense features."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,27 @@ def first_by_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64(key, F.lit(4)), key).limit(most)
 
 
-def groups(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+def groups(batches: Iterator[pa.RecordBatch], rows: int = 256, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Batches of about 4 MB of text and at most so many rows."""
-    for part in slices(batches):
+    for part in slices(batches, column):
         for at in range(0, part.num_rows, rows):
             yield part.slice(at, rows)
+
+
+PARTS = 64
+
+
+def parts_of(array: np.ndarray) -> pa.RecordBatch:
+    """A task's array as PARTS rows, for summed()."""
+    return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int64()), pa.array([x.tobytes() for x in np.array_split(array.reshape(-1).astype(np.float64), PARTS)], pa.binary())], names=["part", "sums"])
+
+
+def _total(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_py()) for x in table.column("sums"))
+    return pa.table({"part": table.column("part").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def summed(df: DataFrame, run) -> np.ndarray | None:
+    """The sum over all tasks of the arrays that run makes of df's partitions (parts_of); None without partitions."""
+    rows = df.mapInArrow(run, "part long, sums binary").groupBy("part").applyInArrow(_total, "part long, sums binary").collect()
+    return np.concatenate([np.frombuffer(bytes(r.sums)) for r in sorted(rows, key=lambda r: r.part)]) if rows else None
