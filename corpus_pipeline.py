@@ -1,6 +1,52 @@
-STAGES = []
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm.decontamination import decontaminate
+from graphloom.llm.minhash_dedup import one_of_each
+from graphloom.llm.mixing import mix
+from graphloom.llm.quality import keep_good
+from graphloom.llm.sampling import fold
+from graphloom.llm.secrets import redact
+from graphloom.llm.tables import read, staged
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return keep_good(docs, read(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    return redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, and how many of their words."""
+    return mix(docs).where("taken > 0").selectExpr("id as doc_id", "source", "size", "source_size", "target", "taken")
+
+
+STAGES = [("quality classifier", quality), ("MinHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("secret scans", secrets), ("mixing", mixing)]
+
+#: The classifier, the field and the retrieval have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
