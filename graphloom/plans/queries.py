@@ -1 +1,309 @@
-QUERIES = {}
+"""One query per operator, over the driver's tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import prompts as P
+from graphloom.functions import text as T
+from graphloom.operators import chunking, extraction, graph, matching, metrics
+from graphloom.sources import io
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+BREAK = "\n\n## **References**\n[1] first entry\n[2] second entry\n\n### Appendix\nmore text"
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query
+def structured_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.structured_text(F.col("text")).alias("s")).select("doc_id", "s.*")
+
+
+@query
+def structured_units(spark, d):
+    units = table(spark, d, "conversations")
+    return units.select("conv_id", "turn", T.structured_text(units.text, min_lines=1).alias("s")).select("conv_id", "turn", "s.*")
+
+
+@query
+def token_shapes(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", T.line_shape(F.col("text")).alias("s"))
+    count = lambda k: F.size(F.filter("s", lambda x: x == k)).cast("long").alias(f"n_{k.lower()}")
+    return docs.select("doc_id", count("D"), count("W"), count("P"))
+
+
+@query
+def references_split(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 == 0, BREAK).when(F.col("doc_id") % 3 == 1, "\n\n**Bibliography**\nlast entry").otherwise("")).alias("text"))
+    return docs.select("doc_id", T.isolate_references(docs.text).alias("r")).select("doc_id", F.md5("r.text").alias("text_md5"), "r.references")
+
+
+@query
+def entity_norm_alnum(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.normalize_alnum(F.concat(F.lit(" Éa-"), "p_name", F.lit(" -"))).alias("norm"))
+
+
+@query
+def entity_norm_hyphen(spark, d):
+    part = table(spark, d, "part")
+    return part.select("p_partkey", T.normalize_hyphen(F.concat("p_name", F.lit(" - multi-task NET-"), "p_size", F.lit("-x  (MTN)"))).alias("norm"))
+
+
+@query
+def names_and_types(spark, d):
+    part = table(spark, d, "part").select("p_partkey", T.node_id(F.concat(F.lit(" "), "p_name", F.lit(" "))).alias("id"), F.explode(T.types_of(F.concat("p_brand", F.lit(", "), "p_type"))).alias("type"))
+    return part.select("*", T.document_name(F.concat(F.lit("doc_"), "id")).alias("doc"), T.file_stem(F.concat(F.lit("/a.b/"), F.col("p_partkey").cast("string"), F.lit(".md"))).alias("stem"))
+
+
+@query
+def text_units(spark, d):
+    return chunking.text_units(table(spark, d, "documents"), 250)
+
+
+@query
+def priming_prefix(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(chunking.priming_prefix(F.col("text"), 50)).alias("prefix_md5"))
+
+
+@query
+def entity_groups(spark, d):
+    part = table(spark, d, "part").select("p_brand", "p_name").distinct()
+    return chunking.entity_groups(part, "p_brand", "p_name", F.lit(9_400))
+
+
+@query
+def document_sample(spark, d):
+    return chunking.sample_documents(table(spark, d, "documents"), "doc_id", 20, 1)
+
+
+@query
+def extract_entities(spark, d):
+    return extraction.extract_entities(chunking.text_units(table(spark, d, "documents"), 250))
+
+
+@query
+def extract_relations(spark, d):
+    return extraction.extract_relations(extract_entities(spark, d))
+
+
+@query
+def classified_entities(spark, d):
+    part = table(spark, d, "part").select(F.col("p_brand").alias("doc"), F.concat("p_name", F.lit(" "), "p_partkey").alias("name"), "p_size")
+    found = extraction.classify(part, part.where("p_size <= 30").select("name", F.when(F.col("p_size") <= 15, "METHOD").otherwise("DOMAIN").alias("class")))
+    merged = extraction.merge_classes(found, "doc")
+    return merged.select("doc", *(F.array_join(c, "|").alias(c) for c in ("method_entities", "domain_entities", "unclassified")))
+
+
+def _relations(spark, d):
+    """User and part names as edges, some of them both ways."""
+    line = table(spark, d, "lineitem").select(F.concat(F.lit("N"), F.col("l_suppkey") % 50).alias("s"), F.concat(F.lit("N"), F.col("l_partkey") % 50).alias("t"), "l_orderkey", "l_linenumber", (F.col("l_quantity") / 5).alias("strength"), F.col("l_returnflag").alias("description"))
+    return line.where("s != t").withColumnsRenamed({"s": "source", "t": "target"})
+
+
+@query
+def kg_nodes(spark, d):
+    part = table(spark, d, "part").select(F.col("p_brand").alias("name"), F.col("p_type").alias("type"), F.col("p_name").alias("description"), F.col("p_partkey").alias("ord"), F.col("p_size").alias("source_index"))
+    nodes = graph.merge_nodes(part, ["ord"])
+    return nodes.select("id", F.md5("type").alias("type_md5"), F.md5("description").alias("description_md5"), F.aggregate("source_index", F.lit(0), lambda a, x: a + x).cast("long").alias("index_sum"))
+
+
+@query
+def kg_nodes_distinct(spark, d):
+    part = table(spark, d, "part").select(F.col("p_brand").alias("name"), F.col("p_type").alias("type"), F.col("p_brand").alias("description"), F.col("p_partkey").alias("ord"), F.col("p_size").alias("source_index"))
+    return graph.merge_nodes(part, ["ord"], distinct=True).select("id", "type", "description")
+
+
+@query
+def kg_edges_directed(spark, d):
+    edges = graph.merge_directed(_relations(spark, d), ["l_orderkey", "l_linenumber"])
+    return edges.select("source", "target", F.round("weight", 9).alias("weight"), F.md5("description").alias("description_md5"))
+
+
+@query
+def kg_edges_undirected(spark, d):
+    edges = graph.fold_undirected(graph.merge_directed(_relations(spark, d), ["l_orderkey", "l_linenumber"]))
+    return edges.select("source", "target", F.round("weight", 9).alias("weight"), F.md5("description").alias("description_md5"))
+
+
+@query
+def kg_counts(spark, d):
+    rel = _relations(spark, d)
+    edges = rel.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct().agg(F.count("*").alias("edges"))
+    return rel.select(F.explode(F.array("source", "target")).alias("n")).distinct().agg(F.count("*").alias("nodes")).join(edges, F.lit(True))
+
+
+def _typed(spark, d):
+    part = table(spark, d, "part")
+    return part.select(F.col("p_partkey").cast("string").alias("id"), F.concat("p_brand", F.lit(", "), "p_type").alias("type")), io.ontology(part.where("p_size <= 25").select(F.col("p_type").alias("name")))
+
+
+def _upper(nodes):
+    return nodes.withColumn("type", F.upper("type"))
+
+
+@query
+def kg_new_types(spark, d):
+    nodes, known = _typed(spark, d)
+    return graph.new_types(_upper(nodes), known)
+
+
+@query
+def kg_nodes_with_new_types(spark, d):
+    nodes, known = _typed(spark, d)
+    own = _upper(nodes)
+    a = graph.nodes_with_new_types(own, known).agg(F.count("*").alias("nodes"))
+    return a.join(graph.nodes_with_new_types(own, known, compat=True).agg(F.count("*").alias("nodes_compat")), F.lit(True))
+
+
+@query
+def strength_quarantine(spark, d):
+    return table(spark, d, "lineitem").groupBy(extraction.in_range(F.col("l_quantity") / 4).alias("valid")).agg(F.count("*").alias("n"))
+
+
+def _sides(spark, d):
+    """Gold: names of parts of even size; extracted: those of sizes divisible by three, spelled otherwise."""
+    part = table(spark, d, "part").withColumn("name", F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 97).cast("string")))
+    gold = part.where("p_size % 2 = 0").select(F.col("name").alias("entity"), F.array("p_brand").alias("types"))
+    found = part.where("p_size % 3 = 0").select(F.when(F.col("p_partkey") % 2 == 0, F.upper("name")).otherwise(F.concat("name", F.lit(" model"))).alias("entity"), F.array("p_type").alias("types"))
+    key = T.normalize_alnum(F.col("entity"))
+    return matching.by_key(gold, key), matching.by_key(found, key)
+
+
+@query
+def match_exact(spark, d):
+    return matching.match_exact(*_sides(spark, d)).select("key")
+
+
+@query
+def type_consistency(spark, d):
+    both = matching.match_exact(*_sides(spark, d))
+    return both.select("key", F.array_join(F.array_sort("gold_types"), "|").alias("gold_types"), F.array_join(F.array_sort("extracted_types"), "|").alias("extracted_types"))
+
+
+@query
+def match_fuzzy(spark, d):
+    return matching.match_fuzzy(*_sides(spark, d))
+
+
+@query
+def match_missed(spark, d):
+    gold, found = _sides(spark, d)
+    return matching.missed(gold, found, matching.match_fuzzy(gold, found)).select("key")
+
+
+@query
+def match_extra(spark, d):
+    gold, found = _sides(spark, d)
+    return matching.extracted_only(gold, found, matching.match_fuzzy(gold, found)).select("key")
+
+
+@query
+def coverage_report(spark, d):
+    gold, found = _sides(spark, d)
+    return matching.coverage(gold, found, matching.match_fuzzy(gold, found))
+
+
+def _named(spark, d):
+    part = table(spark, d, "part")
+    name = F.concat("p_name", F.lit("-net "), (F.col("p_partkey") % 97).cast("string"))
+    kind = F.when(F.col("p_size") % 4 < 2, "METHOD").otherwise("DOMAIN").alias("class")
+    gold = part.where("p_size % 2 = 0").select(name.alias("entity"), kind, F.col("p_partkey").alias("ord"))
+    found = part.where("p_size % 3 = 0").select(F.when(F.col("p_partkey") % 2 == 0, F.upper(name)).otherwise(name).alias("entity"), kind)
+    return gold, found
+
+
+@query
+def validator_exact(spark, d):
+    gold, found = _named(spark, d)
+    v = matching.validate(gold, found.select("entity").distinct(), T.normalize_hyphen)
+    return v.where("kind = 'exact'").select("entity", "gold")
+
+
+@query
+def validator_all(spark, d):
+    gold, found = _named(spark, d)
+    return matching.validate(gold, found.select("entity").distinct(), T.normalize_hyphen)
+
+
+def _counts(spark, d, compat):
+    gold, found = _named(spark, d)
+    exact = validator_exact(spark, d)
+    novel = extraction.novelty(found.select("entity").distinct().join(exact, "entity", "left_anti"), lambda e: (F.length(e) % 10) / 10.0)
+    return metrics.counts(gold, found, matching.matches(exact), novel, compat)
+
+
+@query
+def prf_by_class(spark, d):
+    return metrics.scores(_counts(spark, d, True)).select("class", "gold", "tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("coverage", "precision", "recall", "f1")))
+
+
+@query
+def prf_adjusted(spark, d):
+    return metrics.scores(_counts(spark, d, True)).select("class", "novel", *(F.round(c, 9).alias(c) for c in ("adjusted_precision", "adjusted_recall", "adjusted_f1")))
+
+
+@query
+def prf_strict(spark, d):
+    return metrics.scores(_counts(spark, d, False)).select("class", "tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query
+def novel_entities(spark, d):
+    gold, found = _named(spark, d)
+    left = extraction.adjudicate(found.select("entity").distinct().join(validator_exact(spark, d), "entity", "left_anti"))
+    return left.where("pick = 'NO_MATCH'").select("entity")
+
+
+@query
+def run_spread(spark, d):
+    orders = table(spark, d, "orders")
+    out = metrics.spread(orders, ["o_orderpriority"], "o_totalprice")
+    return out.select("o_orderpriority", "n", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"))
+
+
+@query
+def sweep_grid(spark, d):
+    """Every setting of the sweep with the units that each document has under its limit: one job for all."""
+    grid = spark.range(48).selectExpr("element_at(array(250, 500, 750, 1000), cast(id div 12 as int) + 1) as token_limit", "(id div 6) % 2 = 1 as generic_type_allowance", "(id div 3) % 2 = 1 as priming", "cast(id % 3 as int) as seed")
+    arm = F.expr("if(priming, if(generic_type_allowance, 'A3', 'A1'), if(generic_type_allowance, 'A4', 'A2'))")
+    words = table(spark, d, "documents").select(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("n"))
+    units = words.select(F.explode(F.array(*(F.struct(F.lit(k).alias("token_limit"), F.ceil(F.col("n") / k).alias("units")) for k in (250, 500, 750, 1000)))).alias("u")).groupBy("u.token_limit").agg(F.sum("u.units").alias("units"))
+    return grid.withColumn("arm", arm).join(units, "token_limit")
+
+
+@query
+def prompt_algebra(spark, d):
+    region = table(spark, d, "region")
+    both = P.concat(F.col("r_name"), F.lit("{who} has {{x}}"), F.col("r_name"))
+    return region.select("r_regionkey", both.alias("joined"), P.subtract(both, F.col("r_name")).alias("cut"), P.fill(both, who=F.col("r_regionkey")).alias("filled"))
+
+
+@query
+def prompt_paths(spark, d):
+    name = F.concat(F.lit("PROMPT_"), F.upper(F.replace("n_name", F.lit(" "), F.lit("_"))), F.when(F.col("n_nationkey") % 2 == 0, "_SYSTEM").otherwise("_NOTE"))
+    return table(spark, d, "nation").select("n_nationkey", F.array_join(P.path(name), "/").alias("path"), P.constant_name(F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))), F.lit("role")).alias("constant"))
+
+
+@query
+def resolution_decision(spark, d):
+    part = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("a"), F.when(F.col("p_size") % 3 == 0, F.upper("p_name")).when(F.col("p_size") % 3 == 1, F.concat("p_name", F.lit(" x"))).otherwise(F.lit("other")).alias("b"))
+    same = lambda a, b: (F.when(F.lower(a) == F.lower(b), matching.MERGE).otherwise(matching.DEFER), F.lit(1.0))
+    apart = lambda a, b: (F.when(~F.startswith(F.lower(b), F.lower(a)), matching.NO_MATCH).otherwise(matching.DEFER), F.lit(0.8))
+    return matching.resolve(part, [same, apart]).select("p_partkey", "decision", "confidence")
+
+
+@query
+def document_lookup(spark, d):
+    return io.document(table(spark, d, "documents"), 7).select("doc_id", "text")
