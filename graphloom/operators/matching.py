@@ -75,27 +75,34 @@ def extracted_only(gold: DataFrame, extracted: DataFrame, fuzzy: DataFrame, stri
     return found.join(fuzzy.withColumnRenamed("right", "key").select(*keys), keys, "left_anti") if strict else found
 
 
-def coverage(gold: DataFrame, extracted: DataFrame, fuzzy: DataFrame) -> DataFrame:
+def coverage(gold: DataFrame, extracted: DataFrame, fuzzy: DataFrame, doc: tuple[str, ...] = ()) -> DataFrame:
     """One row: total_gold, direct, fuzzy, missed, coverage_pct."""
-    direct = gold.join(extracted.select("key"), "key", "left_semi").agg(F.count("*").alias("direct"))
+    direct = gold.join(extracted.select(*doc, "key"), [*doc, "key"], "left_semi").agg(F.count("*").alias("direct"))
     both = gold.agg(F.count("*").alias("total_gold")).join(direct, F.lit(True)).join(fuzzy.agg(F.count("*").alias("fuzzy")), F.lit(True))
     pct = F.when(F.col("total_gold") > 0, (F.col("direct") + F.col("fuzzy")) / F.col("total_gold") * 100).otherwise(0.0)
     return both.select("total_gold", "direct", "fuzzy", (F.col("total_gold") - F.col("direct") - F.col("fuzzy")).alias("missed"), pct.alias("coverage_pct"))
 
 
-def validate(gold: DataFrame, extracted: DataFrame, key: Callable[[Column], Column], least: float = 0.85) -> DataFrame:
-    """(entity, kind, gold, score): each extracted entity is exact, fuzzy or left to adjudication.
+def exact_spellings(gold: DataFrame, extracted: DataFrame, key: Callable[[Column], Column]) -> DataFrame:
+    """(entity, gold): extracted entities whose key a gold entity has, with its first spelling."""
+    g = gold.withColumn("key", key(F.col("entity"))).groupBy("key").agg(F.min(F.struct("ord", "entity")).alias("x")).select("key", F.col("x.entity").alias("gold"))
+    return extracted.select("entity", key(F.col("entity")).alias("key")).join(g, "key").select("entity", "gold")
+
+
+def validate(gold: DataFrame, extracted: DataFrame, key: Callable[[Column], Column], least: float = 0.85, doc: tuple[str, ...] = ()) -> DataFrame:
+    """(*doc, entity, kind, gold, score): each extracted entity is exact, fuzzy or left to adjudication.
 
     gold (entity, ord), extracted (entity). Exact: the first gold spelling of the key. Fuzzy: the best key of all,
     if it is close enough and holds the same numbers; that is asked after the best is chosen.
     """
-    g = gold.withColumn("key", key(F.col("entity"))).groupBy("key").agg(F.min(F.struct("ord", "entity")).alias("x")).select("key", F.col("x.entity").alias("gold"))
-    e = extracted.select("entity", key(F.col("entity")).alias("key"))
-    fuzzy = best_matches(e.join(g, "key", "left_anti").select("key").distinct(), g, least).where(numbers(F.col("left")) == numbers(F.col("right")))
-    exact = e.join(g, "key", "left").withColumnRenamed("gold", "exact")
-    near = fuzzy.join(g.withColumnRenamed("key", "right"), "right").select(F.col("left").alias("key"), F.col("gold").alias("near"), "score")
+    g = gold.withColumn("key", key(F.col("entity"))).groupBy(*doc, "key").agg(F.min(F.struct("ord", "entity")).alias("x")).select(*doc, "key", F.col("x.entity").alias("gold"))
+    keys = [*doc, "key"]
+    e = extracted.select(*doc, "entity", key(F.col("entity")).alias("key"))
+    fuzzy = best_matches(e.join(g, keys, "left_anti").select(*keys).distinct(), g, least, doc).where(numbers(F.col("left")) == numbers(F.col("right")))
+    exact = e.join(g, keys, "left").withColumnRenamed("gold", "exact")
+    near = fuzzy.join(g.withColumnRenamed("key", "right"), [*doc, "right"]).select(*doc, F.col("left").alias("key"), F.col("gold").alias("near"), "score")
     kind = F.when(F.col("exact").isNotNull(), "exact").when(F.col("near").isNotNull(), "fuzzy").otherwise("adjudicate")
-    return exact.join(near, "key", "left").select("entity", kind.alias("kind"), F.coalesce("exact", "near").alias("gold"), F.when(F.col("exact").isNotNull(), 1.0).otherwise(F.col("score")).alias("score"))
+    return exact.join(near, keys, "left").select(*doc, "entity", kind.alias("kind"), F.coalesce("exact", "near").alias("gold"), F.when(F.col("exact").isNotNull(), 1.0).otherwise(F.col("score")).alias("score"))
 
 
 def matches(validated: DataFrame, adjudicated: DataFrame | None = None) -> DataFrame:

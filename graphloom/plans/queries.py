@@ -14,6 +14,8 @@ from graphloom.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Evaluation is by document; for parts, a brand stands for one.
+DOC = ("p_brand",)
 BREAK = "\n\n## **References**\n[1] first entry\n[2] second entry\n\n### Appendix\nmore text"
 
 
@@ -172,13 +174,13 @@ def strength_quarantine(spark, d):
     return table(spark, d, "lineitem").groupBy(extraction.in_range(F.col("l_quantity") / 4).alias("valid")).agg(F.count("*").alias("n"))
 
 
-def _sides(spark, d):
-    """Gold: names of parts of even size; extracted: those of sizes divisible by three, spelled otherwise."""
+def _sides(spark, d, doc=()):
+    """Gold: names of parts of even size; extracted: those of sizes divisible by three, spelled otherwise. doc: by brand or not."""
     part = table(spark, d, "part").withColumn("name", F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 97).cast("string")))
-    gold = part.where("p_size % 2 = 0").select(F.col("name").alias("entity"), F.array("p_brand").alias("types"))
-    found = part.where("p_size % 3 = 0").select(F.when(F.col("p_partkey") % 2 == 0, F.upper("name")).otherwise(F.concat("name", F.lit(" model"))).alias("entity"), F.array("p_type").alias("types"))
+    gold = part.where("p_size % 2 = 0").select(*doc, F.col("name").alias("entity"), F.array("p_brand").alias("types"))
+    found = part.where("p_size % 3 = 0").select(*doc, F.when(F.col("p_partkey") % 2 == 0, F.upper("name")).otherwise(F.concat("name", F.lit(" model"))).alias("entity"), F.array("p_type").alias("types"))
     key = T.normalize_alnum(F.col("entity"))
-    return matching.by_key(gold, key), matching.by_key(found, key)
+    return matching.by_key(gold, key, doc=doc), matching.by_key(found, key, doc=doc)
 
 
 @query
@@ -194,47 +196,46 @@ def type_consistency(spark, d):
 
 @query
 def match_fuzzy(spark, d):
-    return matching.match_fuzzy(*_sides(spark, d))
+    return matching.match_fuzzy(*_sides(spark, d, DOC), doc=DOC)
 
 
 @query
 def match_missed(spark, d):
-    gold, found = _sides(spark, d)
-    return matching.missed(gold, found, matching.match_fuzzy(gold, found)).select("key")
+    gold, found = _sides(spark, d, DOC)
+    return matching.missed(gold, found, matching.match_fuzzy(gold, found, doc=DOC), doc=DOC).select(*DOC, "key")
 
 
 @query
 def match_extra(spark, d):
-    gold, found = _sides(spark, d)
-    return matching.extracted_only(gold, found, matching.match_fuzzy(gold, found)).select("key")
+    gold, found = _sides(spark, d, DOC)
+    return matching.extracted_only(gold, found, matching.match_fuzzy(gold, found, doc=DOC), doc=DOC).select(*DOC, "key")
 
 
 @query
 def coverage_report(spark, d):
-    gold, found = _sides(spark, d)
-    return matching.coverage(gold, found, matching.match_fuzzy(gold, found))
+    gold, found = _sides(spark, d, DOC)
+    return matching.coverage(gold, found, matching.match_fuzzy(gold, found, doc=DOC), doc=DOC)
 
 
-def _named(spark, d):
+def _named(spark, d, doc=()):
     part = table(spark, d, "part")
     name = F.concat("p_name", F.lit("-net "), (F.col("p_partkey") % 97).cast("string"))
     kind = F.when(F.col("p_size") % 4 < 2, "METHOD").otherwise("DOMAIN").alias("class")
-    gold = part.where("p_size % 2 = 0").select(name.alias("entity"), kind, F.col("p_partkey").alias("ord"))
-    found = part.where("p_size % 3 = 0").select(F.when(F.col("p_partkey") % 2 == 0, F.upper(name)).otherwise(name).alias("entity"), kind)
+    gold = part.where("p_size % 2 = 0").select(*doc, name.alias("entity"), kind, F.col("p_partkey").alias("ord"))
+    found = part.where("p_size % 3 = 0").select(*doc, F.when(F.col("p_partkey") % 2 == 0, F.upper(name)).otherwise(name).alias("entity"), kind)
     return gold, found
 
 
 @query
 def validator_exact(spark, d):
     gold, found = _named(spark, d)
-    v = matching.validate(gold, found.select("entity").distinct(), T.normalize_hyphen)
-    return v.where("kind = 'exact'").select("entity", "gold")
+    return matching.exact_spellings(gold, found.select("entity").distinct(), T.normalize_hyphen)
 
 
 @query
 def validator_all(spark, d):
-    gold, found = _named(spark, d)
-    return matching.validate(gold, found.select("entity").distinct(), T.normalize_hyphen)
+    gold, found = _named(spark, d, DOC)
+    return matching.validate(gold, found.select(*DOC, "entity").distinct(), T.normalize_hyphen, doc=DOC)
 
 
 def _counts(spark, d, compat):
