@@ -110,3 +110,40 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_w
     out = found.select("id", "n_words", none(base, "array<struct<label: string, at: long>>").alias("base_places"), none(F.col("found"), "array<struct<label: string, at: long, share: double>>").alias("found"))
     score = F.when(F.size("base_places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("found", lambda x: x.share)), F.lit(0.0)))
     return out.select("id", "n_words", "base_places", F.array_sort(F.array_distinct("base_places.label")).alias("base_labels"), "found", score.alias("score"))
+
+
+def _rows(values) -> str:
+    return ", ".join(f"({', '.join(map(repr, v))})" for v in values)
+
+
+def _key_at(notice: list[str], key: list[str]) -> int:
+    return next(k for k in range(len(notice)) if notice[k : k + len(key)] == key)
+
+
+_NOTICE_WORDS = [(label, k, w, int(_key_at(n.split(), key.split()) <= k < _key_at(n.split(), key.split()) + len(key.split()))) for label, n, key in TEMPLATES for k, w in enumerate(n.split())]
+_PHRASES = [(label, *(p.split() + [""])[:3]) for p, label in BASE.items()]
+
+#: The digest's rows (queries.license_digest) in DuckDB SQL, over words as rows.
+SQL = rf"""
+WITH split AS (SELECT row_number() OVER () AS file, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words FROM documents),
+notice(label, k, word, is_key) AS (VALUES {_rows(_NOTICE_WORDS)}),
+phrase(label, first, second, third) AS (VALUES {_rows(_PHRASES)}),
+vocabulary(word) AS (VALUES {_rows((w,) for w in _VOCABULARY)}),
+placed AS (SELECT file, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS place FROM split),
+known AS (SELECT placed.* FROM placed JOIN vocabulary USING (word)),
+frequency AS (SELECT word, count(DISTINCT file) AS n FROM vocabulary LEFT JOIN known USING (word) GROUP BY word),
+idf AS (SELECT word, ln((SELECT count(*) + 1.0::DOUBLE FROM split) / (n + 1)) + 1e-9::DOUBLE AS idf FROM frequency),
+weighted AS (SELECT label, k, word, is_key, idf / sum(idf) OVER (PARTITION BY label) AS share FROM notice JOIN idf USING (word)),
+rare AS (SELECT file, word FROM (SELECT DISTINCT file, word FROM known) JOIN idf USING (word) QUALIFY row_number() OVER (PARTITION BY file ORDER BY idf DESC, word) <= {RARE_WORDS}),
+proposed AS (SELECT DISTINCT known.file, label, place - k AS begins FROM known JOIN rare ON rare.file = known.file AND rare.word = known.word JOIN notice ON notice.word = known.word),
+verified AS (SELECT p.file, p.label, p.begins, sum(CASE WHEN known.word IS NULL THEN 0 ELSE share END) AS share FROM proposed p JOIN weighted t ON t.label = p.label
+    LEFT JOIN known ON known.file = p.file AND known.place = p.begins + t.k AND known.word = t.word GROUP BY ALL HAVING bool_and(known.word IS NOT NULL OR is_key = 0)),
+found AS (SELECT * FROM verified WHERE share >= {LEAST_SHARE}),
+ahead AS (SELECT file, place, word, lead(word, 1) OVER o AS second, lead(word, 2) OVER o AS third FROM placed WINDOW o AS (PARTITION BY file ORDER BY place)),
+base AS (SELECT file, place, label FROM ahead JOIN phrase ON word = first AND ahead.second = phrase.second AND (phrase.third = '' OR ahead.third = phrase.third)),
+places AS (SELECT file, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY file),
+every AS (SELECT file, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT file, label FROM base UNION ALL SELECT file, label FROM found) GROUP BY file),
+best AS (SELECT file, max(least(share, 1)) AS share FROM found GROUP BY file)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE round(coalesce(share, 0.0::DOUBLE), 9) END AS score
+FROM split LEFT JOIN places USING (file) LEFT JOIN every USING (file) LEFT JOIN best USING (file)
+"""

@@ -198,3 +198,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     gone = staged(near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("id").alias(id_col)).distinct(), "gone")
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti").select(docs.columns)
+
+
+#: The same rows in DuckDB SQL: all pairs of texts that share a shingle, and what links reach.
+SQL = r"""
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+placed AS (SELECT doc_id, len(words) AS n_words, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM split),
+runs AS (SELECT doc_id, n_words, place, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS shingle FROM placed WINDOW o AS (PARTITION BY doc_id ORDER BY place)),
+s AS (SELECT DISTINCT doc_id, shingle FROM runs WHERE place <= greatest(n_words - 4, 1)),
+sized AS (SELECT split.doc_id, count(shingle) AS n FROM split LEFT JOIN s USING (doc_id) GROUP BY split.doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS node, b AS other FROM ways UNION SELECT r.node, w.b FROM reach r JOIN ways w ON r.other = w.a),
+lowest AS (SELECT node, min(other) AS low FROM reach GROUP BY node)
+SELECT doc_id, n AS n_shingles, coalesce(least(low, doc_id), doc_id) AS component_id, coalesce(low >= doc_id, TRUE) AS kept FROM sized LEFT JOIN lowest ON node = doc_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import licenses, mixing
+from graphloom.llm import embedding_dedup, licenses, minhash_dedup, mixing
 from graphloom.llm.decontamination import contaminated
 from graphloom.llm.embedding_dedup import near_vectors
 from graphloom.llm.language_id import identify
@@ -46,7 +46,7 @@ def license_digest(found: DataFrame) -> DataFrame:
     at = F.col("base_places.at")
     joined = lambda labels: F.array_join(labels, ",")
     every = F.array_sort(F.array_union("base_labels", "found.label"))
-    return found.select(F.col("id").alias("doc_id"), "n_words", F.size(at).cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"), joined("base_labels").alias("base_labels"), joined(every).alias("labels"), "score")
+    return found.select(F.col("id").alias("doc_id"), "n_words", F.size(at).cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"), joined("base_labels").alias("base_labels"), joined(every).alias("labels"), F.round("score", 9).alias("score"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +92,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL, for those that SQL can express.
-SQL: dict[str, str] = {"op2_source_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op2_source_mixing": mixing.SQL, "op5_license_scan": licenses.SQL, "op9_embedding_dedup": embedding_dedup.SQL, "op10_minhash_dedup": minhash_dedup.SQL}
