@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.sampling import groups
+from graphloom.llm.sampling import groups, spread
 from graphloom.llm.words import LOWER, flat
 
 FEATURES, PER_LANGUAGE, STEPS, PENALTY = 2048, 1500, 120, 1e-4
@@ -122,7 +122,6 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    spread = (F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1_000_003)) / 1_000_003).cast("double")
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(share)
@@ -132,7 +131,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
             x = features(part.column("text")).astype(np.float16)
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "lang", "x"])
 
-    rows = known.where(spread < share).mapInArrow(train, "id long, lang string, x binary").collect() if sizes else []
+    rows = known.where(spread("id", 6) < share).mapInArrow(train, "id long, lang string, x binary").collect() if sizes else []
     rows.sort(key=lambda r: (r.id is None, r.id or 0, r.lang, r.x))
     model = fit(np.stack([np.frombuffer(bytes(r.x), np.float16) for r in rows]).astype(np.float32), np.array([r.lang for r in rows], object)) if rows else None
     del rows

@@ -17,6 +17,16 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def spread(column: str, seed: int) -> Column:
+    """A number in [0, 1) that the column's value determines, fine enough (53 bits) for a share of any table."""
+    return F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 11) / F.lit(2.0**53)
+
+
+def distinct_sample(texts: DataFrame, most: int, total: int, seed: int) -> DataFrame:
+    """About most of total rows of a column text: by hash, each text once, so that copies do not swell the sample."""
+    return texts.where(spread("text", seed) < F.lit(min(1.0, most / max(total, 1)))).distinct()
+
+
 def first_by_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
     """At most this many rows, the same ones each time: those with the smallest hashes of the key."""
     return rows.orderBy(F.xxhash64(key, F.lit(4)), key).limit(most)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.sampling import distinct_sample
 from graphloom.llm.words import slices, words
 
 SAMPLE_DOCS, STEPS, RATE, DECAY, AROUND, LENGTH = 8_000, 120, 0.15, 2e-3, 12, 32
@@ -238,10 +239,8 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, sample_docs: int) -> Field:
-    """docs: one column, text. The sample: texts whose hashes fall under sample_docs in all (about)."""
-    n = docs.count()
-    share = min(1.0, sample_docs / max(n, 1))
-    sampled = docs.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_003)) < F.lit(int(share * 1_000_003)))
+    """docs: one column, text. The sample: texts whose hashes fall under sample_docs in all (about), each once however many copies it has."""
+    sampled = distinct_sample(docs, sample_docs, docs.count(), 7)
     found = sorted((bytes(r.f), bytes(r.tags)) for r in sampled.mapInArrow(_samples, "f binary, tags binary").collect())
     hit = [x for x in found if b"\0" in x[1]]
     rows, tags = _sequences(*map(list, zip(*examples())))
