@@ -1,9 +1,10 @@
 """Licence scans by a positional rare-token index (operator 5). DataFrame functions only.
 
-Templates are licence notices as words. Each file's licence words with the highest inverse document frequency
-(counted over all files) are looked up in the templates' postings; a posting and the word's position propose
-where a template would begin. Proposals are verified in place: the template's words found at their positions
-must hold enough of its total weight, and all words of its mandatory key phrase must be there.
+Templates are licence notices as words. Each template is looked up by the word of its key phrase with the highest
+inverse document frequency (counted over all files): every place of that word proposes where the template would
+begin. No verified template is without that word, so none is lost, however many notices a file holds. Proposals are
+verified in place: the template's words found at their positions must hold enough of its total weight, and all words
+of its mandatory key phrase must be there.
 Fixed phrases (BASE) are found wherever their words stand one after another.
 """
 
@@ -34,6 +35,7 @@ TEMPLATES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 )
+#: RARE_WORDS is of the SQL only, which looks up that many words of a file and so loses notices where several stand.
 RARE_WORDS, LEAST_SHARE = 8, 0.6
 _VOCABULARY = sorted({w for x in (*BASE, *(t for _, t, _ in TEMPLATES)) for w in x.split()})
 #: A text without any of these has neither a base phrase nor a key phrase.
@@ -62,7 +64,11 @@ def _places(words: Column, phrase: str, label: str) -> Column:
     return F.transform(F.filter(F.transform(words, place), lambda p: p.isNotNull()), lambda at: F.struct(F.lit(label).alias("label"), at.alias("at")))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_words: int = RARE_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+def _key_at(notice: list[str], key: list[str]) -> int:
+    return next(k for k in range(len(notice)) if notice[k : k + len(key)] == key)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
     """(id, n_words, base_places, base_labels, found, score), one row per row of docs.
 
     base_places: array<struct<label, at>>; found: array<struct<label, at, share>> of verified templates, at the
@@ -79,20 +85,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_w
     total = rows.count()
     idf = {w: math.log((total + 1) / (counts.get(w, 0) + 1)) + 1e-9 for w in _VOCABULARY}
     words = F.col("words")
-    by_rarity = _literals(sorted(_VOCABULARY, key=lambda w: (-idf[w], w)))
-    rare = F.slice(F.array_intersect(by_rarity, F.col("seen")), 1, rare_words)
     postings: dict[str, list[int]] = {}
-    for t, (_, notice, _) in enumerate(TEMPLATES):
-        for k, w in enumerate(notice.split()):
-            postings.setdefault(w, []).append((t << 32) - k)
+    for t, (_, notice, key) in enumerate(TEMPLATES):
+        own, phrase = notice.split(), key.split()
+        rarest = max(phrase, key=lambda w: (idf[w], w))
+        postings.setdefault(rarest, []).append((t << 32) - _key_at(own, phrase) - phrase.index(rarest))
     # a proposal is one number: the template, and from where it would begin (which may be before the text)
     table = F.create_map(*chain.from_iterable((F.lit(w), F.array(*(F.lit(p).cast("long") for p in ps))) for w, ps in sorted(postings.items())))
     shift = 1 << 31
-    proposed = F.array_distinct(F.flatten(F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(F.col("rare"), w), F.transform(F.element_at(F.col("postings"), w), lambda p: p + i + shift))), lambda x: x.isNotNull())))
+    proposed = F.array_distinct(F.flatten(F.filter(F.transform(words, lambda w, i: F.when(w.isin(*postings), F.transform(F.element_at(F.col("postings"), w), lambda p: p + i + shift))), lambda x: x.isNotNull())))
     weighted = []
     for _, notice, key in TEMPLATES:
         own, phrase = notice.split(), key.split()
-        at = next(k for k in range(len(own)) if own[k : k + len(phrase)] == phrase)
+        at = _key_at(own, phrase)
         whole = sum(idf[w] for w in own)
         weighted.append(F.array(*(F.struct(F.lit(w).alias("word"), F.lit(idf[w] / whole).alias("share"), F.lit(at <= k < at + len(phrase)).alias("key")) for k, w in enumerate(own))))
     labels = _literals([label for label, _, _ in TEMPLATES])
@@ -103,7 +108,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_w
         share = F.aggregate(own, F.lit(0.0), lambda acc, x: acc + F.when(x.here, x.share).otherwise(0.0))
         return F.when(F.forall(own, lambda x: x.here | ~x.key), F.struct(F.get(labels, t).alias("label"), begin.cast("long").alias("at"), F.least(share, F.lit(1.0)).alias("share")))
 
-    held = rows.withColumn("rare", rare).withColumn("postings", table).withColumn("templates", F.array(*weighted))
+    held = rows.withColumn("postings", table).withColumn("templates", F.array(*weighted))
     found = held.withColumn("proposed", proposed).withColumn("found", F.filter(F.transform("proposed", verified), lambda x: x.isNotNull() & (x.share >= least_share)))
     base = F.concat(*(_places(words, phrase, label) for phrase, label in BASE.items()))
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
@@ -116,10 +121,6 @@ def _rows(values) -> str:
     return ", ".join(f"({', '.join(map(repr, v))})" for v in values)
 
 
-def _key_at(notice: list[str], key: list[str]) -> int:
-    return next(k for k in range(len(notice)) if notice[k : k + len(key)] == key)
-
-
 _NOTICE_WORDS = [(label, k, w, int(_key_at(n.split(), key.split()) <= k < _key_at(n.split(), key.split()) + len(key.split()))) for label, n, key in TEMPLATES for k, w in enumerate(n.split())]
 _PHRASES = [(label, *(p.split() + [""])[:3]) for p, label in BASE.items()]
 

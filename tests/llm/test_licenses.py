@@ -46,6 +46,19 @@ def test_odd_texts(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_files_with_several_notices(spark):
+    """Every notice that stands word for word is found, whatever else the file holds, and each at its place."""
+    notices = [n for _, n, _ in licenses.TEMPLATES]
+    pairs = [(a, b) for a in notices for b in notices if a != b]
+    texts = dict(enumerate([" ".join(p) for p in pairs] + [" x ".join(notices), " ".join(reversed(notices * 3))]))
+    docs = spark.createDataFrame([*texts.items(), *((1000 + i, "the of and") for i in range(50))], "doc_id long, text string")
+    found = licenses.scan(docs).where("id < 1000")
+    agree(QUERIES["op5_license_scan"].__globals__["license_digest"](found).collect(), texts)
+    for r in found.collect():
+        want = {(label, len(texts[r.id][: m.start()].split())) for label, n, _ in licenses.TEMPLATES for m in re.finditer(f"(?<![^ ]){n}(?![^ ])", texts[r.id])}
+        assert want <= {(x.label, x.at) for x in r.found}
+
+
 def test_no_python_in_the_plan(spark):
     plan = QUERIES["op5_license_scan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
