@@ -267,6 +267,43 @@ def novel_entities(spark, d):
     return left.where("pick = 'NO_MATCH'").select("entity")
 
 
+def _adjudicated(spark, d):
+    """validator_all, and what a judge picks for what it leaves over."""
+    validated = validator_all(spark, d)
+    return validated, extraction.adjudicate(validated.where("kind = 'adjudicate'").select(*DOC, "entity"))
+
+
+def _counts_all(spark, d, compat):
+    """As _counts, by document and over all kinds of matches: exact, fuzzy and adjudicated."""
+    own = lambda c: F.concat(*DOC, F.lit("\n"), c)
+    gold, found = (x.select(own("entity").alias("entity"), "class") for x in _named(spark, d, DOC))
+    validated, left = _adjudicated(spark, d)
+    unmatched = F.col("pick") == matching.NO_MATCH
+    matches = matching.matches(validated.select(own("gold").alias("gold")), left.select(F.when(unmatched, F.col("pick")).otherwise(own("pick")).alias("pick")))
+    novel = extraction.novelty(left.where(unmatched), lambda e: (F.length(e) % 10) / 10.0).select(own("entity").alias("entity"), "novelty")
+    return metrics.counts(gold, found, matches, novel, compat)
+
+
+@query
+def prf_all_by_class(spark, d):
+    return metrics.scores(_counts_all(spark, d, True)).select("class", "gold", "tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("coverage", "precision", "recall", "f1")))
+
+
+@query
+def prf_all_adjusted(spark, d):
+    return metrics.scores(_counts_all(spark, d, True)).select("class", "novel", *(F.round(c, 9).alias(c) for c in ("adjusted_precision", "adjusted_recall", "adjusted_f1")))
+
+
+@query
+def prf_all_strict(spark, d):
+    return metrics.scores(_counts_all(spark, d, False)).select("class", "tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query
+def novel_entities_all(spark, d):
+    return _adjudicated(spark, d)[1].where(F.col("pick") == matching.NO_MATCH).select(*DOC, "entity")
+
+
 @query
 def run_spread(spark, d):
     orders = table(spark, d, "orders")
