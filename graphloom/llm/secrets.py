@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.sampling import distinct_sample
 from graphloom.llm.words import slices, words
 
-SAMPLE_DOCS, STEPS, RATE, DECAY, AROUND, LENGTH = 8_000, 120, 0.15, 2e-3, 12, 32
+SAMPLE_DOCS, WINDOWS, PER_TEXT, STEPS, RATE, DECAY, AROUND, LENGTH = 8_000, 1_500, 4, 120, 0.15, 2e-3, 12, 32
 #: What the patterns are, in the order in which they are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
@@ -209,10 +209,10 @@ def examples() -> list[tuple[str, list[tuple[int, int]]]]:
     return out
 
 
-def _sequences(texts: list[str], found: list[list[tuple[int, int]]]):
-    """Windows of LENGTH tokens around secrets (or from anywhere): features, tags."""
+def _sequences(texts: list[str], found: list[list[tuple[int, int]]], per_text: int = PER_TEXT):
+    """Windows of LENGTH tokens around secrets (or from anywhere), of a text those with the least hashes: features, tags, hashes of text and place."""
     w, f = token_features(pa.array(texts, pa.string()))
-    rows, tags = [], []
+    rows, tags, ranks = [], [], []
     for i, (text, spans) in enumerate(zip(texts, found)):
         lo, hi = int(w.doc_at[i]), int(w.doc_at[i + 1])
         tag = np.full(hi - lo, O, np.int64)
@@ -224,27 +224,41 @@ def _sequences(texts: list[str], found: list[list[tuple[int, int]]]):
             tag[inside[:1]] = B
         hits = np.flatnonzero(tag == B)
         at = [max(0, int(k) - AROUND) for k in hits] if len(hits) else [zlib.crc32(text[:50].encode()) % max(1, hi - lo - LENGTH)]
-        for k in at[:4]:
+        own = zlib.crc32(text.encode())
+        for rank, k in sorted((zlib.crc32(str(k).encode(), own), k) for k in at)[:per_text]:
             if hi - lo > k:
+                ranks.append(rank)
                 rows.append(f[lo + k : min(hi, lo + k + LENGTH)])
                 tags.append(tag[k : k + LENGTH])
-    return rows, tags
+    return rows, tags, ranks
 
 
-def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
-        texts = part.column("text").to_pylist()
-        rows, tags = _sequences(texts, [[(s[3], s[2]) for s in base_spans(t)] for t in texts])
-        yield pa.RecordBatch.from_arrays([pa.array([r.astype(np.int16).tobytes() for r in rows], pa.binary()), pa.array([t.astype(np.int8).tobytes() for t in tags], pa.binary())], names=["f", "tags"])
+def _samples(per_text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            texts = part.column("text").to_pylist()
+            rows, tags, ranks = _sequences(texts, [[(s[3], s[2]) for s in base_spans(t)] for t in texts], per_text)
+            yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int64()), pa.array([r.astype(np.int16).tobytes() for r in rows], pa.binary()), pa.array([t.astype(np.int8).tobytes() for t in tags], pa.binary())], names=["rank", "f", "tags"])
+
+    return run
+
 
+def training_windows(docs: DataFrame, sample_docs: int, windows: int = WINDOWS, per_text: int = PER_TEXT) -> list[tuple[bytes, bytes]]:
+    """docs: one column, text. The sample: texts whose hashes fall under sample_docs in all (about), each once however many copies it has.
 
-def fit(docs: DataFrame, sample_docs: int) -> Field:
-    """docs: one column, text. The sample: texts whose hashes fall under sample_docs in all (about), each once however many copies it has."""
+    At most windows with secrets, those with the least hashes of text and place, and about as many without; per_text of a text.
+    """
     sampled = distinct_sample(docs, sample_docs, docs.count(), 7)
-    found = sorted((bytes(r.f), bytes(r.tags)) for r in sampled.mapInArrow(_samples, "f binary, tags binary").collect())
+    ranked = sorted((r.rank, bytes(r.f), bytes(r.tags)) for r in sampled.mapInArrow(_samples(per_text), "rank long, f binary, tags binary").collect())
+    found = [x[1:] for x in ranked]
     hit = [x for x in found if b"\0" in x[1]]
-    rows, tags = _sequences(*map(list, zip(*examples())))
-    for a, b in hit[:1500] + [x for x in found if b"\0" not in x[1]][:: max(1, len(found) // 1500)]:
+    return hit[:windows] + [x for x in found if b"\0" not in x[1]][:: max(1, len(found) // max(windows, 1))]
+
+
+def fit(docs: DataFrame, sample_docs: int, windows: int = WINDOWS, per_text: int = PER_TEXT) -> Field:
+    """The field, trained on made-up examples and on training_windows()."""
+    rows, tags, _ = _sequences(*map(list, zip(*examples())))
+    for a, b in training_windows(docs, sample_docs, windows, per_text):
         rows.append(np.frombuffer(a, np.int16).reshape(-1, len(SIZES)).astype(np.int64))
         tags.append(np.frombuffer(b, np.int8).astype(np.int64))
     f, t, mask = np.zeros((len(rows), LENGTH, len(SIZES)), np.int64), np.zeros((len(rows), LENGTH), np.int64), np.zeros((len(rows), LENGTH), bool)
@@ -255,7 +269,7 @@ def fit(docs: DataFrame, sample_docs: int) -> Field:
     return field
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, keep: tuple[str, ...] = ()) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, keep: tuple[str, ...] = (), windows: int = WINDOWS, per_text: int = PER_TEXT) -> DataFrame:
     """(id, spans), with the columns of docs named in keep; one row per row of docs.
 
     spans: array<struct<kind, start, end, value>> by start and then kind (assign, access, hex, crf); start and
@@ -263,7 +277,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty texts have no spans. Repeated rows give repeated results; empty table: empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(k).alias(f"kept_{k}") for k in keep))
-    field = docs.sparkSession.sparkContext.broadcast(fit(rows.select("text"), sample_docs))
+    field = docs.sparkSession.sparkContext.broadcast(fit(rows.select("text"), sample_docs, windows, per_text))
     kept = [f"kept_{k}" for k in keep]
     # the text goes through only where a caller keeps it
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))

@@ -59,3 +59,14 @@ def test_further_secrets_and_odd_rows(spark):
     clean = {r.text for r in secrets.redact(docs).collect()}
     assert clean == {None, "", "see auth: bearer [secret] now", 'é [secret]" ok', long + "[secret]", "plain text", "password=abc [secret]"}
     assert secrets.find_secrets(docs.limit(0)).count() == 0
+
+
+def test_training_windows_are_a_sample(spark):
+    """Not a prefix in byte order: windows that begin with any kind of token are among them."""
+    texts = [f"{lead} {i} password = abc{i:05d}xyz" for i in range(100) for lead in ("lower", "UPPER", "1234", "%%%%")]
+    docs = spark.createDataFrame([(x,) for x in texts], "text string")
+    some = secrets.training_windows(docs, 10_000, windows=100)
+    first = [f[:2] for f, tags in some if b"\0" in tags]
+    assert len(first) == 100 and len(set(first)) == 4 and all(first.count(x) >= 10 for x in set(first))
+    one = spark.createDataFrame([(" and then ".join(f"token = abc{i:05d}xyz" for i in range(20)),)], "text string")
+    assert [len(secrets.training_windows(one, 10, per_text=k)) for k in (3, 4, 20)] == [3, 4, 20]
