@@ -33,7 +33,7 @@ def first_by_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def groups(batches: Iterator[pa.RecordBatch], rows: int = 256, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches of about 4 MB of text and at most so many rows."""
+    """Batches of about 1 MB of text and at most so many rows."""
     for part in slices(batches, column):
         for at in range(0, part.num_rows, rows):
             yield part.slice(at, rows)

@@ -1,11 +1,12 @@
 """Secret scans by a linear-chain conditional random field (operator 7).
 
-Tokens (runs of word characters, runs of punctuation) are tagged B, I or O from their shape, length, hex and
-digit content, keywords and separators before them, and two features of the whole text. The field is trained
-on the driver: on made-up examples, and on windows around what the fixed patterns find (and don't) in a
-bounded sample of documents. Decoding is exact Viterbi: a token whose best secret tag trails O by more than any
-transitions can make up for is O in every best path, so only the short runs between such tokens need the
-recursion. The fixed patterns' own matches are always reported.
+Tokens (runs of word characters, runs of punctuation) are tagged B, I or O from their shape, length, hex, digit and
+vowel content, whether they touch their neighbours, words that name secrets and separators before them, the
+nearest words on either side, and two features of the whole text. The field is trained on the driver: on made-up
+lines with secrets of many kinds (SECRETS) and with what looks like them (LOOKALIKES), and on windows around what
+the fixed patterns find (and don't) in a bounded sample of documents. Decoding is exact Viterbi: a token whose best
+secret tag trails O by more than any transitions can make up for is O in every best path, so only the short runs
+between such tokens need the recursion. The fixed patterns' own matches are always reported.
 """
 
 from __future__ import annotations
@@ -13,23 +14,27 @@ from __future__ import annotations
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.sampling import distinct_sample
 from graphloom.llm.words import slices, words
 
-SAMPLE_DOCS, WINDOWS, PER_TEXT, STEPS, RATE, DECAY, AROUND, LENGTH = 8_000, 1_500, 4, 120, 0.15, 2e-3, 12, 32
+SAMPLE_DOCS, WINDOWS, PER_TEXT, STEPS, RATE, DECAY, AROUND, LENGTH = 8_000, 1_500, 4, 100, 0.15, 1e-3, 12, 32
+#: Made-up lines with a secret that the field learns from; as many with a lookalike, and half as many plain ones.
+EXAMPLES = 1_200
 #: What the patterns are, in the order in which they are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "crf")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-KEYWORDS = "password passwd pwd secret token key apikey api_key auth bearer credential credentials private".split()
+#: Parts of words that name secrets.
+STEMS = ("passw", "pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "private", "signature")
 
 B, I, O = range(3)
 _CLASS = np.zeros(256, np.uint8)  # 1 lower, 2 upper, 4 digit, 8 other
@@ -38,16 +43,29 @@ _CLASS[[*range(58, 65), *range(91, 97), *range(123, 256)]] = 8
 _PARTS = np.ones(256, np.uint8)
 _PARTS[[32, *range(9, 14)]] = 0
 _PARTS[[*range(33, 43), 44, 46, *range(58, 65), 91, 92, 93, 94, 96, *range(123, 127)]] = 2
+_PARTS[61] = 3  # a token apart from the marks beside it: some secrets end with it
 _IS_HEX = np.zeros(256, bool)
 _IS_HEX[[*range(48, 58), *range(97, 103)]] = True
+_IS_VOWEL, _IS_JOINT = np.zeros(256, bool), np.zeros(256, bool)
+_IS_VOWEL[[ord(c) for c in "aeiouyAEIOUY"]], _IS_JOINT[[ord(c) for c in "_-"]] = True, True
 _LENGTHS = np.array([1, 2, 3, 5, 8, 12, 16, 20, 24, 32])
-#: Values of each feature: shape, length, hex and digits, switches between kinds, what stands before, what after, the text.
-SIZES = (16, 11, 10, 5, 12, 4, 6)
-_AT = np.concatenate([[0], np.cumsum(SIZES)])
-
-
-def _keyword_hashes() -> np.ndarray:
-    return np.sort(words(pa.array([" ".join(KEYWORDS)]), kinds=_PARTS).hashes)
+NEIGHBOURS = 4096
+#: Values of each feature: shape, length, hex and digits, switches between kinds, what stands before, what after, the text, touching neighbours, vowels and joints, the nearest word before, after.
+SIZES = (16, 11, 10, 5, 12, 4, 6, 8, 10, NEIGHBOURS, NEIGHBOURS)
+_AT = np.concatenate([[0], np.cumsum(SIZES)]).astype(np.int16)
+
+
+def _named(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each token holds a word that names secrets, whatever its case."""
+    low = body | np.uint8(32)
+    out = np.zeros(len(starts), bool)
+    for stem in STEMS:
+        at = np.flatnonzero(low[: max(len(low) - len(stem) + 1, 0)] == ord(stem[0]))
+        for k, c in enumerate(stem[1:], 1):
+            at = at[low[at + k] == ord(c)]
+        token = np.searchsorted(starts, at, "right") - 1
+        out[token[at + len(stem) <= ends[token]]] = True
+    return out
 
 
 def token_features(texts: pa.Array):
@@ -55,33 +73,57 @@ def token_features(texts: pa.Array):
     w = words(texts, kinds=_PARTS)
     n = len(w.hashes)
     if not n:
-        return w, np.zeros((0, len(SIZES)), np.int64)
-    kind, length = _CLASS[w.body], w.ends - w.starts
-    bits = np.bitwise_or.reduceat(kind, w.starts) if n else kind
-    # reduceat runs on to the next token's start: blanks between are 0
-    count = lambda mask: (c := np.concatenate([[0], np.cumsum(mask, dtype=np.int32)]))[w.ends] - c[w.starts]
+        return w, np.zeros((0, len(SIZES)), np.int16)
+    kind, length = _CLASS[w.body], (w.ends - w.starts).astype(np.int32)
+    bits = np.bitwise_or.reduceat(kind, w.starts)
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        upto = np.concatenate([np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)])
+        return upto[w.ends] - upto[w.starts]
+
     digits, hexes = count(kind == 4), count(_IS_HEX[w.body])
     change = np.zeros(len(kind), bool)
     change[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
     switches = count(change) - change[w.starts]
-    doc = w.doc_of()
-    keys = _keyword_hashes()
-    key = keys[np.minimum(np.searchsorted(keys, w.hashes), len(keys) - 1)] == w.hashes
+    doc = w.doc_of().astype(np.int32)
+    key = _named(w.body, w.starts, w.ends) & (length <= 24)
     first = w.body[w.starts]
     sign = (first == 58) | (first == 61)
     quote = (first == 34) | (first == 39)
-    back = lambda mask, k: np.concatenate([np.zeros(k, bool), (mask[:-k] if k < n else mask[:0]) & (doc[k:] == doc[:-k] if k < n else doc[:0] == 0)])[:n]
+
+    def back(mask: np.ndarray, k: int) -> np.ndarray:
+        out = np.zeros(n, bool)
+        out[k:] = mask[: max(n - k, 0)] & (doc[k:] == doc[: max(n - k, 0)])
+        return out
+
     near_sign = back(sign, 1) | (back(quote, 1) & back(sign, 2))
     near_key = back(key, 1) | back(key, 2) | back(key, 3) | back(key, 4)
-    before = near_sign * 1 + near_key * 2 + back(quote, 1) * 4 + 0
+    before = near_sign * 1 + near_key * 2 + back(quote, 1) * 4
     before = np.where(key, 8 + np.minimum(before, 3), before)
     after = np.concatenate([(doc[1:] == doc[:-1]) * (1 + sign[1:] + 2 * quote[1:] * ~sign[1:]), [0]])
-    texts_of = np.bincount(doc[key & (np.append(sign[1:], False) | np.append(sign[2:], [False, False]))], minlength=len(w.doc_at) - 1) if n > 2 else np.zeros(len(w.doc_at) - 1, int)
-    share = np.bincount(doc, weights=digits, minlength=len(w.doc_at) - 1) / np.maximum(np.diff(w.byte_at), 1)
-    text = (np.minimum(texts_of, 1) * 3 + np.digitize(share, [0.002, 0.03]))[doc]
+    n_texts = len(w.doc_at) - 1
+    assigns = np.zeros(n, bool)
+    for k in (1, 2):
+        assigns[: max(n - k, 0)] |= key[: max(n - k, 0)] & sign[k:] & (doc[k:] == doc[: max(n - k, 0)])
+    held = np.bincount(doc[assigns], minlength=n_texts)
+    share = np.bincount(doc, weights=digits, minlength=n_texts) / np.maximum(np.diff(w.byte_at), 1)
+    text = (np.minimum(held, 1) * 3 + np.digitize(share, [0.002, 0.03]))[doc]
     hexed = (hexes == length) * 5 + np.minimum(digits * 5 // np.maximum(length, 1), 4)
-    out = np.stack([bits, np.searchsorted(_LENGTHS, length, "right"), hexed, np.digitize(switches, [1, 2, 4, 7]), before, np.minimum(after, 3), text], 1).astype(np.int64)
-    return w, out + _AT[:-1]
+    touching = np.zeros(n + 1, bool)
+    touching[1:-1] = (w.starts[1:] == w.ends[:-1]) & (doc[1:] == doc[:-1])
+    mark = _PARTS[first] > 1
+    glue = touching[:-1] * 1 + touching[1:] * 2 + mark * 4
+    letters = count((kind == 1) | (kind == 2))
+    vowels = np.where(letters > 0, np.digitize(count(_IS_VOWEL[w.body]) / np.maximum(letters, 1), [0.12, 0.22, 0.32]), 4)
+    sound = vowels * 2 + (count(_IS_JOINT[w.body]) > 0)
+    # the nearest word on either side; long ones and those with digits count as none in particular
+    own = np.where((digits == 0) & (length <= 14), 2 + (w.hashes >> np.uint64(52)).astype(np.int64) % (NEIGHBOURS - 2), 1)
+    place = np.arange(n)
+    last = np.concatenate([[-1], np.maximum.accumulate(np.where(mark, -1, place))[:-1]])
+    follows = np.concatenate([np.minimum.accumulate(np.where(mark, n, place)[::-1])[::-1][1:], [n]])
+    beside = lambda at: np.where((at >= w.doc_at[doc]) & (at < w.doc_at[doc + 1]), own[np.clip(at, 0, n - 1)], 0)
+    columns = (bits, np.searchsorted(_LENGTHS, length, "right"), hexed, np.digitize(switches, [1, 2, 4, 7]), before, np.minimum(after, 3), text, glue, sound, beside(last), beside(follows))
+    return w, np.stack([c.astype(np.int16) for c in columns], 1) + _AT[:-1]
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, int]]:
@@ -117,36 +159,43 @@ class Field:
         return out
 
     def train(self, f: np.ndarray, tags: np.ndarray, mask: np.ndarray) -> None:
-        """f: sequences * LENGTH * features; Adam on the mean negative log-likelihood, by forward and backward sums."""
+        """f: sequences * LENGTH * features; Adam on the mean negative log-likelihood, by scaled forward and backward sums."""
         count, size = tags.shape
         state = [np.zeros_like(self.w), np.zeros_like(self.w), np.zeros_like(self.t), np.zeros_like(self.t)]
-        flat = f[mask]
-        gold_w = np.zeros_like(self.w)
-        for j in range(f.shape[2]):
-            np.add.at(gold_w, (flat[:, j], tags[mask]), 1)
+        mask = np.ascontiguousarray(mask.T)  # by place: a step of the sums is one row
+        tags = tags.T
+        columns, gold = np.ascontiguousarray(f.transpose(1, 0, 2)[mask].T.astype(np.intp)), tags[mask]
+        cells = len(self.w)
+
+        def sums(weights: np.ndarray) -> np.ndarray:
+            """By feature and tag, the sum of the weights of tokens that have it."""
+            return np.stack([sum(np.bincount(c, weights=x, minlength=cells) for c in columns) for x in np.ascontiguousarray(weights.T)], 1)
+
+        gold_w = sums(np.eye(3)[gold])
         gold_t = np.zeros_like(self.t)
-        np.add.at(gold_t, (np.where(np.arange(size)[None, 1:] > 0, tags[:, :-1], 3)[mask[:, 1:]], tags[:, 1:][mask[:, 1:]]), 1)
-        np.add.at(gold_t, (3, tags[:, 0][mask[:, 0]]), 1)
+        np.add.at(gold_t, (tags[:-1][mask[1:]], tags[1:][mask[1:]]), 1)
+        np.add.at(gold_t, (3, tags[0][mask[0]]), 1)
         for step in range(1, STEPS + 1):
-            e = np.zeros((count, size, 3))
-            e[mask] = self.emissions(flat)
-            alpha, beta = np.zeros_like(e), np.zeros_like(e)
-            alpha[:, 0] = self.t[3] + e[:, 0]
+            e = np.stack([sum(x[c] for c in columns) for x in np.ascontiguousarray(self.w.T)])
+            likely = np.ones((3, size, count))
+            likely[:, mask] = np.exp(e - e.max(0))
+            likely = np.ascontiguousarray(likely.transpose(1, 0, 2))
+            move, start = np.exp(self.t[:3]), np.exp(self.t[3])
+            alpha, beta, scale = np.empty((size, 3, count)), np.ones((size, 3, count)), np.ones((size, count))
+            alpha[0] = start[:, None] * likely[0]
+            alpha[0] /= alpha[0].sum(0)
             for i in range(1, size):
-                ahead = np.logaddexp.reduce(alpha[:, i - 1, :, None] + self.t[None, :3], axis=1) + e[:, i]
-                alpha[:, i] = np.where(mask[:, i, None], ahead, alpha[:, i - 1])
+                ahead = (move.T @ alpha[i - 1]) * likely[i]
+                total = ahead.sum(0)
+                alpha[i] = np.where(mask[i], ahead / total, alpha[i - 1])
+                scale[i] = np.where(mask[i], total, 1)
             for i in range(size - 2, -1, -1):
-                behind = np.logaddexp.reduce(self.t[None, :3] + (e[:, i + 1] + beta[:, i + 1])[:, None, :], axis=2)
-                beta[:, i] = np.where(mask[:, i + 1, None], behind, 0)
-            z = np.logaddexp.reduce(alpha[:, -1], axis=1)
-            p = np.exp(alpha + beta - z[:, None, None])
-            grad_w, grad_t = -gold_w, -gold_t
-            for j in range(f.shape[2]):
-                for s in range(3):
-                    grad_w[:, s] += np.bincount(flat[:, j], weights=p[mask][:, s], minlength=len(grad_w))
-            grad_t[3] += p[:, 0].sum(0)
-            both = np.exp(alpha[:, :-1, :, None] + self.t[None, None, :3] + (e + beta)[:, 1:, None, :] - z[:, None, None, None])
-            grad_t[:3] += both[mask[:, 1:]].sum(0)
+                beta[i] = np.where(mask[i + 1], move @ (likely[i + 1] * beta[i + 1] / scale[i + 1]), 1)
+            p = alpha * beta
+            grad_w, grad_t = sums(p.transpose(0, 2, 1)[mask]) - gold_w, -gold_t
+            grad_t[3] += p[0][:, mask[0]].sum(1)
+            ahead = likely[1:] * beta[1:] / scale[1:, None]
+            grad_t[:3] += move * sum(np.where(m, x, 0) @ y.T for m, x, y in zip(mask[1:], alpha[:-1], ahead))
             for x, g, m, v in ((self.w, grad_w, *state[:2]), (self.t, grad_t, *state[2:])):
                 g = g / count + DECAY * x
                 m += 0.1 * (g - m)
@@ -188,24 +237,88 @@ class Field:
         return out
 
 
-def examples() -> list[tuple[str, list[tuple[int, int]]]]:
-    """Made-up lines, and where the secrets in them are (code points)."""
-    rng, out = random.Random(7), []
-    plain = "the value of this setting was changed on monday see page 12 and version 3.2 for details call 555 0142 in 2024 room b12 total 1,250 items id 48213 ok".split()
-    kinds = ["0123456789abcdef", "ABCDEFGHJKLMNPQRSTUVWXYZ234567", "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"]
-    text = lambda k: " ".join(rng.choice(plain) if rng.random() < 0.6 else "".join(rng.choice("aeiounrstlthdéñß") for _ in range(rng.randrange(2, 14))) for _ in range(k))
-    for _ in range(600):
-        secret = "".join(rng.choice(rng.choice(kinds)) for _ in range(rng.choice([12, 16, 18, 20, 24, 32, 40])))
-        if not any(c.isdigit() for c in secret):
-            secret = secret[:-2] + "37"
-        a, z = text(rng.randrange(0, 9)), text(rng.randrange(0, 9))
-        lead = rng.choice(["password=", "token = \"", "secret: ", "api_key='", "auth: bearer ", "key=", "AKIA", "pwd:", "ghp_", "private key ", ""])
-        line = f"{a} {lead}" if a else lead
-        secret = {"AKIA": "AKIA", "ghp_": "ghp_"}.get(lead, "") + secret
-        line = line[: len(line) - 4] if lead in ("AKIA", "ghp_") else line
-        out.append((f"{line}{secret} {z}", [(len(line), len(line) + len(secret))]))
-        out.append((text(rng.randrange(4, 20)), []))
-        out.append((f"{a} {rng.choice(['password', 'token', 'key', 'secret'])} {rng.choice(['was', 'of', 'is the'])} {z}", []))
+def _chars(rng: random.Random, alphabet: str, least: int, most: int) -> str:
+    return "".join(rng.choice(alphabet) for _ in range(rng.randint(least, most)))
+
+
+_HEX, _LOW, _UP, _NUM = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+_ANY = _LOW + _UP + _NUM
+_WORDS = "hunter summer dragon winter monkey purple coffee tiger rocket silver garden orange shadow falcon marble pepper".split()
+
+
+def _mixed(rng: random.Random, least: int, most: int, alphabet: str = _ANY) -> str:
+    """At least a digit and a letter of either case, however short."""
+    body = list(_chars(rng, alphabet, least, most))
+    for at, kind in zip(rng.sample(range(len(body)), 3), (_NUM, _LOW, _UP)):
+        body[at] = rng.choice(kind)
+    return "".join(body)
+
+
+def _spelled(rng: random.Random) -> str:
+    word = rng.choice(_WORDS)
+    return "".join(rng.choice([word, word.title(), word.replace("e", "3").replace("o", "0")]) + _chars(rng, _NUM, 1, 4) for _ in range(rng.randint(1, 2)))
+
+
+#: Kinds of secrets: what they look like, and what may stand before them.
+SECRETS: dict[str, tuple[Callable[[random.Random], str], tuple[str, ...]]] = {
+    "access": (lambda r: "AKIA" + _chars(r, _UP + "234567", 16, 16), ("", "", "key ", "aws_access_key_id = ", "id: ")),
+    "hex": (lambda r: _chars(r, _HEX, 24, 64), ("password=", "token = \"", "secret: ", "api_key='", "auth: ", "digest key ", "")),
+    "mixed": (lambda r: _mixed(r, 16, 44), ("token = ", "api_key='", "auth: bearer ", "Authorization: Bearer ", "key=", "secret: \"", "client_secret=", "private key ", "bearer ")),
+    "base64": (lambda r: _mixed(r, 30, 60, _ANY + "+/") + "=" * r.randint(0, 2), ("AccountKey=", "secret_key: ", "signature=", "private key ", "aws_secret_access_key = ")),
+    "spelled": (_spelled, ("db_pass: ", "pwd=", "pwd: ", "passwd = ", "password: ", "MYSQL_PWD=", "login pass: ", "admin_password = \"", "user_pass='")),
+    "forge": (lambda r: r.choice(["ghp_", "gho_", "ghs_"]) + _mixed(r, 30, 40), ("", "", "token ", "git clone with ", "export GH=", "use ")),
+    "payments": (lambda r: r.choice(["sk_live_", "sk_test_", "rk_live_"]) + _mixed(r, 20, 34), ("", "", "stripe ", "key: ", "charge with ")),
+    "chat": (lambda r: r.choice(["xoxb-", "xoxp-", "xapp-"]) + _chars(r, _NUM, 10, 12) + "-" + _chars(r, _NUM, 10, 12) + "-" + _mixed(r, 24, 24), ("", "", "slack ", "bot token ", "SLACK=")),
+    "web": (lambda r: "eyJ" + _mixed(r, 14, 34) + ".eyJ" + _mixed(r, 24, 60) + "." + _mixed(r, 30, 44, _ANY + "_-"), ("", "", "jwt ", "Authorization: Bearer ", "session=", "cookie: ")),
+    "maps": (lambda r: "AIza" + _mixed(r, 35, 35, _ANY + "_-"), ("", "", "key=", "maps key ", "?key=")),
+    "lab": (lambda r: "glpat-" + _mixed(r, 20, 20, _ANY + "_-"), ("", "", "ci token ", "PRIVATE-TOKEN: ")),
+    "packages": (lambda r: r.choice(["npm_", "pypi-", "dop_v1_"]) + _mixed(r, 36, 50), ("", "", "publish with ", "_authToken=")),
+    "mail": (lambda r: "SG." + _mixed(r, 22, 22) + "." + _mixed(r, 43, 43), ("", "", "sendgrid ", "api key ")),
+}
+#: What looks like a secret and is none.
+LOOKALIKES: tuple[Callable[[random.Random], str], ...] = (
+    lambda r: f"{r.choice(['order', 'invoice', 'parcel', 'tracking', 'part', 'ticket', 'flight', 'booking', 'serial', 'model', 'ISBN', 'case', 'lot', 'batch', 'SKU'])} {r.choice(['', 'no ', 'number ', '#', 'id '])}{_mixed(r, 6, 18, _UP + _NUM).upper()}",
+    lambda r: f"{r.choice(['id', 'uuid', 'request', 'trace', 'run'])} {_chars(r, _HEX, 8, 8)}-{_chars(r, _HEX, 4, 4)}-{_chars(r, _HEX, 4, 4)}-{_chars(r, _HEX, 4, 4)}-{_chars(r, _HEX, 12, 12)}",
+    lambda r: f"{r.choice(['https://', 'http://', 'www.'])}{_chars(r, _LOW, 4, 12)}.{r.choice(['com', 'org', 'net', 'example.org'])}/{_chars(r, _LOW + '-', 4, 14)}/{_chars(r, _LOW + _NUM + '-', 4, 20)}",
+    lambda r: f"{_chars(r, _LOW, 3, 9)}.{_chars(r, _NUM, 1, 3)}@{_chars(r, _LOW, 3, 8)}{_chars(r, _NUM, 0, 1)}.{r.choice(['example.com', 'org', 'mail.net'])}",
+    lambda r: f"v{r.randint(0, 9)}.{r.randint(0, 30)}.{r.randint(0, 99)}{r.choice(['', '-rc1', '-beta2', '.post3'])}",
+    lambda r: f"20{r.randint(10, 30)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}Z",
+    lambda r: f"/{_chars(r, _LOW, 3, 8)}/{_chars(r, _LOW + '_', 3, 12)}/{_chars(r, _LOW + _NUM, 3, 10)}.{r.choice(['py', 'txt', 'html', 'jpg'])}",
+    lambda r: f"{r.choice(['get', 'set', 'make', 'parse'])}{_chars(r, _LOW, 3, 8).title()}{_chars(r, _LOW, 3, 8).title()}({_chars(r, _LOW, 1, 6)})",
+    lambda r: "_".join(_chars(r, _LOW, 2, 9) for _ in range(r.randint(2, 4))) + f" = {r.randint(0, 5000)}",
+    lambda r: f"{r.choice(['+44 ', '+1-', '0'])}{_chars(r, _NUM, 3, 4)}{r.choice(['-', ' '])}{_chars(r, _NUM, 3, 4)}{r.choice(['-', ' '])}{_chars(r, _NUM, 3, 4)}",
+    lambda r: "-".join(_chars(r, _NUM, 4, 4) for _ in range(4)),
+    lambda r: f"{r.choice(['password', 'token', 'key', 'secret', 'pass', 'auth', 'bearer'])} {r.choice(['was', 'of', 'is the', 'for', 'and', 'reset', 'required', 'field', 'holder'])}",
+    lambda r: f"{r.choice(['monkey', 'keyboard', 'author', 'passage', 'privately', 'turkey', 'tokenizer', 'passenger'])}{r.choice([': ', ' = ', ' '])}{_chars(r, _LOW, 3, 9)}",
+    lambda r: f"#{_chars(r, _HEX, 6, 6)}",
+    lambda r: f"{r.choice(['commit', 'revision', 'build'])} {_chars(r, _HEX, 7, 10)}",
+    lambda r: ":".join(_chars(r, _HEX, 2, 2) for _ in range(6)),
+    lambda r: f"{r.choice(['width', 'colour', 'name', 'status', 'level', 'title', 'sort', 'page'])}{r.choice(['=', ': ', ' = '])}{r.choice([_chars(r, _LOW, 3, 12), _chars(r, _NUM, 1, 6)])}",
+    lambda r: _chars(r, _LOW, 14, 34),
+    lambda r: _chars(r, _NUM, 6, 16),
+    lambda r: r.choice(["***", "####", "$$$ ", "%%% ", "&&&"]) + _chars(r, _NUM, 4, 12) + r.choice(["", "***", "###"]),
+)
+_PLAIN = "the value of this setting was changed on monday see page 12 and version 3.2 for details call 555 0142 in 2024 room b12 total 1,250 items id 48213 ok".split()
+
+
+def prose(rng: random.Random, n: int) -> str:
+    return " ".join(rng.choice(_PLAIN) if rng.random() < 0.4 else _chars(rng, "aeiounrstlthdéñß", 2, 13) for _ in range(n))
+
+
+def examples(count: int = EXAMPLES, seed: int = 7, without: tuple[str, ...] = (), only: tuple[str, ...] = ()) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Made-up lines, and where the secrets in them are (code points); kinds of SECRETS may be left out."""
+    rng, out = random.Random(seed), []
+    kinds = [k for k in (only or SECRETS) if k not in without]
+    for k in range(count):
+        make, leads = SECRETS[kinds[k % len(kinds)]]
+        secret, lead = make(rng), rng.choice(leads)
+        line = " ".join(x for x in (prose(rng, rng.randrange(0, 9)), lead) if x)
+        line += "" if lead else " " * bool(line)
+        close = lead[-1] if lead and lead[-1] in "\"'" else rng.choice(["", "", "", ",", ";", ". ", "\n"])
+        out.append((f"{line}{secret}{close} {prose(rng, rng.randrange(0, 9))}", [(len(line), len(line) + len(secret))]))
+        out.append((f"{prose(rng, rng.randrange(0, 9))} {rng.choice(LOOKALIKES)(rng)}{rng.choice(['', '', ',', '.'])} {prose(rng, rng.randrange(0, 9))}", []))
+        if k % 2:
+            out.append((prose(rng, rng.randrange(4, 20)), []))
     return out
 
 
@@ -238,7 +351,7 @@ def _samples(per_text: int):
         for part in slices(batches):
             texts = part.column("text").to_pylist()
             rows, tags, ranks = _sequences(texts, [[(s[3], s[2]) for s in base_spans(t)] for t in texts], per_text)
-            yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int64()), pa.array([r.astype(np.int16).tobytes() for r in rows], pa.binary()), pa.array([t.astype(np.int8).tobytes() for t in tags], pa.binary())], names=["rank", "f", "tags"])
+            yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([t.astype(np.int8).tobytes() for t in tags], pa.binary()), pa.array([bool((t == B).any()) for t in tags], pa.bool_())], names=["rank", "f", "tags", "hit"])
 
     return run
 
@@ -246,22 +359,20 @@ def _samples(per_text: int):
 def training_windows(docs: DataFrame, sample_docs: int, windows: int = WINDOWS, per_text: int = PER_TEXT) -> list[tuple[bytes, bytes]]:
     """docs: one column, text. The sample: texts whose hashes fall under sample_docs in all (about), each once however many copies it has.
 
-    At most windows with secrets, those with the least hashes of text and place, and about as many without; per_text of a text.
+    At most windows with secrets and as many without, those with the least hashes of text and place; per_text of a text.
     """
-    sampled = distinct_sample(docs, sample_docs, docs.count(), 7)
-    ranked = sorted((r.rank, bytes(r.f), bytes(r.tags)) for r in sampled.mapInArrow(_samples(per_text), "rank long, f binary, tags binary").collect())
-    found = [x[1:] for x in ranked]
-    hit = [x for x in found if b"\0" in x[1]]
-    return hit[:windows] + [x for x in found if b"\0" not in x[1]][:: max(1, len(found) // max(windows, 1))]
-
-
-def fit(docs: DataFrame, sample_docs: int, windows: int = WINDOWS, per_text: int = PER_TEXT) -> Field:
-    """The field, trained on made-up examples and on training_windows()."""
-    rows, tags, _ = _sequences(*map(list, zip(*examples())))
-    for a, b in training_windows(docs, sample_docs, windows, per_text):
-        rows.append(np.frombuffer(a, np.int16).reshape(-1, len(SIZES)).astype(np.int64))
+    sampled = distinct_sample(docs, sample_docs, docs.count(), 7).mapInArrow(_samples(per_text), "rank long, f binary, tags binary, hit boolean")
+    least = lambda rows: rows.orderBy("rank", "f", "tags").limit(windows)
+    return [(bytes(r.f), bytes(r.tags)) for r in least(sampled.where("hit")).unionByName(least(sampled.where("not hit"))).collect()]
+
+
+def fit(docs: DataFrame | None, sample_docs: int = SAMPLE_DOCS, windows: int = WINDOWS, per_text: int = PER_TEXT, made_up: int = EXAMPLES, without: tuple[str, ...] = ()) -> Field:
+    """The field, trained on made-up examples and on training_windows() of docs (none: examples alone)."""
+    rows, tags, _ = _sequences(*map(list, zip(*examples(made_up, without=without))))
+    for a, b in training_windows(docs, sample_docs, windows, per_text) if docs is not None else ():
+        rows.append(np.frombuffer(a, np.int16).reshape(-1, len(SIZES)))
         tags.append(np.frombuffer(b, np.int8).astype(np.int64))
-    f, t, mask = np.zeros((len(rows), LENGTH, len(SIZES)), np.int64), np.zeros((len(rows), LENGTH), np.int64), np.zeros((len(rows), LENGTH), bool)
+    f, t, mask = np.zeros((len(rows), LENGTH, len(SIZES)), np.int16), np.zeros((len(rows), LENGTH), np.int64), np.zeros((len(rows), LENGTH), bool)
     for i, (r, g) in enumerate(zip(rows, tags)):
         f[i, : len(r)], t[i, : len(g)], mask[i, : len(g)] = r, g, True
     field = Field()
@@ -269,56 +380,92 @@ def fit(docs: DataFrame, sample_docs: int, windows: int = WINDOWS, per_text: int
     return field
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, keep: tuple[str, ...] = (), windows: int = WINDOWS, per_text: int = PER_TEXT) -> DataFrame:
-    """(id, spans), with the columns of docs named in keep; one row per row of docs.
+def tagged(field: Field, texts: pa.Array):
+    """The tokens, and (text, start, end) of each tagged secret, in bytes of its text. A blank ends a secret."""
+    w, f = token_features(texts)
+    tags = field.tags(f, w.doc_at)
+    at = np.flatnonzero(tags != O)
+    if not len(at):
+        return w, []
+    doc = np.searchsorted(w.doc_at, at, "right") - 1
+    new = np.ones(len(at), bool)
+    new[1:] = (tags[at[1:]] == B) | (w.starts[at[1:]] != w.ends[at[:-1]]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1
+    wordy = np.logical_or.reduceat(_PARTS[w.body[w.starts[at]]] == 1, first)
+    spans = zip(doc[first].tolist(), (w.starts[at[first]] - w.byte_at[doc[first]]).tolist(), (w.ends[at[last]] - w.byte_at[doc[first]]).tolist())
+    return w, [s for s, ok in zip(spans, wordy) if ok]
+
+
+def spans_of(field: Field, texts: pa.Array) -> dict[int, tuple[str, list[tuple[str, int, int]]]]:
+    """By text that has some: the text, and (kind, start, end) of its secrets by start and then kind, in code points."""
+    w, found = tagged(field, texts)
+    own: dict[int, list[tuple[int, int]]] = {}
+    for i, a, z in found:
+        own.setdefault(i, []).append((a, z))
+    out = {}
+    for i in sorted({*map(int, _may_match(texts, w.body, w.byte_at)), *own}):
+        raw = w.body[w.byte_at[i] : w.byte_at[i + 1]]
+        text = raw.tobytes().decode("utf-8", "replace")
+        spans = [s[:3] for s in base_spans(text)]
+        if i in own:
+            places = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32)])
+            more = [("crf", int(places[a]), int(places[z])) for a, z in own[i]]
+            spans += [t for t in more if not any(s[1] <= t[1] and t[2] <= s[2] for s in spans)]
+        if spans:
+            out[i] = (text, sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]))))
+    return out
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, windows: int = WINDOWS, per_text: int = PER_TEXT) -> DataFrame:
+    """(id, spans): one row per row of docs; its other columns, whatever their names, play no part.
 
     spans: array<struct<kind, start, end, value>> by start and then kind (assign, access, hex, crf); start and
     end in code points, end exclusive. crf spans that lie within a pattern's match are not repeated. Null and
-    empty texts have no spans. Repeated rows give repeated results; empty table: empty result.
+    empty texts have no spans; texts of any length are read whole. Of paths that score alike, the one that tags B
+    before I before O is taken. Repeated rows give repeated results, a null id is kept; empty table: empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(k).alias(f"kept_{k}") for k in keep))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     field = docs.sparkSession.sparkContext.broadcast(fit(rows.select("text"), sample_docs, windows, per_text))
-    kept = [f"kept_{k}" for k in keep]
-    # the text goes through only where a caller keeps it
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            column = part.column("text")
-            w, f = token_features(column)
-            tags = field.value.tags(f, w.doc_at)
-            spans: list[list] = [[] for _ in range(part.num_rows)]
-            at = np.flatnonzero(tags != O)
-            begins = at[(tags[at] == B) | np.append(True, (np.diff(at) > 1) | (np.searchsorted(w.doc_at, at[1:], "right") != np.searchsorted(w.doc_at, at[:-1], "right")))[: len(at)]] if len(at) else at
-            own: dict[int, list[tuple[int, int]]] = {}
-            for k, b in enumerate(begins):
-                i = int(np.searchsorted(w.doc_at, b, "right")) - 1
-                stop = min(int(begins[k + 1]) if k + 1 < len(begins) else len(tags), int(w.doc_at[i + 1]))
-                last = b
-                while last + 1 < stop and tags[last + 1] == I:
-                    last += 1
-                own.setdefault(i, []).append((int(w.starts[b] - w.byte_at[i]), int(w.ends[last] - w.byte_at[i])))
-            for i in {*map(int, _may_match(column, w.body, w.byte_at)), *own}:
-                raw = w.body[w.byte_at[i] : w.byte_at[i + 1]].tobytes()
-                text = raw.decode("utf-8", "replace")
-                base = base_spans(text)
-                places = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) if i in own else None
-                tagged = [("crf", int(places[a] - 1), int(places[z - 1])) for a, z in own.get(i, [])]
-                every = [s[:3] for s in base] + [t for t in tagged if not any(s[1] <= t[1] and t[2] <= s[2] for s in base)]
-                spans[i] = [{"kind": k, "start": a, "end": z, "value": text[a:z]} for k, a, z in sorted(every, key=lambda s: (s[1], KINDS.index(s[0])))]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(spans, kind), *(part.column(k) for k in kept)], names=["id", "spans", *kept])
-
-    schema = ", ".join(["id long, spans array<struct<kind: string, start: long, end: long, value: string>>", *(f"`{k}` {t}" for k, t in rows.select(*kept).dtypes)])
-    return rows.mapInArrow(run, schema)
-
-
-def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", mark: str = "[secret]") -> DataFrame:
-    """docs with each secret replaced by a mark, overlapping spans by one. All other columns as they are."""
-    found = find_secrets(docs, id_col, text_col, keep=tuple(docs.columns))
-    joined = F.expr("""aggregate(spans, cast(array() as array<struct<a: long, z: long>>), (acc, s) -> if(size(acc) > 0 and s.start < element_at(acc, -1).z,
-        concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'z', greatest(element_at(acc, -1).z, s.end)))), concat(acc, array(named_struct('a', s.start, 'z', s.end)))))""")
-    text = F.col(f"kept_{text_col}")
-    cut = F.expr(f"""concat(array_join(transform(joined, (s, i) -> substring(`kept_{text_col}`, cast(if(i = 0, 0, joined[i - 1].z) as int) + 1, cast(s.a - if(i = 0, 0, joined[i - 1].z) as int))), '{mark}'), '{mark}',
-        substring(`kept_{text_col}`, cast(element_at(joined, -1).z as int) + 1))""")
-    cleaned = found.withColumn("joined", joined).withColumn("cleaned", F.when(F.size("joined") > 0, cut).otherwise(text))
-    return cleaned.select(*(F.col("cleaned").alias(c) if c == text_col else F.col(f"kept_{c}").alias(c) for c in docs.columns))
+            found = spans_of(field.value, part.column("text"))
+            spans = [[{"kind": k, "start": a, "end": z, "value": found[i][0][a:z]} for k, a, z in found[i][1]] if i in found else [] for i in range(part.num_rows)]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(spans, kind)], names=["id", "spans"])
+
+    return rows.mapInArrow(run, "id long, spans array<struct<kind: string, start: long, end: long, value: string>>")
+
+
+def without_spans(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
+    """The text with each span replaced by the mark, overlapping ones by one."""
+    out, done = [], 0
+    for _, a, z in spans:
+        if a >= done:
+            out += [text[done:a], mark]
+        done = max(done, z)
+    return "".join(out) + text[done:]
+
+
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """docs with each secret replaced by a mark, overlapping spans by one; one row per row of docs.
+
+    All other columns pass as they are, whatever their names. Null texts stay null and empty ones empty, texts of any
+    length are read whole, and repeated rows stay as often as they occur. Empty table: empty result.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    field = docs.sparkSession.sparkContext.broadcast(fit(docs.select(text.alias("text")), sample_docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col):
+            column = part.column(text_col)
+            found = spans_of(field.value, column)
+            if found:
+                hit = np.zeros(part.num_rows, bool)
+                hit[list(found)] = True
+                clean = pa.array([without_spans(*found[i], mark) for i in sorted(found)], column.type)
+                part = part.set_column(part.schema.get_field_index(text_col), text_col, pc.replace_with_mask(column, pa.array(hit), clean))
+            yield part
+
+    return docs.mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 20
-SLICE = 4 << 20
+SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
