@@ -191,12 +191,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(final, rows.id == final.node, "left").select(F.col("id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that are kept: of each class of near-duplicates, those with its smallest id. All columns as they are.
 
+    Null and wordless texts stay; so do rows with a null id. Rows of one id stay or go together. Empty table: empty result.
     The ids that go are few beside the rest; up to BROADCAST_IDS of them are sent to the texts, more are joined by a shuffle.
     """
-    gone = staged(near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("id").alias(id_col)).distinct(), "gone")
+    gone = staged(near_duplicates(docs, id_col, text_col, similarity).where("not kept").select(F.col("id").alias(id_col)).distinct(), "gone")
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti").select(docs.columns)
 
 

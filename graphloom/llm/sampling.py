@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,20 +40,34 @@ def groups(batches: Iterator[pa.RecordBatch], rows: int = 256, column: str = "te
             yield part.slice(at, rows)
 
 
-PARTS = 64
+#: Arrays are summed in PARTS pieces, first over SALTS groups of tasks and then over these.
+PARTS, SALTS = 64, 32
 
 
 def parts_of(array: np.ndarray) -> pa.RecordBatch:
     """A task's array as PARTS rows, for summed()."""
-    return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int64()), pa.array([x.tobytes() for x in np.array_split(array.reshape(-1).astype(np.float64), PARTS)], pa.binary())], names=["part", "sums"])
+    salt = TaskContext.get().partitionId() % SALTS
+    return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int64()), pa.array([salt] * PARTS, pa.int64()), pa.array([x.tobytes() for x in np.array_split(array.reshape(-1).astype(np.float64), PARTS)], pa.binary())], names=["part", "salt", "sums"])
 
 
-def _total(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py()) for x in table.column("sums"))
-    return pa.table({"part": table.column("part").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of this task's pieces, added up as they come: never more than one array of each in memory."""
+    totals: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for part, salt, x in zip(*(c.to_pylist() for c in batch.columns)):
+            own = totals.setdefault((part, salt), np.zeros(len(x) // 8))
+            own += np.frombuffer(x)
+    rows = [(part, salt, x.tobytes()) for (part, salt), x in totals.items()]
+    for part, salt, x in rows:
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([salt], pa.int64()), pa.array([x], pa.binary())], names=["part", "salt", "sums"])
 
 
 def summed(df: DataFrame, run) -> np.ndarray | None:
-    """The sum over all tasks of the arrays that run makes of df's partitions (parts_of); None without partitions."""
-    rows = df.mapInArrow(run, "part long, sums binary").groupBy("part").applyInArrow(_total, "part long, sums binary").collect()
-    return np.concatenate([np.frombuffer(bytes(r.sums)) for r in sorted(rows, key=lambda r: r.part)]) if rows else None
+    """The sum over all tasks of the arrays that run makes of df's partitions (parts_of); None without partitions.
+
+    Two steps, so that no task reads a row of every task: by piece and group of tasks, then by piece.
+    """
+    schema = "part long, salt long, sums binary"
+    rows = df.mapInArrow(run, schema).repartition("part", "salt").mapInArrow(_total, schema)
+    whole = rows.withColumn("salt", F.lit(0).cast("long")).repartition("part").mapInArrow(_total, schema).collect()
+    return np.concatenate([np.frombuffer(bytes(r.sums)) for r in sorted(whole, key=lambda r: r.part)]) if whole else None

@@ -1,6 +1,7 @@
+import numpy as np
 from pyspark.sql import functions as F
 
-from graphloom.llm.sampling import distinct_sample, spread
+from graphloom.llm.sampling import distinct_sample, parts_of, spread, summed
 
 
 def test_copies_do_not_swell_the_sample(spark):
@@ -19,3 +20,17 @@ def test_all_rows_where_the_table_is_small(spark):
 def test_shares_finer_than_a_millionth(spark):
     low, high, few = spark.range(1_000_000).select(spread("id", 3).alias("x")).agg(F.min("x"), F.max("x"), F.count(F.when(F.col("x") < 2e-5, 1))).first()
     assert 0 <= low < 1e-4 and 1 - 1e-4 < high < 1 and 5 <= few <= 40
+
+
+def test_sums_over_tasks(spark):
+    def run(batches):
+        total = np.zeros(100)
+        for batch in batches:
+            for x in batch.column("id").to_pylist():
+                total[x % 100] += x
+        yield parts_of(total)
+
+    want = np.bincount(np.arange(5000) % 100, weights=np.arange(5000))
+    for tasks in (1, 7, 150):
+        assert (summed(spark.range(0, 5000, 1, tasks), run) == want).all()
+    assert (summed(spark.range(0), run) == 0).all()
