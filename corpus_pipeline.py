@@ -13,6 +13,9 @@ from graphloom.llm.sampling import fold
 from graphloom.llm.secrets import redact
 from graphloom.llm.tables import read, staged
 
+#: The share of shingles that near-duplicates have in common, for this pipeline's second stage.
+SIMILARITY = 0.8
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -21,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return one_of_each(docs)
+    return one_of_each(docs, similarity=SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
