@@ -75,12 +75,27 @@ def extracted_only(gold: DataFrame, extracted: DataFrame, fuzzy: DataFrame, stri
     return found.join(fuzzy.withColumnRenamed("right", "key").select(*keys), keys, "left_anti") if strict else found
 
 
-def coverage(gold: DataFrame, extracted: DataFrame, fuzzy: DataFrame, doc: tuple[str, ...] = ()) -> DataFrame:
-    """One row: total_gold, direct, fuzzy, missed, coverage_pct."""
-    direct = gold.join(extracted.select(*doc, "key"), [*doc, "key"], "left_semi").agg(F.count("*").alias("direct"))
-    both = gold.agg(F.count("*").alias("total_gold")).join(direct, F.lit(True)).join(fuzzy.agg(F.count("*").alias("fuzzy")), F.lit(True))
+def coverage(gold: DataFrame, extracted: DataFrame, fuzzy: DataFrame, doc: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, total_gold, direct, fuzzy, missed, coverage_pct): one row for all, or one for each of by (columns of doc, the columns that keys are compared within)."""
+    keys = [*doc, "key"]
+    marked = gold.join(extracted.select(*keys, F.lit(1).alias("direct")).distinct(), keys, "left").join(fuzzy.select(*doc, F.col("left").alias("key"), F.lit(1).alias("fuzzy")).distinct(), keys, "left")
+    sums = marked.groupBy(*by).agg(F.count("*").alias("total_gold"), F.count("direct").alias("direct"), F.count("fuzzy").alias("fuzzy"))
     pct = F.when(F.col("total_gold") > 0, (F.col("direct") + F.col("fuzzy")) / F.col("total_gold") * 100).otherwise(0.0)
-    return both.select("total_gold", "direct", "fuzzy", (F.col("total_gold") - F.col("direct") - F.col("fuzzy")).alias("missed"), pct.alias("coverage_pct"))
+    return sums.select(*by, "total_gold", "direct", "fuzzy", (F.col("total_gold") - F.col("direct") - F.col("fuzzy")).alias("missed"), pct.alias("coverage_pct"))
+
+
+def match_counts(validated: DataFrame, adjudicated: DataFrame, by: tuple[str, ...] = (), compat: bool = True) -> DataFrame:
+    """(*by, exact, fuzzy, adjudicated, matches, novel): what a validation found, in all or for each of by.
+
+    adjudicated: (*by, entity, pick). matches are distinct gold entities. compat counts as novel every entity that was
+    adjudicated, as observed; otherwise those that the judge found no match for.
+    """
+    none = F.col("pick") == NO_MATCH
+    kinds = validated.select(*by, F.col("gold"), *((F.col("kind") == k).cast("int").alias(k) for k in ("exact", "fuzzy")), F.lit(0).alias("adjudicated"), F.lit(0).alias("unmatched"))
+    judged = adjudicated.select(*by, F.when(~none, F.col("pick")).alias("gold"), F.lit(0).alias("exact"), F.lit(0).alias("fuzzy"), F.lit(1).alias("adjudicated"), none.cast("int").alias("unmatched"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    sums = kinds.unionByName(judged).groupBy(*by).agg(total("exact"), total("fuzzy"), total("adjudicated"), F.countDistinct("gold").alias("matches"), total("unmatched"))
+    return sums.select(*by, "exact", "fuzzy", "adjudicated", "matches", F.col("adjudicated" if compat else "unmatched").alias("novel"))
 
 
 def exact_spellings(gold: DataFrame, extracted: DataFrame, key: Callable[[Column], Column]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries that it can express (the similarity matches have none)."""
+"""DuckDB SQL for the queries that it can express."""
 
 from __future__ import annotations
 
@@ -51,6 +51,26 @@ r AS (SELECT *, CASE WHEN gold > 0 THEN tp / gold ELSE 0 END AS c_, CASE WHEN tp
 """
 
 
+# the longest block two strings share (the first of equals): 1000 * length - its place in a; x <= 0: none
+_BLOCK = "list_max(list_transform(range(1, len({0}) + 1), lambda i: 1000 * coalesce(list_max(list_filter(range(1, len({0}) - i + 2), lambda k: contains({1}, substr({0}, i, k)))), 0) - i))"
+# Ratcliff-Obershelp: the blocks of what is left and right of each block, until none is shared
+_RATIO = f"""cand AS (SELECT row_number() OVER () AS p, * FROM pairs),
+seg AS (SELECT p, a, b, {_BLOCK.format("a", "b")} AS x FROM cand
+    UNION ALL SELECT p, na, nb, {_BLOCK.format("na", "nb")} FROM (SELECT p, unnest([substr(a, 1, i - 1), substr(a, i + k)]) AS na, unnest([substr(b, 1, j - 1), substr(b, j + k)]) AS nb
+        FROM (SELECT *, instr(b, substr(a, i, k)) AS j FROM (SELECT *, (x + 999) // 1000 AS k, ((x + 999) // 1000) * 1000 - x AS i FROM seg WHERE x > 0))) WHERE na <> '' AND nb <> ''),
+ratio AS (SELECT doc, a, b, 2.0::DOUBLE * shared / (len(a) + len(b)) AS score FROM cand JOIN (SELECT p, CAST(sum((x + 999) // 1000) AS BIGINT) AS shared FROM seg WHERE x > 0 GROUP BY p) USING (p))"""
+_BY_DOC = f"""p AS (SELECT *, p_name || ' ' || (p_partkey % 97) AS name FROM part), g AS (SELECT DISTINCT p_brand AS doc, {_ALNUM.format("name")} AS key FROM p WHERE p_size % 2 = 0),
+f AS (SELECT DISTINCT p_brand AS doc, {_ALNUM.format("CASE WHEN p_partkey % 2 = 0 THEN upper(name) ELSE name || ' model' END")} AS key FROM p WHERE p_size % 3 = 0),
+rest AS (SELECT * FROM g ANTI JOIN f USING (doc, key)), pairs AS (SELECT rest.doc, rest.key AS a, f.key AS b FROM rest JOIN f USING (doc) WHERE 2 * least(len(rest.key), len(f.key)) >= 0.7 * (len(rest.key) + len(f.key))),
+{_RATIO}, fuzzy AS (SELECT doc, a AS key, arg_min(b, (-score, b)) AS "right", max(score) AS score FROM ratio WHERE score >= 0.7 GROUP BY doc, a)"""
+_VALID = rf"""p AS (SELECT *, p_name || '-net ' || (p_partkey % 97) AS name, CASE WHEN p_size % 4 < 2 THEN 'METHOD' ELSE 'DOMAIN' END AS class FROM part), g AS (SELECT p_brand AS doc, name AS entity, class, p_partkey AS ord FROM p WHERE p_size % 2 = 0),
+f AS (SELECT p_brand AS doc, CASE WHEN p_partkey % 2 = 0 THEN upper(name) ELSE name END AS entity, class FROM p WHERE p_size % 3 = 0),
+gk AS (SELECT doc, {_HYPHEN.format("entity")} AS key, arg_min(entity, (ord, entity)) AS gold FROM g GROUP BY 1, 2), e AS (SELECT DISTINCT doc, entity, {_HYPHEN.format("entity")} AS key FROM f),
+rest AS (SELECT DISTINCT doc, key FROM e ANTI JOIN gk USING (doc, key)), pairs AS (SELECT rest.doc, rest.key AS a, gk.key AS b FROM rest JOIN gk USING (doc) WHERE 2 * least(len(rest.key), len(gk.key)) >= 0.85 * (len(rest.key) + len(gk.key))),
+{_RATIO}, best AS (SELECT doc, a AS key, arg_min(b, (-score, b)) AS b, max(score) AS score FROM ratio WHERE score >= 0.85 GROUP BY doc, a),
+near AS (SELECT best.doc, best.key, gk.gold, score FROM best JOIN gk ON gk.doc = best.doc AND gk.key = best.b WHERE regexp_extract_all(best.key, '\d+(?:\.\d+)?') = regexp_extract_all(best.b, '\d+(?:\.\d+)?')),
+val AS (SELECT e.doc, entity, CASE WHEN gk.gold IS NOT NULL THEN 'exact' WHEN near.gold IS NOT NULL THEN 'fuzzy' ELSE 'adjudicate' END AS kind, coalesce(gk.gold, near.gold) AS gold, CASE WHEN gk.gold IS NOT NULL THEN 1.0::DOUBLE ELSE score END AS score
+    FROM e LEFT JOIN gk USING (doc, key) LEFT JOIN near USING (doc, key))"""
 _F1 = "CASE WHEN {0} + {1} > 0 THEN 2 * {0} * {1} / ({0} + {1}) ELSE 0 END"
 SQL: dict[str, str] = {
     "structured_text": _structured("documents", "doc_id", 3),
@@ -94,4 +114,29 @@ SELECT token_limit, generic_type_allowance, priming, seed, CASE WHEN priming THE
     "prompt_paths": """SELECT n_nationkey, replace(upper(replace(n_name, ' ', '_')), '_', '/') || CASE WHEN n_nationkey % 2 = 0 THEN '/system' ELSE '/NOTE' END AS path, 'PROMPT_' || array_to_string(list_transform(string_split(lower(replace(n_name, ' ', '_')), '_'), lambda s: upper(s[1]) || lower(s[2:])), '') || '_ROLE' AS constant FROM nation""",
     "resolution_decision": "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'MERGE' WHEN 1 THEN 'DEFER' ELSE 'NO_MATCH' END AS decision, CAST(CASE p_size % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE 0.8 END AS DOUBLE) AS confidence FROM part",
     "document_lookup": "SELECT doc_id, text FROM documents WHERE doc_id = 7",
+    "match_fuzzy": f"""WITH RECURSIVE {_BY_DOC} SELECT doc AS p_brand, key AS "left", "right", score FROM fuzzy""",
+    "match_missed": f"WITH RECURSIVE {_BY_DOC} SELECT doc AS p_brand, key FROM rest ANTI JOIN fuzzy USING (doc, key)",
+    "match_extra": f"WITH RECURSIVE {_BY_DOC} SELECT doc AS p_brand, key FROM f ANTI JOIN g USING (doc, key) ANTI JOIN fuzzy USING (doc, key)",
+    "coverage_report": f"""WITH RECURSIVE {_BY_DOC}, n AS (SELECT (SELECT count(*) FROM g) AS total_gold, (SELECT count(*) FROM g SEMI JOIN f USING (doc, key)) AS direct, (SELECT count(*) FROM fuzzy) AS fuzzy)
+SELECT *, total_gold - direct - fuzzy AS missed, CASE WHEN total_gold > 0 THEN (direct + fuzzy) / total_gold * 100 ELSE 0.0::DOUBLE END AS coverage_pct FROM n""",
+    "coverage_by_document": f"""WITH RECURSIVE {_BY_DOC}, n AS (SELECT g.doc AS p_brand, count(*) AS total_gold, count(f.key) AS direct, count(fuzzy.key) AS fuzzy FROM g LEFT JOIN f USING (doc, key) LEFT JOIN fuzzy USING (doc, key) GROUP BY 1)
+SELECT *, total_gold - direct - fuzzy AS missed, round((direct + fuzzy) / total_gold * 100, 9) AS coverage_pct FROM n""",
+    "validator_all": f"WITH RECURSIVE {_VALID} SELECT doc AS p_brand, entity, kind, gold, score FROM val",
+    "match_metadata": f"""WITH RECURSIVE {_VALID} SELECT doc AS p_brand, count(*) FILTER (kind = 'exact') AS exact, count(*) FILTER (kind = 'fuzzy') AS fuzzy, count(*) FILTER (kind = 'adjudicate') AS adjudicated, count(DISTINCT gold) AS matches, count(*) FILTER (kind = 'adjudicate') AS novel
+FROM val GROUP BY doc""",
+    "novel_entities_all": f"WITH RECURSIVE {_VALID} SELECT doc AS p_brand, entity FROM val WHERE kind = 'adjudicate'",
+    "prf_by_document": f"""WITH RECURSIVE {_VALID}, gc AS (SELECT DISTINCT doc, entity, class FROM g), fc AS (SELECT DISTINCT doc, entity, class FROM f), ms AS (SELECT DISTINCT doc, gold AS entity FROM val WHERE gold IS NOT NULL),
+nov AS (SELECT doc, entity FROM val WHERE kind = 'adjudicate' AND (length(entity) % 10) / 10.0 >= 0.7), c AS (SELECT doc, class FROM gc UNION SELECT doc, class FROM fc),
+parts AS (SELECT doc, class, 1 AS gold, CAST(EXISTS (SELECT 1 FROM ms WHERE ms.doc = gc.doc AND ms.entity = gc.entity) AS INT) AS tp, 0 AS fp, CAST(NOT EXISTS (SELECT 1 FROM fc WHERE fc.doc = gc.doc AND fc.entity = gc.entity AND fc.class = gc.class) AS INT) AS fn, 0 AS novel FROM gc
+    UNION ALL SELECT doc, class, 0, 0, 1, 0, 0 FROM f WHERE NOT EXISTS (SELECT 1 FROM gc WHERE gc.doc = f.doc AND gc.entity = f.entity AND gc.class = f.class)
+    UNION ALL SELECT doc, class, 0, 0, 0, 0, 1 FROM fc SEMI JOIN nov USING (doc, entity)),
+s AS (SELECT doc, class, CAST(sum(gold) AS BIGINT) AS gold, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(novel) AS BIGINT) AS novel
+    FROM (SELECT * FROM parts UNION ALL SELECT doc, class, 0, 0, 0, 0, 0 FROM c) GROUP BY GROUPING SETS ((doc, class), (doc))),
+r AS (SELECT *, CASE WHEN gold > 0 THEN tp / gold ELSE 0 END AS c_, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p_, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r_, CASE WHEN tp + fp > 0 THEN (tp + novel) / (tp + fp) ELSE 0 END AS ap_, CASE WHEN gold + novel > 0 THEN (tp + novel) / (gold + novel) ELSE 0 END AS ar_ FROM s)
+SELECT doc AS p_brand, class, gold, tp, fp, fn, novel, round(c_, 9) AS coverage, round(p_, 9) AS precision, round(r_, 9) AS recall, round({_F1.format('p_', 'r_')}, 9) AS f1, round(ap_, 9) AS adjusted_precision, round(ar_, 9) AS adjusted_recall, round({_F1.format('ap_', 'ar_')}, 9) AS adjusted_f1 FROM r""",
+    "kg_graphs_by_document": f"""WITH {_REL}, dir AS (SELECT description AS doc, source, target, avg(strength) AS weight FROM rel GROUP BY ALL), e AS (SELECT doc, least(source, target) AS a, greatest(source, target) AS b, sum(weight) AS weight FROM dir GROUP BY 1, 2, 3),
+n AS (SELECT doc, count(*) AS nodes FROM (SELECT doc, a AS id FROM e UNION SELECT doc, b FROM e) GROUP BY doc)
+SELECT doc, nodes, edges, weight FROM n JOIN (SELECT doc, count(*) AS edges, round(sum(weight), 6) AS weight FROM e GROUP BY doc) USING (doc)""",
+    "kg_nodes_unlike_evaluated": """WITH a AS (SELECT DISTINCT p_brand, upper(p_name) AS id FROM part WHERE p_size > 3), b AS (SELECT DISTINCT p_brand, upper(trim(p_name)) AS id FROM part WHERE p_size < 48)
+SELECT *, 'evaluation' AS missing_from FROM a ANTI JOIN b USING (p_brand, id) UNION ALL SELECT *, 'graph' FROM b ANTI JOIN a USING (p_brand, id)""",
 }

@@ -217,6 +217,12 @@ def coverage_report(spark, d):
     return matching.coverage(gold, found, matching.match_fuzzy(gold, found, doc=DOC), doc=DOC)
 
 
+@query
+def coverage_by_document(spark, d):
+    gold, found = _sides(spark, d, DOC)
+    return matching.coverage(gold, found, matching.match_fuzzy(gold, found, doc=DOC), doc=DOC, by=DOC).withColumn("coverage_pct", F.round("coverage_pct", 9))
+
+
 def _named(spark, d, doc=()):
     part = table(spark, d, "part")
     name = F.concat("p_name", F.lit("-net "), (F.col("p_partkey") % 97).cast("string"))
@@ -304,6 +310,42 @@ def novel_entities_all(spark, d):
     return _adjudicated(spark, d)[1].where(F.col("pick") == matching.NO_MATCH).select(*DOC, "entity")
 
 
+@query
+def prf_by_document(spark, d):
+    """From validation to adjusted scores, for each document: exact, fuzzy and adjudicated matches."""
+    gold, found = _named(spark, d, DOC)
+    validated, left = _adjudicated(spark, d)
+    unmatched = left.where(F.col("pick") == matching.NO_MATCH)
+    judged = left.where(F.col("pick") != matching.NO_MATCH).select(*DOC, F.col("pick").alias("gold"))
+    matches = validated.where("gold is not null").select(*DOC, "gold").unionByName(judged).distinct()
+    novel = extraction.novelty(unmatched, lambda e: (F.length(e) % 10) / 10.0).select(*DOC, "entity", "novelty")
+    out = metrics.scores(metrics.counts(gold, found, matches, novel, keys=DOC), DOC)
+    return out.select(*DOC, "class", "gold", "tp", "fp", "fn", "novel", *(F.round(c, 9).alias(c) for c in ("coverage", "precision", "recall", "f1", "adjusted_precision", "adjusted_recall", "adjusted_f1")))
+
+
+@query
+def match_metadata(spark, d):
+    validated, left = _adjudicated(spark, d)
+    return matching.match_counts(validated, left, DOC)
+
+
+@query
+def kg_graphs_by_document(spark, d):
+    """Nodes, edges and their weight of every document's own graph; a return flag stands for a document."""
+    edges = graph.merge_directed(_relations(spark, d).withColumn("doc", F.col("description")), ["l_orderkey", "l_linenumber"], ("doc",))
+    folded = graph.fold_undirected(edges, ("doc",))
+    nodes = folded.select("doc", F.explode(F.array("source", "target")).alias("id")).distinct()
+    weight = folded.groupBy("doc").agg(F.round(F.sum("weight"), 6).alias("weight"))
+    return graph.graph_counts(nodes, folded, ("doc",)).join(weight, "doc")
+
+
+@query
+def kg_nodes_unlike_evaluated(spark, d):
+    part = table(spark, d, "part")
+    nodes = part.where("p_size > 3").select("p_brand", F.upper("p_name").alias("id"))
+    return graph.nodes_unlike_evaluated(nodes, part.where("p_size < 48").select("p_brand", F.col("p_name").alias("entity")), DOC)
+
+
 @query
 def run_spread(spark, d):
     orders = table(spark, d, "orders")

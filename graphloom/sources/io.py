@@ -16,7 +16,7 @@ def corpus(spark: SparkSession, path: str, doc: str = "doc_id", order: str = "se
 
 def document(docs: DataFrame, name: str | None, doc: str = "doc_id") -> DataFrame | None:
     """One document's rows, None without a name."""
-    return docs.where(F.col(doc) == name) if name else None
+    return docs.where(F.col(doc) == name) if name is not None else None
 
 
 def save_once(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:

@@ -1,5 +1,6 @@
 """Operators against plain Python, on rows made for their edges."""
 
+import re
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -133,3 +134,45 @@ def test_units_of_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("flagged").collect()} == {tuple(r) for r in flagged_units(docs).collect()}
+
+
+def test_text_functions_over_all_characters(spark):
+    """Tokens, digits and names as Python's str and unicodedata have them, for every code point below U+30000."""
+    points = [c for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    docs = spark.createDataFrame([(c, chr(c)) for c in points], "c int, x string").repartition(8)
+    both = F.concat(F.lit("a"), "x", F.lit("b"))
+    rows = docs.select("c", F.size(text.tokens(both)).alias("n"), text.tokens(both)[0].alias("first"), text.numberish(F.col("x")).alias("digit"), text.normalize_alnum(both).alias("name")).collect()
+    assert len(rows) == len(points)
+
+    def name(x):
+        return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", "", unicodedata.normalize("NFKD", x.lower().strip())))
+
+    for r in rows:
+        x = f"a{chr(r.c)}b"
+        assert (r.n, r.first) == ((1, x) if len(x.split()) == 1 else (2, "a")), hex(r.c)
+        assert r.digit == chr(r.c).isdigit(), hex(r.c)
+        assert r.name == name(x), hex(r.c)
+
+
+def test_names_of_other_scripts(spark):
+    names = {"Phở Việt": "pho viet", "H²O": "h2o", "ﬁne-tune": "finetune", "ＢＥＲＴ": "bert", "ḿodel": "model", "x₂": "x2", "foo -": "foo ", None: None}
+    docs = spark.createDataFrame([(k,) for k in names], "x string")
+    assert {r.x: r.n for r in docs.select("x", text.normalize_alnum(F.col("x")).alias("n")).collect()} == names
+
+
+def test_document_zero(spark):
+    docs = spark.range(3).withColumnRenamed("id", "doc_id")
+    assert io.document(docs, 0).count() == 1 and io.document(docs, None) is None
+
+
+def test_counts_of_a_validation(spark):
+    kinds = spark.createDataFrame([("a", "A", "exact", "x"), ("a", "B", "fuzzy", "x"), ("a", "C", "adjudicate", None), ("a", "D", "adjudicate", None), ("b", "E", "adjudicate", None)], "doc string, entity string, kind string, gold string")
+    judged = spark.createDataFrame([("a", "C", "y"), ("a", "D", "NO_MATCH"), ("b", "E", "NO_MATCH")], "doc string, entity string, pick string")
+    get = lambda compat: sorted(map(tuple, matching.match_counts(kinds, judged, ("doc",), compat).collect()))
+    assert get(True) == [("a", 1, 1, 2, 2, 2), ("b", 0, 0, 1, 0, 1)] and get(False) == [("a", 1, 1, 2, 2, 1), ("b", 0, 0, 1, 0, 1)]
+
+
+def test_node_sets_by_document(spark):
+    nodes = spark.createDataFrame([("d", "A"), ("d", "B"), ("e", "A")], "doc string, id string")
+    told = spark.createDataFrame([("d", "a "), ("e", "A"), ("e", "c")], "doc string, entity string")
+    assert sorted(map(tuple, graph.nodes_unlike_evaluated(nodes, told, ("doc",)).collect())) == [("d", "B", "evaluation"), ("e", "C", "graph")]
