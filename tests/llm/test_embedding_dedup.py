@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from graphloom.llm.embedding_dedup import near_vectors
+from graphloom.llm.embedding_dedup import COSINE, MARGIN, codewords, decode, near_vectors
 
 
 def brute(rows, cosine=0.98):
@@ -30,22 +31,51 @@ def recall(spark, rows, **more):
     return (1 + sum(r.n_links for r in got.values())) / (1 + sum(n for n, _ in want.values()))
 
 
-def test_recall_on_the_tables(spark):
-    """Against all cosines, on the table with thousands of near copies and on the plain one."""
-    for path in ("/root/testdata/check_s", "/root/testdata/sf0.1"):
-        table = spark.read.parquet(f"{path}/embeddings.parquet")
-        rows = table.collect()
-        unit = np.array([r.embedding for r in rows], float)
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        label = np.array([r.label for r in rows])
-        want = {}
-        for k in set(label):
-            own = np.flatnonzero(label == k)
-            want |= dict(zip((rows[i].vec_id for i in own), ((unit[own] @ unit[own].T) >= 0.98).sum(1) - 1))
-        got = {r.id: r.n_links for r in near_vectors(table).collect()}
-        found, there = sum(got.values()), sum(want.values())
-        print("links found", found, "of", there)
-        assert all(got[i] <= want[i] for i in want) and found >= 0.97 * there
+def near_copies(rng, centres, copies, size, lo=0.975, hi=0.99):
+    """Random directions, and vectors beside them at cosines around the threshold."""
+    centre = rng.normal(size=(centres, size))
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    near = [centre]
+    for _ in range(copies):
+        aside = rng.normal(size=centre.shape)
+        aside -= (aside * centre).sum(1, keepdims=True) * centre
+        cosine = rng.uniform(lo, hi, (centres, 1))
+        near.append(cosine * centre + np.sqrt(1 - cosine**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True))
+    return np.vstack(near)
+
+
+def test_recall_on_near_copies(spark):
+    """Against all cosines: thousands of links at and about the threshold, one label with half of all rows."""
+    rng = np.random.default_rng(5)
+    vectors = near_copies(rng, 1200, 3, 64).astype(np.float32)
+    label = np.where(rng.random(len(vectors)) < 0.5, 1, rng.integers(2, 5, len(vectors)))
+    label[1200:] = label[np.arange(len(vectors) - 1200) % 1200]
+    unit = vectors.astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = (((unit @ unit.T) >= 0.98) & (label[:, None] == label)).sum(1) - 1
+    rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(vectors, label))]
+    got = {r.id: r.n_links for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    found, there = sum(got.values()), int(want.sum())
+    print("links found", found, "of", there)
+    assert there > 3000 and all(got[i] <= want[i] for i in got) and found >= 0.97 * there
+
+
+@pytest.mark.parametrize("size, counts", [(64, (2_000, 20_000, 50_000)), (768, (2_000, 20_000))])
+def test_pairs_compared_against_all(size, counts):
+    """Pairs that meet in a filter are few beside all pairs and grow little faster than the vectors; pairs at the least cosine meet."""
+    compared = []
+    for n in counts:
+        unit = near_copies(np.random.default_rng(n), n // 2, 1, size, 0.98, 0.985)
+        parts = [decode(unit[at : at + 512], codewords(n), MARGIN, COSINE) for at in range(0, n, 512)]
+        row = np.concatenate([r + 512 * k for k, (r, _) in enumerate(parts)])
+        filt = np.concatenate([f for _, f in parts])
+        in_filter = np.unique(filt, return_counts=True)[1].astype(float)
+        compared.append((in_filter * (in_filter - 1) / 2).sum())
+        lists = np.split(filt, np.cumsum(np.bincount(row, minlength=n))[:-1])
+        met = np.mean([len(np.intersect1d(lists[i], lists[i + n // 2])) > 0 for i in range(n // 2)])
+        print(size, n, "filters a vector", len(row) / n, "compared share", compared[-1] / (n * (n - 1) / 2), "recall", met)
+        assert compared[-1] < 0.1 * n * (n - 1) / 2 and met >= 0.95
+    assert np.log(compared[-1] / compared[0]) / np.log(counts[-1] / counts[0]) < 1.5
 
 
 def test_cells_and_copies(spark):
