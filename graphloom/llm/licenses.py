@@ -35,8 +35,7 @@ TEMPLATES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 )
-#: RARE_WORDS is of the SQL only, which looks up that many words of a file and so loses notices where several stand.
-RARE_WORDS, LEAST_SHARE = 8, 0.6
+LEAST_SHARE = 0.6
 _VOCABULARY = sorted({w for x in (*BASE, *(t for _, t, _ in TEMPLATES)) for w in x.split()})
 #: A text without any of these has neither a base phrase nor a key phrase.
 _ANCHORS = sorted({p.split()[0] for p in BASE} - {"all", "general"} | {"reserved", "license", "apache", "redistribution", "cc", "cc0", "gnu", "hereby", "mozilla", "unencumbered"})
@@ -135,8 +134,7 @@ known AS (SELECT placed.* FROM placed JOIN vocabulary USING (word)),
 frequency AS (SELECT word, count(DISTINCT file) AS n FROM vocabulary LEFT JOIN known USING (word) GROUP BY word),
 idf AS (SELECT word, ln((SELECT count(*) + 1.0::DOUBLE FROM split) / (n + 1)) + 1e-9::DOUBLE AS idf FROM frequency),
 weighted AS (SELECT label, k, word, is_key, idf / sum(idf) OVER (PARTITION BY label) AS share FROM notice JOIN idf USING (word)),
-rare AS (SELECT file, word FROM (SELECT DISTINCT file, word FROM known) JOIN idf USING (word) QUALIFY row_number() OVER (PARTITION BY file ORDER BY idf DESC, word) <= {RARE_WORDS}),
-proposed AS (SELECT DISTINCT known.file, label, place - k AS begins FROM known JOIN rare ON rare.file = known.file AND rare.word = known.word JOIN notice ON notice.word = known.word),
+proposed AS (SELECT DISTINCT known.file, label, place - k AS begins FROM known JOIN notice ON notice.word = known.word),
 verified AS (SELECT p.file, p.label, p.begins, sum(CASE WHEN known.word IS NULL THEN 0 ELSE share END) AS share FROM proposed p JOIN weighted t ON t.label = p.label
     LEFT JOIN known ON known.file = p.file AND known.place = p.begins + t.k AND known.word = t.word GROUP BY ALL HAVING bool_and(known.word IS NOT NULL OR is_key = 0)),
 found AS (SELECT * FROM verified WHERE share >= {LEAST_SHARE}),
