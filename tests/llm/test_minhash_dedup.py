@@ -4,7 +4,7 @@ import re
 from graphloom.llm.minhash_dedup import near_duplicates
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {}
     for i, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
@@ -18,7 +18,7 @@ def brute(rows):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 up[y] = x
     return {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
