@@ -7,26 +7,50 @@ from graphloom.llm import lm_scoring
 from graphloom.llm.lm_scoring import score_texts
 
 
+def automaton(texts, strength=lm_scoring.STRENGTH):
+    """Explicit states with their arcs (probabilities), the weight of the failure arc and the state it leads to."""
+    seen, arcs = collections.Counter(), collections.defaultdict(collections.Counter)
+    for w in texts:
+        for i, x in enumerate(w):
+            for h in [(), tuple(["<s>", *w][i : i + 1]), tuple(w[i - 2 : i])][: 3 if i >= 2 else 2] + ([("<s>", w[0])] if i == 1 else []):
+                arcs[h][x] += 1
+                seen[h] += 1
+    n, v = seen[()], len(arcs[()])
+    root = {x: (c + 1) / (n + v + 1) for x, c in arcs[()].items()}
+    states = {(): (root, 1 / (n + v + 1), None)}
+
+    def p(h, x):
+        if not h:
+            return root.get(x, 1 / (n + v + 1))
+        return (arcs[h][x] + strength * p(h[1:], x)) / (seen[h] + strength) if h in seen else p(h[1:], x)
+
+    for h in [h for h in seen if h]:
+        states[h] = ({x: p(h, x) for x in arcs[h]}, strength / (seen[h] + strength), h[1:])
+    return states, n
+
+
+def walk(states, w):
+    """From left to right: the state is carried, failure arcs are taken until one has the word's arc."""
+    total, history = 0.0, ("<s>",)
+    for x in w:
+        state = next(h for h in (history[-2:], history[-1:], ()) if h in states)
+        while True:
+            arcs, failure, shorter = states[state]
+            if x in arcs or shorter is None:
+                total += math.log10(arcs.get(x, failure))
+                break
+            total += math.log10(failure)
+            state = shorter if shorter in states else ()
+        history = (*history, x)[-2:]
+    return total
+
+
 def brute(rows):
     lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     docs = [(i, zlib.crc32(str("" if i is None else i).encode()) % 7 == 2, [*lower(t).split(), "</s>"]) for i, t in rows]
-    uni, bi = collections.Counter(), collections.Counter()
-    for _, held, w in docs:
-        if not held:
-            uni.update(w)
-            bi.update(zip(["<s>", *w], w))
-    n, v = sum(uni.values()), len(uni)
-    out = []
-    for i, held, w in docs:
-        base = score = 0
-        for h, x in zip(["<s>", *w], w):
-            p = (uni[x] + 1) / (n + v + 1)
-            c = uni["</s>"] if h == "<s>" else uni[h]
-            k = c**0.75
-            base += math.log10(p)
-            score += math.log10((bi[h, x] + k * p) / (c + k) if c else p)
-        out.append((i, held, len(w), sum(uni[x] > 0 for x in w), n, base, score))
-    return out
+    states, n = automaton([w for _, held, w in docs if not held])
+    root, missing, _ = states[()]
+    return [(i, held, len(w), sum(x in root for x in w), n, sum(math.log10(root.get(x, missing)) for x in w), walk(states, w)) for i, held, w in docs]
 
 
 def agree(got, want):
@@ -59,5 +83,53 @@ def test_empty_table_and_no_training_rows(spark):
 def test_packing():
     import numpy as np
 
+    sorted_hashes = np.array([0, 5, 2**40, 2**64 - 1], np.uint64)
+    assert (lm_scoring._unpack_sorted(lm_scoring._pack_sorted(sorted_hashes)) == sorted_hashes).all()
+
     for a in (np.arange(5), np.array([2**63], np.uint64), np.array([-3, 4]), np.zeros(0, np.int64), np.array([300, 70000])):
         assert (lm_scoring._unpack(lm_scoring._pack(a))[0] == a).all()
+
+
+def test_states_sum_to_one():
+    states, _ = automaton([w.split() for w in ("a b c </s>", "a b a </s>", "b b c a </s>")])
+    words = sorted(states[()][0])
+    for h in states:
+        # and one word that training lacks
+        total = sum(10 ** walk_from(states, h, x) for x in [*words, "?"])
+        assert abs(total - 1) < 1e-9, h
+
+
+def walk_from(states, state, x):
+    log = 0.0
+    while True:
+        arcs, failure, shorter = states[state]
+        if x in arcs or shorter is None:
+            return log + math.log10(arcs.get(x, failure))
+        log += math.log10(failure)
+        state = shorter
+
+
+def test_many_blocks_and_buckets(spark, monkeypatch):
+    """Blocks of a few texts, more buckets than partitions."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(30)))) for i in range(400)]
+    monkeypatch.setattr(lm_scoring, "BUCKET", 1 << 10)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    agree(score_texts(docs).collect(), brute(rows))
+
+
+def test_differing_readings_are_an_error():
+    import pyarrow as pa
+    import pytest
+
+    for bucket, texts in ((-1, b""), (0, None)):
+        rows = [[7], [bucket], [None], [None], [0], [0], [texts]]
+        with pytest.raises(RuntimeError):
+            lm_scoring._score(pa.Table.from_batches([lm_scoring._table(lm_scoring._BACK, rows)]))
+
+
+def test_blocks_alike_in_all(spark):
+    """Tasks whose rows are the same, ids too."""
+    row = (4, "a b c a b")
+    docs = spark.createDataFrame([row], "doc_id long, text string")
+    agree(score_texts(docs.union(docs).union(docs)).collect(), brute([row] * 3))
