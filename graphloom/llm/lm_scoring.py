@@ -15,7 +15,7 @@ have. With c for training counts, N and V for all and distinct training tokens,
 the states of all of a block's texts are looked up as arrays, and a text's sum is taken over its places.
 
 The automaton grows with the corpus and never meets in one place: words, and pairs with the words after them,
-of blocks of texts (16 MB) go to buckets by their hashes, once per block and bucket and packed as arrays. Words
+of blocks of texts (8 MB) go to buckets by their hashes, once per block and bucket and packed as arrays. Words
 and pairs go by 64 bits, a word after a pair by 40 bits of its own among that pair's. Buckets, as many as the
 bytes of the texts ask, add up the counts and send each block those of its own, which form the part of the
 automaton that its texts can reach. All of N and V reach a block the same way, as each bucket tells its share.
@@ -37,9 +37,8 @@ from graphloom.llm.tables import partitions
 from graphloom.llm.words import mix, slices, words
 
 #: Bytes of text in a block, and for each bucket.
-BLOCK, BUCKET = 16 << 20, 16 << 20
-#: How much a state's shorter one counts against what was seen in it.
-STRENGTH = 4.0
+BLOCK, BUCKET = 8 << 20, 16 << 20
+STRENGTH = 16.0
 END, START = np.uint64(0x00E17D), np.uint64(0x57A127)
 _SENT = "key long, block long, words binary, word_counts binary, pairs binary, pair_counts binary, after binary"
 _BACK = "block long, bucket long, words binary, pairs binary, v long, n long, texts binary"
@@ -94,14 +93,17 @@ def _pairs(seq: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> tuple[np.n
 
     seq: places of words in hashes, text after text; first: where texts begin.
     """
-    before = np.empty(len(seq), np.int64)
-    before[1:] = seq[:-1]
-    before[first] = len(hashes)
-    made, place = np.unique(before * (len(hashes) + 1) + seq, return_inverse=True)
+    code = np.empty(len(seq), np.int64)
+    code[1:] = seq[:-1]
+    code[first] = len(hashes)
+    code *= len(hashes) + 1
+    code += seq
+    made, place = np.unique(code, return_inverse=True)
+    place = place.astype(np.int32)
     known = np.append(hashes, START)
     both = mix(known[made // (len(hashes) + 1)] * np.uint64(0x2545F4914F6CDD1D) + known[made % (len(hashes) + 1)])
     order = np.argsort(both)
-    rank = np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order))
     return both[order], rank[place]
 
@@ -113,10 +115,12 @@ def _after(seq: np.ndarray, first: np.ndarray, place: np.ndarray, n_words: int)
     """
     inner = np.ones(len(seq), bool)
     inner[first] = False
-    at = np.flatnonzero(inner)
-    made, own = np.unique(place[at - 1] * n_words + seq[at], return_inverse=True)
-    triple = np.full(len(seq), -1)
-    triple[at] = own
+    code = place[:-1][inner[1:]].astype(np.int64)
+    code *= n_words
+    code += seq[inner]
+    made, own = np.unique(code, return_inverse=True)
+    triple = np.full(len(seq), -1, np.int32)
+    triple[inner] = own
     return made // n_words, made % n_words, triple
 
 
@@ -130,6 +134,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         inner = np.ones(len(tokens), bool)
         inner[last] = False
         tokens[inner], tokens[last] = w.hashes, END
+        del w, inner
         ids = part.column("id").fill_null(-1).to_numpy().astype(np.uint64)
         name = np.sum(mix(tokens + np.arange(len(tokens), dtype=np.uint64))) + np.sum(mix(ids * END + np.arange(len(ids), dtype=np.uint64)))
         yield int(name >> np.uint64(1)), part, lengths, tokens
@@ -141,6 +146,8 @@ def _send(buckets: int):
             first = np.cumsum(lengths) - lengths
             train = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool), lengths)
             hashes, seq = np.unique(tokens, return_inverse=True)
+            seq = seq.astype(np.int32)
+            del tokens
             counts = np.bincount(seq[train], minlength=len(hashes))
             pairs, place = _pairs(seq, first, hashes)
             pair_counts = np.bincount(place[train], minlength=len(pairs))
@@ -198,7 +205,7 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_table(_BACK, [table.column("block").to_pylist(), get("key"), [_pack(x) for x in w], packed, [v] * n, [all_tokens] * n, [None] * n])])
 
 
-def _score(table: pa.Table) -> pa.Table:
+def _score(table: pa.Table, strength: float) -> pa.Table:
     """A block's texts with its part of the automaton."""
     bucket = table.column("bucket").to_numpy()
     texts = np.flatnonzero(bucket < 0)
@@ -210,17 +217,17 @@ def _score(table: pa.Table) -> pa.Table:
     c_word = np.concatenate([_unpack(x)[0].astype(np.int64) for x in get("words")])
     counts = [_unpack(x) for x in get("pairs")]
     c_pair, c_triple = (np.concatenate([x[k].astype(np.int64) for x in counts]) for k in (0, 1))
-    of_each = [_walk(table.column("texts")[int(i)].as_py(), c_word, c_pair, c_triple, sum(get("v")), sum(get("n"))) for i in texts]
+    of_each = [_walk(table.column("texts")[int(i)].as_py(), c_word, c_pair, c_triple, sum(get("v")), sum(get("n")), strength) for i in texts]
     return pa.Table.from_batches(of_each)
 
 
-def _walk(sent: bytes, c_word: np.ndarray, c_pair: np.ndarray, c_triple: np.ndarray, v: int, n: int) -> pa.RecordBatch:
+def _walk(sent: bytes, c_word: np.ndarray, c_pair: np.ndarray, c_triple: np.ndarray, v: int, n: int, strength: float) -> pa.RecordBatch:
     """Reads texts through the automaton: the state before each word, the arcs that it takes, their sum by text."""
     ids, named, held, lengths, ranks, rank, steps = _unpack(sent)
     hashes = np.cumsum(steps, dtype=np.uint64)
     place = np.empty(len(hashes), np.int64)
     place[rank] = np.arange(len(hashes))
-    seq, lengths = place[ranks], lengths.astype(np.int64)
+    seq, lengths = place[ranks].astype(np.int32), lengths.astype(np.int64)
     first = np.cumsum(lengths) - lengths
     _, pair = _pairs(seq, first, hashes)
     _, _, triple = _after(seq, first, pair, len(hashes))
@@ -229,10 +236,10 @@ def _walk(sent: bytes, c_word: np.ndarray, c_pair: np.ndarray, c_triple: np.ndar
     seen = np.append(c_word, c_word[np.searchsorted(hashes, END)])
     before = np.append(-1, seq[:-1])
     before[first] = len(hashes)
-    p = (c_pair[pair] + STRENGTH * root) / (seen[before] + STRENGTH)
+    p = (c_pair[pair] + strength * root) / (seen[before] + strength)
     # the arcs of the states of two words, and the failure arcs that lead from them
     at = np.flatnonzero(triple >= 0)
-    p[at] = (c_triple[triple[at]] + STRENGTH * p[at]) / (c_pair[pair[at - 1]] + STRENGTH)
+    p[at] = (c_triple[triple[at]] + strength * p[at]) / (c_pair[pair[at - 1]] + strength)
     per_text = lambda x: np.add.reduceat(x, first)
     known = per_text((c_word[seq] > 0).astype(np.int64))
     row_ids = pa.array(ids.astype(np.int64), mask=named == 0)
@@ -244,11 +251,12 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, strength: float = STRENGTH) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of docs.
 
     held marks the rows that the model doesn't learn from (remainder 2 of 7, if none is given). A null or empty
     text is one token, its end. base_score sums log10 of the root's arcs, score those the automaton takes.
+    strength is how much a state's shorter one counts against what was seen in it.
     docs is read three times (its bytes, counts, texts) and must read alike each time, as tables do.
     Repeated rows count as often as they occur. Without training rows all counts are 0. Empty table: empty result.
     """
@@ -259,4 +267,4 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = max(partitions(docs.sparkSession), -(-size // BUCKET))
     counted = rows.mapInArrow(_send(buckets), _SENT).repartition(buckets, "key").groupBy("key").applyInArrow(_add, _BACK)
     both = counted.unionByName(rows.mapInArrow(_texts, _BACK))
-    return both.repartition(buckets, "block").groupBy("block").applyInArrow(_score, _SCORED)
+    return both.repartition(buckets, "block").groupBy("block").applyInArrow(lambda t: _score(t, strength), _SCORED)

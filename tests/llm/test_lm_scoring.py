@@ -125,7 +125,7 @@ def test_differing_readings_are_an_error():
     for bucket, texts in ((-1, b""), (0, None)):
         rows = [[7], [bucket], [None], [None], [0], [0], [texts]]
         with pytest.raises(RuntimeError):
-            lm_scoring._score(pa.Table.from_batches([lm_scoring._table(lm_scoring._BACK, rows)]))
+            lm_scoring._score(pa.Table.from_batches([lm_scoring._table(lm_scoring._BACK, rows)]), 4.0)
 
 
 def test_blocks_alike_in_all(spark):
