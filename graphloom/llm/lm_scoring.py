@@ -187,8 +187,12 @@ def _sums(found: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.nd
     return np.split(totals[place], np.cumsum([len(x) for x in found])[:-1]), totals
 
 
-def _add(table: pa.Table) -> pa.Table:
-    """A bucket's counts, back to the blocks."""
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket's counts, back to the blocks. Each bucket is a partition of its own."""
+    received = list(batches)
+    if not received:
+        return
+    table = pa.Table.from_batches(received)
     get = lambda c: table.column(c).to_pylist()
     w, totals = _sums([_unpack_sorted(x) for x in get("words")], [_unpack(x)[0] for x in get("word_counts")])
     pairs = [_unpack_sorted(x) for x in get("pairs")]
@@ -202,7 +206,7 @@ def _add(table: pa.Table) -> pa.Table:
     n = table.num_rows
     v, all_tokens = int((totals > 0).sum()), int(totals.sum())
     packed = [_pack(x, y) for x, y in zip(p, t)]
-    return pa.Table.from_batches([_table(_BACK, [table.column("block").to_pylist(), get("key"), [_pack(x) for x in w], packed, [v] * n, [all_tokens] * n, [None] * n])])
+    yield _table(_BACK, [table.column("block").to_pylist(), get("key"), [_pack(x) for x in w], packed, [v] * n, [all_tokens] * n, [None] * n])
 
 
 def _score(table: pa.Table, strength: float) -> pa.Table:
@@ -265,6 +269,6 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.coalesce(held, F.lit(False)).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), -(-size // BUCKET))
-    counted = rows.mapInArrow(_send(buckets), _SENT).repartition(buckets, "key").groupBy("key").applyInArrow(_add, _BACK)
+    counted = rows.mapInArrow(_send(buckets), _SENT).repartitionById(buckets, F.col("key").cast("int")).mapInArrow(_add, _BACK)
     both = counted.unionByName(rows.mapInArrow(_texts, _BACK))
     return both.repartition(buckets, "block").groupBy("block").applyInArrow(lambda t: _score(t, strength), _SCORED)
