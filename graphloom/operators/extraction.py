@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +48,30 @@ def extract_until_valid(units: DataFrame, extract: Callable[[DataFrame, int], Da
     return out
 
 
+def extract_rounds(
+    units: DataFrame, extract: Callable[[DataFrame, int], DataFrame], ask_again: Callable[[DataFrame, DataFrame], DataFrame], keys: tuple[str, ...], most: int = 3, keep: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> tuple[DataFrame, DataFrame]:
+    """(rows with their turn, (*keys, turns)): rounds of extraction, at most most of them.
+
+    ask_again(units of the round, rows of the round) gives the keys of the units to extract once more; only those are.
+    Entities and relationships take a call each, so each has turns of its own. keep settles a round's rows (a
+    written table, say), so that a costly extractor sees a unit once a round.
+    """
+    rows, asked, left = [], [], units
+    for turn in range(most):
+        found = keep(extract(left, turn).withColumn("turn", F.lit(turn)))
+        rows.append(found)
+        asked.append(left.select(*keys).distinct())
+        left = left.join(ask_again(left, found).select(*keys).distinct(), list(keys), "left_semi")
+    turns = reduce(DataFrame.unionByName, asked).groupBy(*keys).agg(F.count("*").alias("turns"))
+    return reduce(DataFrame.unionByName, rows), turns
+
+
+def with_fewer(least: int, keys: tuple[str, ...]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Feedback for extract_rounds: units with fewer than least rows in the round are asked again."""
+    return lambda units, found: units.join(found.groupBy(*keys).count().where(F.col("count") >= least), list(keys), "left_anti")
+
+
 def classify(entities: DataFrame, dictionary: DataFrame, name: str = "name") -> DataFrame:
     """Each entity's class from a dictionary (name, class), unclassified where it has none."""
     return entities.join(dictionary, name, "left").withColumn("class", F.coalesce("class", F.lit("unclassified")))

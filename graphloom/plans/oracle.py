@@ -139,4 +139,16 @@ n AS (SELECT doc, count(*) AS nodes FROM (SELECT doc, a AS id FROM e UNION SELEC
 SELECT doc, nodes, edges, weight FROM n JOIN (SELECT doc, count(*) AS edges, round(sum(weight), 6) AS weight FROM e GROUP BY doc) USING (doc)""",
     "kg_nodes_unlike_evaluated": """WITH a AS (SELECT DISTINCT p_brand, upper(p_name) AS id FROM part WHERE p_size > 3), b AS (SELECT DISTINCT p_brand, upper(trim(p_name)) AS id FROM part WHERE p_size < 48)
 SELECT *, 'evaluation' AS missing_from FROM a ANTI JOIN b USING (p_brand, id) UNION ALL SELECT *, 'graph' FROM b ANTI JOIN a USING (p_brand, id)""",
+    "corpus_scan": "SELECT CAST(conv_id AS VARCHAR) AS conv_id, md5(coalesce(string_agg(text, ' ' ORDER BY turn, text), '')) AS text_md5 FROM conversations GROUP BY conv_id",
+    "graph_scan": f"""WITH {_REL}, dir AS (SELECT description AS doc, source, target, avg(strength) AS weight FROM rel GROUP BY ALL), e AS (SELECT doc, least(source, target) AS a, greatest(source, target) AS b, sum(weight) AS weight FROM dir GROUP BY 1, 2, 3)
+SELECT doc, id, count(*) AS links, round(sum(weight), 6) AS weight FROM (SELECT doc, a AS id, weight FROM e UNION ALL SELECT doc, b, weight FROM e) GROUP BY doc, id""",
+    "classification_lists": """SELECT p_brand AS doc_id, p_name || ' ' || p_partkey AS entity, CASE WHEN p_size <= 15 THEN 'METHOD' WHEN p_size <= 30 THEN 'DOMAIN' ELSE 'unclassified' END AS class FROM part""",
+    "stored_documents": "SELECT doc_id, lang, source, md5(text) AS text_md5 FROM documents",
+    "extraction_rounds": f"""WITH {_ENTITIES}, n AS (SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, len(list_filter(ws, lambda w: length(w) >= 13)) AS n0, len(list_filter(ws, lambda w: length(w) >= 11)) AS n1, len(ws) AS n2 FROM x),
+m AS (SELECT a.doc_id, a.chunk_index, count(*) FILTER (b.ord = a.ord + 1) AS m0, count(*) FILTER (b.ord <= a.ord + 2) AS m1, count(*) FILTER (b.ord <= a.ord + 3) AS m2
+    FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.chunk_index = b.chunk_index AND b.ord > a.ord AND b.ord <= a.ord + 3 AND a.name <> b.name GROUP BY ALL),
+j AS (SELECT n.*, coalesce(m0, 0) AS m0, coalesce(m1, 0) AS m1, coalesce(m2, 0) AS m2 FROM n LEFT JOIN m USING (doc_id, chunk_index))
+SELECT doc_id, chunk_index, CAST(1 + (n0 < 3)::INT + (n0 < 3 AND n1 < 3)::INT AS BIGINT) AS entity_turns, CAST(n0 + CASE WHEN n0 < 3 THEN n1 + CASE WHEN n1 < 3 THEN n2 ELSE 0 END ELSE 0 END AS BIGINT) AS entities,
+    CASE WHEN n2 = 0 THEN 0 ELSE CAST(1 + (m0 < 2)::INT + (m0 < 2 AND m1 < 2)::INT AS BIGINT) END AS relation_turns, CAST(m0 + CASE WHEN m0 < 2 THEN m1 + CASE WHEN m1 < 2 THEN m2 ELSE 0 END ELSE 0 END AS BIGINT) AS relations FROM j""",
+    "output_folders": """SELECT n_nationkey, CAST(k AS INT) AS k, folder FROM (SELECT n_nationkey, unnest([0, 1, 2, 3, 4]) AS k, unnest(['out/' || n_name, 'out/' || n_name, NULL, '/' || n_name || '.v1/eval', '.']) AS folder FROM nation)""",
 }

@@ -387,3 +387,64 @@ def resolution_decision(spark, d):
 @query
 def document_lookup(spark, d):
     return io.document(table(spark, d, "documents"), 7).select("doc_id", "text")
+
+
+@query
+def corpus_scan(spark, d):
+    """Turns of conversations as JSON lines on disk, read as one text per conversation."""
+    path = io.scratch(spark, "corpus")
+    table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("conv_id"), "turn", "text").write.json(path)
+    return io.corpus(spark, path, "conv_id", "turn", "text").select("conv_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def graph_scan(spark, d):
+    """The graphs of kg_graphs_by_document as node-link files, read again: the edges with their graph."""
+    edges = graph.merge_directed(_relations(spark, d).withColumn("doc", F.col("description")), ["l_orderkey", "l_linenumber"], ("doc",))
+    folded = graph.fold_undirected(edges, ("doc",)).select("doc", "source", "target", "weight")
+    path = io.scratch(spark, "graphs")
+    io.save_node_link(folded.select("doc", F.explode(F.array("source", "target")).alias("id")).distinct(), folded, path, ("doc",))
+    nodes, links = io.graph(spark, path, ("doc",))
+    degree = links.select("doc", F.explode(F.array("source", "target")).alias("id"), "weight").groupBy("doc", "id").agg(F.count("*").alias("links"), F.round(F.sum("weight"), 6).alias("weight"))
+    return nodes.select("doc", "id").join(degree, ["doc", "id"], "left")
+
+
+@query
+def classification_lists(spark, d):
+    """Every brand's three lists written, then read as rows."""
+    part = table(spark, d, "part").select(F.col("p_brand").alias("doc_id"), F.concat("p_name", F.lit(" "), "p_partkey").alias("name"), F.when(F.col("p_size") <= 15, "METHOD").when(F.col("p_size") <= 30, "DOMAIN").otherwise("unclassified").alias("class"))
+    path = io.scratch(spark, "classes")
+    io.save_classification(extraction.merge_classes(part, "doc_id"), path)
+    return io.classification(spark, path)
+
+
+@query
+def stored_documents(spark, d):
+    """Documents in folders by language and source, where a second write leaves what is there."""
+    docs, path = table(spark, d, "documents"), io.scratch(spark, "documents")
+    io.save_once(docs, path, ("lang", "source"))
+    io.save_once(docs.limit(0), path, ("lang", "source"))
+    return spark.read.schema(docs.schema).parquet(path).select("doc_id", "lang", "source", F.md5("text").alias("text_md5"))
+
+
+@query
+def extraction_rounds(spark, d):
+    """Entities of ever shorter words, then relations over ever wider spans, for units that gave too few; rounds counted apart."""
+    unit = ("doc_id", "chunk_index")
+    units = chunking.text_units(table(spark, d, "documents"), 250)
+    entities, e_turns = extraction.extract_rounds(units, lambda u, turn: extraction.extract_entities(u, least=13 - 2 * turn), extraction.with_fewer(3, unit), unit)
+    own = extraction.extract_entities(units)
+    relations, r_turns = extraction.extract_rounds(own, lambda e, turn: extraction.extract_relations(e, span=1 + turn), extraction.with_fewer(2, unit), unit)
+    count = lambda df, name: df.groupBy(*unit).agg(F.count("*").alias(name))
+    out = e_turns.withColumnRenamed("turns", "entity_turns")
+    for part in (count(entities, "entities"), r_turns.withColumnRenamed("turns", "relation_turns"), count(relations, "relations")):
+        out = out.join(part, list(unit), "left")
+    return out.na.fill(0)
+
+
+@query
+def output_folders(spark, d):
+    """Where each of several paths, made of names, would be written."""
+    paths = ("'out/' || n_name", "'out/' || n_name || '/graph.json'", "'input/' || n_name", "'/' || n_name || '.v1/eval'", "n_name || '.yml'")
+    nation = table(spark, d, "nation").select("n_nationkey", F.posexplode(F.array(*map(F.expr, paths))).alias("k", "path"))
+    return nation.select("n_nationkey", "k", io.output_folder(F.col("path")).alias("folder"))

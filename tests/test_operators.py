@@ -176,3 +176,42 @@ def test_node_sets_by_document(spark):
     nodes = spark.createDataFrame([("d", "A"), ("d", "B"), ("e", "A")], "doc string, id string")
     told = spark.createDataFrame([("d", "a "), ("e", "A"), ("e", "c")], "doc string, entity string")
     assert sorted(map(tuple, graph.nodes_unlike_evaluated(nodes, told, ("doc",)).collect())) == [("d", "B", "evaluation"), ("e", "C", "graph")]
+
+
+def test_folders_of_paths(spark, tmp_path):
+    from pathlib import PurePosixPath
+
+    paths = ["a/b.json", "a/b", "a/.hidden", "a/b.", "a/b.tar.gz", "/x.y", "x.y", "a.b/c", "input/a", "a/my_input.yml", "a/b/", "a/b.yml/", "a/..b"]
+    found = {r.p: r.f for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", io.output_folder(F.col("p")).alias("f")).collect()}
+    for p in paths:
+        path = PurePosixPath(p)
+        want = None if "input" in p else str(path.parent if path.suffix else path)
+        assert found[p] == want, p
+    io.prepare([str(tmp_path / "k" / "out.json"), str(tmp_path / "m"), str(tmp_path / "input" / "n")])
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["k", "m"]
+
+
+def test_rounds_ask_only_units_that_lack(spark):
+    units = spark.createDataFrame([(1, 0), (2, 1), (3, 5)], "doc_id long, gives int")
+    seen = []
+
+    def extract(left, turn):
+        seen.append(sorted(r.doc_id for r in left.collect()))
+        return left.where(F.col("gives") + turn > 0).select("doc_id", F.explode(F.sequence(F.lit(1), F.col("gives") + turn)).alias("k"))
+
+    rows, turns = extraction.extract_rounds(units, extract, extraction.with_fewer(2, ("doc_id",)), ("doc_id",), keep=lambda df: io.kept(df, "rounds"))
+    assert seen == [[1, 2, 3], [1, 2], [1]]
+    assert {r.doc_id: r.turns for r in turns.collect()} == {1: 3, 2: 2, 3: 1}
+    assert sorted((r.doc_id, r.turn, r.k) for r in rows.collect()) == sorted([(1, 1, 1), (1, 2, 1), (1, 2, 2), (2, 0, 1), (2, 1, 1), (2, 1, 2), *((3, 0, k) for k in range(1, 6))])
+
+
+def test_graphs_and_lists_on_disk(spark, tmp_path):
+    nodes = spark.createDataFrame([("d", "A"), ("e", "B")], "doc string, id string")
+    edges = spark.createDataFrame([("d", "A", "A", 2.5)], "doc string, source string, target string, weight double")
+    io.save_node_link(nodes, edges, str(tmp_path / "g"), ("doc",))
+    n, e = io.graph(spark, str(tmp_path / "g"), ("doc",))
+    assert sorted((r.doc, r.id) for r in n.collect()) == [("d", "A"), ("e", "B")] and [(r.doc, r.source, r.weight) for r in e.collect()] == [("d", "A", 2.5)]
+    merged = extraction.merge_classes(spark.createDataFrame([("d", "x", "METHOD"), ("e", "y", "DOMAIN"), ("e", "z", "unclassified")], "doc_id string, name string, class string"), "doc_id")
+    io.save_classification(merged, str(tmp_path / "c"))
+    io.save_classification(merged.limit(0), str(tmp_path / "c"))
+    assert sorted(map(tuple, io.classification(spark, str(tmp_path / "c")).collect())) == [("d", "x", "METHOD"), ("e", "y", "DOMAIN"), ("e", "z", "unclassified")]
