@@ -12,6 +12,9 @@ texts are then still in several classes are looked at pair by pair, without thos
 for certain: by the shingles that no other text of such buckets has (two texts share at most what either
 has in common with any), and by distances to the first text that differ too much (the Jaccard distance is
 a metric). No bucket is capped.
+
+A node is an id with its text. An id that names one text only is its own node; where it names several, the
+text of the smallest hash has the id and each other one a number of its own, a 64-bit hash of both.
 """
 
 from __future__ import annotations
@@ -151,16 +154,26 @@ def _crossed(apart: DataFrame, percent: int) -> DataFrame:
     return apart.join(other, "key").where(near).select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, collections: int = COLLECTIONS, width: int = WIDTH) -> DataFrame:
-    """(id, n_shingles, component_id, kept): one row per row of docs; other columns of docs play no part.
+def _several(docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """(id, least): the ids that name different texts, with the smallest hash of them; None if there are none."""
+    hashed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h")).where("id is not null")
+    found = staged(hashed.groupBy("id").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least != most").select("id", "least"), "several")
+    return None if found.isEmpty() else found
 
-    id_col holds whole numbers that name rows. component_id is the smallest id that verified links reach.
-    Null or wordless texts have no shingles and no links; a text of fewer words than a shingle is one
-    shingle. Rows of one id count as one node, all given its component (they should hold one text: links are verified on one of them); a null id gets a null component_id and
-    kept true, and links nothing. An empty table gives an empty result.
-    """
-    percent = round(100 * similarity)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+def _with_nodes(docs: DataFrame, several: DataFrame | None, id_col: str, text_col: str, name: str) -> DataFrame:
+    """docs with a column of that name: each row's node."""
+    own = F.col(id_col).cast("long")
+    if several is None:
+        return docs.withColumn(name, own)
+    ids = several.select(F.col("id").alias(f"{name}_id"), F.col("least").alias(f"{name}_least"))
+    near = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, own == F.col(f"{name}_id"), "left")
+    h = F.xxhash64(F.col(text_col).cast("string"))
+    return near.withColumn(name, F.when(h != F.col(f"{name}_least"), F.xxhash64(own, h, F.lit(10))).otherwise(own)).drop(f"{name}_id", f"{name}_least")
+
+
+def _classes(docs: DataFrame, percent: int, shingle: int, collections: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, ...) of docs (id, text), one row per row, and (node, component) of those that are linked; equal ids hold equal texts."""
     rows = staged(docs.mapInArrow(_profile(shingle, collections, width), "id long, n long, s1 long, s2 long, keys array<long>"), "minhash")
     named = rows.where("n > 0 and id is not null")
 
@@ -187,18 +200,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     later = _verified(crossed, texts, percent).where("linked").select("a", "b")
     classes = classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(later)
     same_set = named.join(alike.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    final = components(classes.unionByName(same_set))
-    return rows.join(final, rows.id == final.node, "left").select(F.col("id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
+    return rows, components(classes.unionByName(same_set))
+
+
+def _nodes_kept(docs: DataFrame, several: DataFrame | None, percent: int, shingle: int = SHINGLE, collections: int = COLLECTIONS, width: int = WIDTH) -> DataFrame:
+    """(node, id, n_shingles, component_id, kept), one row per row of docs (id, node, text)."""
+    rows, final = _classes(docs.select(F.col("node").alias("id"), "text"), percent, shingle, collections, width)
+    if several is None:
+        found = rows.join(final, rows.id == final.node, "left").select("id", F.col("id").alias("node"), "n", "component")
+    else:
+        # a class goes by the smallest id of its texts
+        ids = staged(docs.where("node != id").select("node", "id").distinct(), "ids").select(F.col("node").alias("other"), F.col("id").alias("of"))
+        named = lambda df, node: df.join(ids, df[node] == ids.other, "left").withColumn("real", F.coalesce("of", node)).drop("other", "of")
+        final = staged(final, "classes")
+        least = named(final, "node").groupBy("component").agg(F.min("real").alias("least"))
+        final = final.join(least, "component").select("node", F.col("least").alias("component"))
+        found = named(rows.join(final, rows.id == final.node, "left").drop("node"), "id").select(F.col("real").alias("id"), F.col("id").alias("node"), "n", "component")
+    return found.select("node", "id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, collections: int = COLLECTIONS, width: int = WIDTH) -> DataFrame:
+    """(id, n_shingles, component_id, kept): one row per row of docs; other columns of docs play no part.
+
+    id_col holds whole numbers that name rows. component_id is the smallest id that verified links reach.
+    Null or wordless texts have no shingles and no links; a text of fewer words than a shingle is one
+    shingle. Repeated rows (one id, one text) share a result. Different texts under one id are linked, or not, each on its
+    own; they need not share a class. A null id gets a null component_id and kept true, and links nothing.
+    Ties: of a class's texts only its smallest id decides. An empty table gives an empty result.
+    """
+    several = _several(docs, id_col, text_col)
+    text = F.col(text_col).cast("string").alias("text")
+    nodes = _with_nodes(docs.select(F.col(id_col).cast("long").alias("id"), text), several, "id", "text", "node")
+    return _nodes_kept(nodes, several, round(100 * similarity), shingle, collections, width).drop("node")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that are kept: of each class of near-duplicates, those with its smallest id. All columns as they are.
 
-    Null and wordless texts stay; so do rows with a null id. Rows of one id stay or go together. Empty table: empty result.
-    The ids that go are few beside the rest; up to BROADCAST_IDS of them are sent to the texts, more are joined by a shuffle.
+    Null and wordless texts stay; so do rows with a null id. Repeated rows stay or go together; of different texts under
+    one id only those in a class with a smaller id go. Empty table: empty result.
+    The rows that go are few beside the rest; up to BROADCAST_IDS of them are sent to the texts, more are joined by a shuffle.
     """
-    gone = staged(near_duplicates(docs, id_col, text_col, similarity).where("not kept").select(F.col("id").alias(id_col)).distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti").select(docs.columns)
+    several = _several(docs, id_col, text_col)
+    name = "node" + "_" * max(map(len, docs.columns))
+    noded = _with_nodes(docs, several, id_col, text_col, name)
+    own = noded.select(F.col(id_col).cast("long").alias("id"), F.col(name).alias("node"), F.col(text_col).cast("string").alias("text"))
+    found = _nodes_kept(own, several, round(100 * similarity))
+    gone = staged(found.where("not kept").select(F.col("node").alias(name)).distinct(), "gone")
+    return noded.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, name, "left_anti").select(docs.columns)
 
 
 #: The same rows in DuckDB SQL: all pairs of texts that share a shingle, and what links reach.

@@ -1,7 +1,7 @@
 import random
 import re
 
-from graphloom.llm.minhash_dedup import near_duplicates
+from graphloom.llm.minhash_dedup import near_duplicates, one_of_each
 
 
 def brute(rows, percent=85):
@@ -51,3 +51,14 @@ def test_empty_table_and_more_columns(spark):
     rows = spark.createDataFrame([(1, "a b", 3, "x"), (1, "a b", 3, "x"), (None, "a b", 4, None)], "doc_id long, text string, key long, rep string")
     got = sorted(near_duplicates(rows).collect(), key=str)
     assert [(r.id, r.component_id, r.kept) for r in got] == [(1, 1, True), (1, 1, True), (None, None, True)]
+
+
+def test_texts_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, a + " end"), (3, "start " + b), (0, b), (5, c), (1, c + " x"), (7, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string")
+    got = sorted((r.id, r.component_id, r.kept) for r in near_duplicates(docs).collect())
+    assert got == sorted([(1, 1, True), (1, 0, False), (1, 0, False), (2, 1, False), (3, 0, False), (0, 0, True), (5, 1, False), (1, 1, True), (7, 7, True)])
+    left = one_of_each(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(1, a), (0, b), (1, c + " x"), (7, "")])
