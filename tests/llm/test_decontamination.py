@@ -2,9 +2,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import decontamination as D
 from graphloom.llm.queries import QUERIES
+from graphloom.llm.sampling import summed
 
 
 def plain_lcs(a, b):
@@ -135,3 +137,35 @@ def test_items_of_all_lengths(spark, count):
     clean = {(d, i) for d, i in got if d < 10_000}
     print("clean documents with a short item's words", len({d for d, _ in clean}), "of 500")
     assert all(len(items[i]) == 10 for _, i in clean) and len({d for d, _ in clean}) <= 15 * count / 300
+
+
+def test_subspace_is_fitted_to_every_word_of_every_text(spark):
+    """More texts than any sample held, and one text of many passages: all words, each text once, and A'A as the dense matrix gives it."""
+    long = " ".join(f"long{i}" for i in range(5_000))
+    texts = spark.range(40_000).select(F.concat(F.lit("text "), F.col("id") % 20_000).alias("text")).unionByName(spark.createDataFrame([(long,), (None,), ("",)], "text string"))
+    idf = np.linspace(0.05, 3, D.BUCKETS)
+    rows = D.passages(texts.distinct(), idf).collect()
+    assert len(rows) == 20_000 + -(-5_000 // D.PASSAGE) and sum(len(r.passage) // 2 for r in rows) == 2 * 20_000 + 5_000
+
+    few = spark.createDataFrame([(long,), ("a a a b",), (" ".join("xyz"[k % 3] for k in range(400)),)], "text string")
+    rows = [(np.frombuffer(bytes(r.passage), np.int16), r.share, r.weight) for r in D.passages(few, idf).collect()]
+    dense = np.zeros((len(rows), D.BUCKETS))
+    assert sorted(w for *_, w in rows) == [D.LONG / 105] * 105 + [D.LONG / 9] * 9 + [1.0]
+    for k, (own, share, weight) in enumerate(rows):
+        np.add.at(dense[k], own, idf[own])
+        assert np.isclose(share, 1 / np.linalg.norm(dense[k]))
+        dense[k] *= share * weight**0.5
+    basis = np.random.default_rng(5).normal(size=(D.BUCKETS, D.OVERSAMPLED))
+    got = summed(D.passages(few, idf), D._multiply(idf, basis)).reshape(D.BUCKETS, -1)
+    assert np.allclose(got, dense.T @ (dense @ basis))
+
+
+def test_later_passages_and_texts_count(spark, monkeypatch):
+    """The retriever's own rows: every passage of the documents and of the benchmark."""
+    seen = []
+    plain = D.latent_basis
+    monkeypatch.setattr(D, "latent_basis", lambda rows, idf: seen.append(rows.count()) or plain(rows, idf))
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).unionByName(spark.createDataFrame([(-1, "word " * 4_800)], "doc_id long, text string"))
+    bench = spark.createDataFrame([(1, " ".join(f"item{i}" for i in range(480)))], "item_id long, text string")
+    D.contaminated(docs, bench)
+    assert seen == [30_000 + 100 + 10]
