@@ -2,9 +2,10 @@
 
 Tokens (runs of word characters, runs of punctuation) are tagged B, I or O from their shape, length, hex, digit and
 vowel content, whether they touch their neighbours, words that name secrets and separators before them, the
-nearest words on either side, and two features of the whole text. The field is trained on the driver: on made-up
-lines with secrets of many kinds (SECRETS) and with what looks like them (LOOKALIKES), and on windows around what
-the fixed patterns find (and don't) in a bounded sample of documents. Decoding is exact Viterbi: a token whose best
+nearest words on either side, and two features of the whole text. The field is trained in two steps: on the driver on
+made-up lines with secrets of many kinds (SECRETS) and with what looks like them (LOOKALIKES); then on these together with
+windows of all documents: around everything the fixed patterns find, around every other token that isn't O in every best path
+of the field so far, and from anywhere in texts without either. Each task sums its windows' gradient, one array a step, however many there are. Decoding is exact Viterbi: a token whose best
 secret tag trails O by more than any transitions can make up for is O in every best path, so only the short runs
 between such tokens need the recursion. The fixed patterns' own matches are always reported.
 """
@@ -23,11 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.sampling import distinct_sample
+from graphloom.llm.tables import staged
 from graphloom.llm.words import slices, words
 
-SAMPLE_DOCS, WINDOWS, PER_TEXT, STEPS, RATE, DECAY, AROUND, LENGTH = 8_000, 1_500, 4, 100, 0.15, 1e-3, 12, 32
+WINDOWS, PER_TEXT, STEPS, RATE, DECAY, AROUND, LENGTH = 1_500, 4, 100, 0.15, 1e-3, 12, 32
 #: Made-up lines with a secret that the field learns from; as many with a lookalike, and half as many plain ones.
 EXAMPLES = 1_200
+#: Steps on the documents' windows together with the made-up lines. Windows with secrets weigh at most WINDOWS together, as do those without.
+JOINT_STEPS = 30
+#: So many windows are summed together, and by one task.
+TOGETHER, A_TASK = 2_000, 200_000
 #: What the patterns are, in the order in which they are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
@@ -158,57 +164,73 @@ class Field:
             out = out + self.w[f[:, j]]
         return out
 
-    def train(self, f: np.ndarray, tags: np.ndarray, mask: np.ndarray) -> None:
-        """f: sequences * LENGTH * features; Adam on the mean negative log-likelihood, by scaled forward and backward sums."""
+    def gradient(self, f: np.ndarray, tags: np.ndarray, mask: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """f: sequences * LENGTH * features; of the weighted sum of negative log-likelihoods, by scaled forward and backward sums."""
         count, size = tags.shape
-        state = [np.zeros_like(self.w), np.zeros_like(self.w), np.zeros_like(self.t), np.zeros_like(self.t)]
         mask = np.ascontiguousarray(mask.T)  # by place: a step of the sums is one row
         tags = tags.T
         columns, gold = np.ascontiguousarray(f.transpose(1, 0, 2)[mask].T.astype(np.intp)), tags[mask]
         cells = len(self.w)
-
-        def sums(weights: np.ndarray) -> np.ndarray:
-            """By feature and tag, the sum of the weights of tokens that have it."""
-            return np.stack([sum(np.bincount(c, weights=x, minlength=cells) for c in columns) for x in np.ascontiguousarray(weights.T)], 1)
-
-        gold_w = sums(np.eye(3)[gold])
-        gold_t = np.zeros_like(self.t)
-        np.add.at(gold_t, (tags[:-1][mask[1:]], tags[1:][mask[1:]]), 1)
-        np.add.at(gold_t, (3, tags[0][mask[0]]), 1)
-        for step in range(1, STEPS + 1):
-            e = np.stack([sum(x[c] for c in columns) for x in np.ascontiguousarray(self.w.T)])
-            likely = np.ones((3, size, count))
-            likely[:, mask] = np.exp(e - e.max(0))
-            likely = np.ascontiguousarray(likely.transpose(1, 0, 2))
-            move, start = np.exp(self.t[:3]), np.exp(self.t[3])
-            alpha, beta, scale = np.empty((size, 3, count)), np.ones((size, 3, count)), np.ones((size, count))
-            alpha[0] = start[:, None] * likely[0]
-            alpha[0] /= alpha[0].sum(0)
-            for i in range(1, size):
-                ahead = (move.T @ alpha[i - 1]) * likely[i]
-                total = ahead.sum(0)
-                alpha[i] = np.where(mask[i], ahead / total, alpha[i - 1])
-                scale[i] = np.where(mask[i], total, 1)
-            for i in range(size - 2, -1, -1):
-                beta[i] = np.where(mask[i + 1], move @ (likely[i + 1] * beta[i + 1] / scale[i + 1]), 1)
-            p = alpha * beta
-            grad_w, grad_t = sums(p.transpose(0, 2, 1)[mask]) - gold_w, -gold_t
-            grad_t[3] += p[0][:, mask[0]].sum(1)
-            ahead = likely[1:] * beta[1:] / scale[1:, None]
-            grad_t[:3] += move * sum(np.where(m, x, 0) @ y.T for m, x, y in zip(mask[1:], alpha[:-1], ahead))
-            for x, g, m, v in ((self.w, grad_w, *state[:2]), (self.t, grad_t, *state[2:])):
-                g = g / count + DECAY * x
+        e = np.stack([sum(x[c] for c in columns) for x in np.ascontiguousarray(self.w.T)])
+        likely = np.ones((3, size, count))
+        likely[:, mask] = np.exp(e - e.max(0))
+        likely = np.ascontiguousarray(likely.transpose(1, 0, 2))
+        move, start = np.exp(self.t[:3]), np.exp(self.t[3])
+        alpha, beta, scale = np.empty((size, 3, count)), np.ones((size, 3, count)), np.ones((size, count))
+        alpha[0] = start[:, None] * likely[0]
+        alpha[0] /= alpha[0].sum(0)
+        for i in range(1, size):
+            ahead = (move.T @ alpha[i - 1]) * likely[i]
+            total = ahead.sum(0)
+            alpha[i] = np.where(mask[i], ahead / total, alpha[i - 1])
+            scale[i] = np.where(mask[i], total, 1)
+        for i in range(size - 2, -1, -1):
+            beta[i] = np.where(mask[i + 1], move @ (likely[i + 1] * beta[i + 1] / scale[i + 1]), 1)
+        p = alpha * beta
+        off = (p.transpose(0, 2, 1)[mask] - np.eye(3)[gold]) * np.broadcast_to(weight, (size, count))[mask][:, None]
+        grad_w = np.stack([sum(np.bincount(c, weights=x, minlength=cells) for c in columns) for x in np.ascontiguousarray(off.T)], 1)
+        grad_t = np.zeros_like(self.t)
+        np.add.at(grad_t, (tags[:-1][mask[1:]], tags[1:][mask[1:]]), -np.broadcast_to(weight, (size - 1, count))[mask[1:]])
+        np.add.at(grad_t, (3, tags[0][mask[0]]), -weight[mask[0]])
+        grad_t[3] += (p[0] * weight)[:, mask[0]].sum(1)
+        ahead = likely[1:] * beta[1:] / scale[1:, None]
+        grad_t[:3] += move * sum(np.where(m, x * weight, 0) @ y.T for m, x, y in zip(mask[1:], alpha[:-1], ahead))
+        return grad_w, grad_t
+
+    def train(self, f: np.ndarray, tags: np.ndarray, mask: np.ndarray, windows: Callable[[Field], DataFrame] | None = None) -> None:
+        """Adam on the mean negative log-likelihood: STEPS on these sequences; then JOINT_STEPS on them and the rows that windows makes for the field so far (windows_of)."""
+        state = [np.zeros_like(self.w), np.zeros_like(self.w), np.zeros_like(self.t), np.zeros_like(self.t)]
+        own, rows = np.ones(len(tags)), None
+        total, kinds = own.sum(), {}
+        for step in range(1, STEPS + 1 + (JOINT_STEPS if windows else 0)):
+            if step == STEPS + 1:
+                rows = windows(self)
+                number = {r.hit: r["count"] for r in rows.groupBy("hit").count().orderBy("hit").collect()}
+                kinds = {hit: min(1.0, WINDOWS / n) for hit, n in number.items()}
+                total += sum(kinds[hit] * n for hit, n in number.items())
+                # each task sends a whole gradient, so there are few for a small table
+                rows = rows.coalesce(max(8, -(-sum(number.values()) // A_TASK)))
+            grads = self.gradient(f, tags, mask, own)
+            for more in rows.mapInArrow(_gradients(self, kinds), "w binary, t binary").collect() if kinds else ():
+                grads = [g + np.frombuffer(bytes(x)).reshape(g.shape) for g, x in zip(grads, more)]
+            for x, g, m, v in ((self.w, grads[0], *state[:2]), (self.t, grads[1], *state[2:])):
+                g = g / total + DECAY * x
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
+    def doubted(self, e: np.ndarray) -> np.ndarray:
+        """The tokens, by their emissions, at which a secret tag trails O by no more than transitions can make up for; all others are O in every best path."""
+        t = self.t
+        made_up = max(0.0, max(t[a, s] - t[a, O] for a in range(4) for s in (B, I)) + max(max(t[s, b] - t[O, b] for b in range(3)) for s in (B, I)), max(t[a, s] - t[a, O] for a in range(4) for s in (B, I)))
+        return np.flatnonzero(np.maximum(e[:, B], e[:, I]) - e[:, O] >= -made_up)
+
     def tags(self, f: np.ndarray, doc_at: np.ndarray) -> np.ndarray:
         """The best path of each text, exactly."""
         e = self.emissions(f)
         out = np.full(len(e), O, np.int8)
         t = self.t
-        made_up = max(0.0, max(t[a, s] - t[a, O] for a in range(4) for s in (B, I)) + max(max(t[s, b] - t[O, b] for b in range(3)) for s in (B, I)), max(t[a, s] - t[a, O] for a in range(4) for s in (B, I)))
-        open_ = np.flatnonzero(np.maximum(e[:, B], e[:, I]) - e[:, O] >= -made_up)
+        open_ = self.doubted(e)
         if not len(open_):
             return out
         starts = np.zeros(len(e) + 1, bool)
@@ -357,7 +379,7 @@ def _samples(per_text: int):
 
 
 def training_windows(docs: DataFrame, sample_docs: int, windows: int = WINDOWS, per_text: int = PER_TEXT) -> list[tuple[bytes, bytes]]:
-    """docs: one column, text. The sample: texts whose hashes fall under sample_docs in all (about), each once however many copies it has.
+    """A bounded sample, which no query trains on (see windows_of). docs: one column, text. The sample: texts whose hashes fall under sample_docs in all (about), each once however many copies it has.
 
     At most windows with secrets and as many without, those with the least hashes of text and place; per_text of a text.
     """
@@ -366,17 +388,87 @@ def training_windows(docs: DataFrame, sample_docs: int, windows: int = WINDOWS,
     return [(bytes(r.f), bytes(r.tags)) for r in least(sampled.where("hit")).unionByName(least(sampled.where("not hit"))).collect()]
 
 
-def fit(docs: DataFrame | None, sample_docs: int = SAMPLE_DOCS, windows: int = WINDOWS, per_text: int = PER_TEXT, made_up: int = EXAMPLES, without: tuple[str, ...] = ()) -> Field:
-    """The field, trained on made-up examples and on training_windows() of docs (none: examples alone)."""
+def _windows_in(field: Field):
+    """Windows of LENGTH tokens: around each secret that the patterns find, around every token in doubt that no window holds yet, and from anywhere in a text without either."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            w, f = token_features(part.column("text"))
+            tag, doubt = np.full(len(f) + 1, O, np.int8), field.doubted(field.emissions(f))
+            for i in map(int, _may_match(part.column("text"), w.body, w.byte_at)):
+                text, lo, hi = part.column("text")[i].as_py(), int(w.doc_at[i]), int(w.doc_at[i + 1])
+                for s in base_spans(text):
+                    a, z = (int(w.byte_at[i]) + len(text[:k].encode()) for k in (s[3], s[2]))
+                    first, last = lo + int(np.searchsorted(w.ends[lo:hi], a, "right")), lo + int(np.searchsorted(w.starts[lo:hi], z, "left"))
+                    tag[first:last] = I
+                    tag[first : min(first + 1, last)] = B
+            begin, hits = [], np.flatnonzero(tag == B)
+            hit_at, doubt_at = np.searchsorted(hits, w.doc_at), np.searchsorted(doubt, w.doc_at)
+            for i, (lo, hi) in enumerate(zip(w.doc_at[:-1].tolist(), w.doc_at[1:].tolist())):
+                own = [max(lo, k - AROUND) for k in hits[hit_at[i] : hit_at[i + 1]].tolist()]
+                held = np.zeros(hi - lo, bool)
+                for k in own:
+                    held[k - lo : k - lo + LENGTH] = True
+                for k in doubt[doubt_at[i] : doubt_at[i + 1]].tolist():
+                    if not held[k - lo]:
+                        at = max(lo, k - AROUND)
+                        while at > lo and tag[at] == I:  # not from within a secret
+                            at -= 1
+                        own.append(at)
+                        held[at - lo : max(at + LENGTH, k + 1) - lo] = True
+                if not own and hi > lo:
+                    own = [lo + int(w.hashes[lo] % np.uint64(max(1, hi - lo - LENGTH)))]
+                begin += [(k, hi) for k in own]
+            at, until = np.array(begin, np.int64).reshape(-1, 2).T
+            place = at[:, None] + np.arange(LENGTH)
+            there = place < until[:, None]
+            place = np.where(there, place, 0)
+            tags = np.where(there, tag[place], -1).astype(np.int8)
+            text = np.searchsorted(w.doc_at, at, "right") - 1
+            key = part.column("own").take(pa.array(text))
+            yield pa.RecordBatch.from_arrays([key, pa.array(at - w.doc_at[text]), _rows_of(np.where(there[:, :, None], f[place], 0).astype(np.int16) if len(f) else f), _rows_of(tags), pa.array((tags == B).any(1))], names=["own", "place", "f", "tags", "hit"])
+
+    return run
+
+
+def _rows_of(array: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in array], pa.binary())
+
+
+def windows_of(docs: DataFrame, field: Field) -> DataFrame:
+    """(own, place, f, tags, hit) of all texts in docs, one column text: each text (own, its hash) once, however many copies it has. Tags of -1: places beyond the text's end."""
+    rows = docs.withColumn("own", F.xxhash64("text")).mapInArrow(_windows_in(field), "own long, place long, f binary, tags binary, hit boolean")
+    # in order, so that sums and with them the field are the same each time
+    return staged(rows.distinct().sortWithinPartitions("own", "place"), "windows")
+
+
+def _gradients(field: Field, weights: dict[bool, float]):
+    """A task's sum of gradients, by whether a window holds a secret weighted so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                f, tags = (np.frombuffer(b"".join(part.column(c).to_pylist()), kind).reshape(len(part.column(c)), LENGTH, -1) for c, kind in (("f", np.int16), ("tags", np.int8)))
+                tags = tags[:, :, 0].astype(np.int64)
+                weight = np.where(part.column("hit").to_numpy(zero_copy_only=False), weights.get(True, 0.0), weights.get(False, 0.0))
+                more = field.gradient(f, np.where(tags < 0, O, tags), tags >= 0, weight)
+                total = [a + b for a, b in zip(total, more)] if total else more
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in total], names=["w", "t"])
+
+    return run
+
+
+def fit(docs: DataFrame | None, made_up: int = EXAMPLES, without: tuple[str, ...] = ()) -> Field:
+    """The field, trained on made-up examples and on the windows of all texts of docs (none: examples alone)."""
     rows, tags, _ = _sequences(*map(list, zip(*examples(made_up, without=without))))
-    for a, b in training_windows(docs, sample_docs, windows, per_text) if docs is not None else ():
-        rows.append(np.frombuffer(a, np.int16).reshape(-1, len(SIZES)))
-        tags.append(np.frombuffer(b, np.int8).astype(np.int64))
     f, t, mask = np.zeros((len(rows), LENGTH, len(SIZES)), np.int16), np.zeros((len(rows), LENGTH), np.int64), np.zeros((len(rows), LENGTH), bool)
     for i, (r, g) in enumerate(zip(rows, tags)):
         f[i, : len(r)], t[i, : len(g)], mask[i, : len(g)] = r, g, True
     field = Field()
-    field.train(f, t, mask)
+    field.train(f, t, mask, None if docs is None else lambda field: windows_of(docs, field))
     return field
 
 
@@ -417,7 +509,7 @@ def spans_of(field: Field, texts: pa.Array) -> dict[int, tuple[str, list[tuple[s
     return out
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, windows: int = WINDOWS, per_text: int = PER_TEXT) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans): one row per row of docs; its other columns, whatever their names, play no part.
 
     spans: array<struct<kind, start, end, value>> by start and then kind (assign, access, hex, crf); start and
@@ -426,7 +518,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     before I before O is taken. Repeated rows give repeated results, a null id is kept; empty table: empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    field = docs.sparkSession.sparkContext.broadcast(fit(rows.select("text"), sample_docs, windows, per_text))
+    field = docs.sparkSession.sparkContext.broadcast(fit(rows.select("text")))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,14 +540,14 @@ def without_spans(text: str, spans: list[tuple[str, int, int]], mark: str) -> st
     return "".join(out) + text[done:]
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with each secret replaced by a mark, overlapping spans by one; one row per row of docs.
 
     All other columns pass as they are, whatever their names. Null texts stay null and empty ones empty, texts of any
     length are read whole, and repeated rows stay as often as they occur. Empty table: empty result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    field = docs.sparkSession.sparkContext.broadcast(fit(docs.select(text.alias("text")), sample_docs))
+    field = docs.sparkSession.sparkContext.broadcast(fit(docs.select(text.alias("text"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):

@@ -72,6 +72,27 @@ def test_training_windows_are_a_sample(spark):
     assert [len(secrets.training_windows(one, 10, per_text=k)) for k in (3, 4, 20)] == [3, 4, 20]
 
 
+def test_every_text_trains_the_field(spark):
+    """More texts, and more secrets in one, than any sample held; a text once however many copies; gradients add up over tasks."""
+    many = " and then ".join(f"token = abc{i:05d}xyz" for i in range(20))
+    texts = [f"plain {'x' * (i % 7)} number {i} here" for i in range(10_000)] + [many] * 3 + ["", "é secret: abc123def"]
+    docs = spark.createDataFrame([(x,) for x in texts], "text string").repartition(5)
+    field = secrets.fit(None)
+    rows = secrets.windows_of(docs, field).collect()
+    # the first three secrets of the 20 share the window from the text's start
+    assert sum(r.hit for r in rows) >= 19 and len({r.own for r in rows}) == 10_002 and len({(r.own, r.place) for r in rows}) == len(rows)
+    words, windows = secrets.token_features(pa.array(texts)), {bytes(r.f) for r in rows}
+    for i in range(0, 10_000, 37):
+        own = words[1][words[0].doc_at[i] : words[0].doc_at[i + 1]].tobytes()
+        assert any(x.startswith(own) for x in windows)
+    weights = {True: 1.0, False: 0.25}
+    parts = secrets.windows_of(docs, field).repartition(3).mapInArrow(secrets._gradients(field, weights), "w binary, t binary").collect()
+    f, tags = (np.stack([np.frombuffer(bytes(x), kind).reshape(secrets.LENGTH, -1) for x in column]) for column, kind in (([r.f for r in rows], np.int16), ([r.tags for r in rows], np.int8)))
+    tags = tags[:, :, 0].astype(int)
+    w, t = field.gradient(f, np.where(tags < 0, secrets.O, tags), tags >= 0, np.array([weights[r.hit] for r in rows]))
+    assert np.allclose(sum(np.frombuffer(bytes(p.w)).reshape(w.shape) for p in parts), w) and np.allclose(sum(np.frombuffer(bytes(p.t)).reshape(t.shape) for p in parts), t)
+
+
 def _measured(field, seed, count=600, only=()):
     """Precision and recall of whole spans, exact to the character, over made-up lines that the field has not seen."""
     lines = secrets.examples(count, seed=seed, only=only)
