@@ -106,7 +106,7 @@ def _multiply(idf: np.ndarray, basis: np.ndarray):
     scaled = np.vstack([idf[:, None] * basis, np.zeros(basis.shape[1])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BUCKETS, basis.shape[1]))
+        total = np.zeros((BUCKETS, scaled.shape[1]))  # and so basis itself isn't sent
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(at, TOGETHER)
