@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.tables import staged
+from graphloom.llm.tables import drop, staged
 
 MOST_STEPS = 60
 
@@ -21,7 +21,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = staged(pairs.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = None
     for _ in range(MOST_STEPS):
-        pairs = staged(_small_star(_large_star(pairs)), "star")
+        last, pairs = pairs, staged(_small_star(_large_star(pairs)), "star")
+        drop(last)
         # a star forest no longer changes: each node has one parent, and no parent has one
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.sampling import groups, parts_of, summed
-from graphloom.llm.tables import staged
+from graphloom.llm.tables import drop, staged
 from graphloom.llm.words import mix, slices, words
 
 BUCKETS, RANK, OVERSAMPLED, ITEM_WEIGHT = 16384, 64, 72, 30.0
@@ -475,6 +475,7 @@ class Retriever:
         rows = own.coalesce(max(8, -(-count // A_TASK))).unionByName(passages(named.select("text"), idf).withColumn("weight", F.col("weight") * F.lit(weight)))
         # per bucket: its projection, and what it adds to a vector's squared norm (each occurrence on its own)
         projection = np.vstack([idf[:, None] * latent_basis(rows, idf), np.zeros(RANK)]).astype(np.float32)
+        drop(own)
         self.weighted = spark.sparkContext.broadcast(Weighted(projection, np.append(idf * idf, 0.0)))
         n_items, n_bytes = named.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
         self.benchmark, self.groups = named, max(1, -(-n_items // ITEMS_AT_ONCE), -(-n_bytes // BYTES_AT_ONCE))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
-from graphloom.llm.tables import staged
+from graphloom.llm.tables import drop, staged
 from graphloom.llm.words import mix, slices, words
 
 SHINGLE = 5
@@ -179,9 +179,9 @@ def _classes(docs: DataFrame, percent: int, shingle: int, collections: int, widt
 
     # texts of one set stand as one: its smallest id
     alike = staged(named.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "sets")
-    placed = alike.select("rep", "n", F.explode("keys").alias("key"))
-    buckets = placed.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    members = staged(placed.join(buckets, "key").select("key", "leader", "rep", "n"), "buckets")
+    keyed = alike.select("rep", "n", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    members = staged(keyed.join(buckets, "key").select("key", "leader", "rep", "n"), "buckets")
 
     led = members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = staged(led, "pairs")
@@ -193,14 +193,18 @@ def _classes(docs: DataFrame, percent: int, shingle: int, collections: int, widt
     links = tested.where("linked").select("a", "b")
     classes = staged(components(links), "classes")
     apart = staged(_apart(placed, classes), "apart")
+    drop(members, placed)
     for _ in range(PRUNINGS):
-        apart = staged(_linkable(apart, texts, percent), "apart")
-    apart = apart.join(alike.select("rep", "keys"), "rep")
-    crossed = staged(_crossed(apart, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+        last, apart = apart, staged(_linkable(apart, texts, percent), "apart")
+        drop(last)
+    crossed = staged(_crossed(apart.join(alike.select("rep", "keys"), "rep"), percent).join(tested, ["a", "b"], "left_anti"), "pairs")
     later = _verified(crossed, texts, percent).where("linked").select("a", "b")
-    classes = classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(later)
+    known = classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(later)
     same_set = named.join(alike.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    return rows, components(classes.unionByName(same_set))
+    # components() writes its links before it returns, so only rows is read after it
+    final = components(known.unionByName(same_set))
+    drop(alike, pairs, texts, tested, classes, apart, crossed)
+    return rows, final
 
 
 def _nodes_kept(docs: DataFrame, several: DataFrame | None, percent: int, shingle: int = SHINGLE, collections: int = COLLECTIONS, width: int = WIDTH) -> DataFrame:

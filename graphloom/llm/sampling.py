@@ -40,13 +40,13 @@ def groups(batches: Iterator[pa.RecordBatch], rows: int = 256, column: str = "te
             yield part.slice(at, rows)
 
 
-#: Arrays are summed in PARTS pieces, first over SALTS groups of tasks and then over these.
+#: Arrays are summed in PARTS pieces, first over SALTS tasks each and then over these groups.
 PARTS, SALTS = 64, 32
 
 
 def parts_of(array: np.ndarray) -> pa.RecordBatch:
     """A task's array as PARTS rows, for summed()."""
-    salt = TaskContext.get().partitionId() % SALTS
+    salt = TaskContext.get().partitionId() // SALTS
     return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int64()), pa.array([salt] * PARTS, pa.int64()), pa.array([x.tobytes() for x in np.array_split(array.reshape(-1).astype(np.float64), PARTS)], pa.binary())], names=["part", "salt", "sums"])
 
 
@@ -65,7 +65,8 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def summed(df: DataFrame, run) -> np.ndarray | None:
     """The sum over all tasks of the arrays that run makes of df's partitions (parts_of); None without partitions.
 
-    Two steps, so that no task reads a row of every task: by piece and group of tasks, then by piece.
+    Two steps, so that no task reads a row of every task: by piece and group of tasks, then by piece. The second shuffles an array
+    for each group, not for each task: one where there are few tasks.
     """
     schema = "part long, salt long, sums binary"
     rows = df.mapInArrow(run, schema).repartition("part", "salt").mapInArrow(_total, schema)

@@ -29,17 +29,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes these tables of staged(), when nothing that is still to be computed reads them."""
+    for table in tables:
+        _written.remove((table.sparkSession, table.staged_at))
+        _delete(table.sparkSession, table.staged_at)
 
 
 def drop_staged() -> None:
     """Deletes the tables that staged() wrote, when no result that reads them is needed any more."""
     while _written:
-        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(*_written.pop())
         except Exception:  # noqa: BLE001  the session has ended
             return
 

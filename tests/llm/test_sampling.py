@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from graphloom.llm.sampling import distinct_sample, parts_of, spread, summed
+from graphloom.llm.sampling import SALTS, distinct_sample, parts_of, spread, summed
 
 
 def test_copies_do_not_swell_the_sample(spark):
@@ -34,3 +34,14 @@ def test_sums_over_tasks(spark):
     for tasks in (1, 7, 150):
         assert (summed(spark.range(0, 5000, 1, tasks), run) == want).all()
     assert summed(spark.range(0), run) is None
+
+
+def test_few_tasks_leave_one_array_for_the_second_step(spark):
+    """As many groups as tasks, as it was, shuffled every task's array twice; no group is larger than SALTS."""
+
+    def run(batches):
+        yield parts_of(np.ones(100))
+
+    for tasks, groups in ((1, 1), (9, 1), (SALTS, 1), (SALTS + 1, 2), (150, -(-150 // SALTS))):
+        rows = spark.range(0, 5000, 1, tasks).mapInArrow(run, "part long, salt long, sums binary").where("part = 0").groupBy("salt").count().collect()
+        assert len(rows) == groups and all(r["count"] <= SALTS for r in rows) and sum(r["count"] for r in rows) == tasks
