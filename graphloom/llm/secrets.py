@@ -15,7 +15,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.sampling import distinct_sample
-from graphloom.llm.tables import staged
+from graphloom.llm.tables import drop, staged
 from graphloom.llm.words import slices, words
 
 WINDOWS, PER_TEXT, STEPS, RATE, DECAY, AROUND, LENGTH = 1_500, 4, 100, 0.15, 1e-3, 12, 32
@@ -33,7 +33,9 @@ EXAMPLES = 1_200
 #: Steps on the documents' windows together with the made-up lines. Windows with secrets weigh at most WINDOWS together, as do those without.
 JOINT_STEPS = 30
 #: So many windows are summed together, and by one task.
-TOGETHER, A_TASK = 2_000, 200_000
+TOGETHER, A_TASK = 4_000, 200_000
+#: So many windows are one row of the table that each step reads again.
+A_ROW = 16
 #: What the patterns are, in the order in which they are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
@@ -42,6 +44,9 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: Parts of words that name secrets.
 STEMS = ("passw", "pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "private", "signature")
 
+_STEM_PAIRS = np.zeros(1 << 16, bool)
+_STEM_PAIRS[[ord(x[0]) << 8 | ord(x[1]) for x in STEMS]] = True
+
 B, I, O = range(3)
 _CLASS = np.zeros(256, np.uint8)  # 1 lower, 2 upper, 4 digit, 8 other
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[33:48] = 1, 2, 4, 8
@@ -54,20 +59,29 @@ _IS_HEX = np.zeros(256, bool)
 _IS_HEX[[*range(48, 58), *range(97, 103)]] = True
 _IS_VOWEL, _IS_JOINT = np.zeros(256, bool), np.zeros(256, bool)
 _IS_VOWEL[[ord(c) for c in "aeiouyAEIOUY"]], _IS_JOINT[[ord(c) for c in "_-"]] = True, True
+#: Bytes that are counted in each token (digits, hex digits, letters, vowels, joints), as one number: BITS of it for each count.
+BITS = 10
+_COUNTED = np.sum([x.astype(np.uint64) << np.uint64(BITS * k) for k, x in enumerate((_CLASS == 4, _IS_HEX, (_CLASS == 1) | (_CLASS == 2), _IS_VOWEL, _IS_JOINT))], 0, dtype=np.uint64)
 _LENGTHS = np.array([1, 2, 3, 5, 8, 12, 16, 20, 24, 32])
 NEIGHBOURS = 4096
 #: Values of each feature: shape, length, hex and digits, switches between kinds, what stands before, what after, the text, touching neighbours, vowels and joints, the nearest word before, after.
 SIZES = (16, 11, 10, 5, 12, 4, 6, 8, 10, NEIGHBOURS, NEIGHBOURS)
 _AT = np.concatenate([[0], np.cumsum(SIZES)]).astype(np.int16)
+#: Features that stand as one number in the windows' rows, so that a sum over a token's weights takes four places in place of eleven.
+TOGETHER_AS = ((0, 1, 2, 7), (3, 4, 5, 6, 8), (9,), (10,))
 
 
 def _named(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Whether each token holds a word that names secrets, whatever its case."""
     low = body | np.uint8(32)
     out = np.zeros(len(starts), bool)
+    pair = low[:-1].astype(np.uint16) << np.uint16(8) | low[1:]
+    may = np.flatnonzero(_STEM_PAIRS[pair])
+    pair = pair[may]
     for stem in STEMS:
-        at = np.flatnonzero(low[: max(len(low) - len(stem) + 1, 0)] == ord(stem[0]))
-        for k, c in enumerate(stem[1:], 1):
+        at = may[pair == (ord(stem[0]) << 8 | ord(stem[1]))]
+        at = at[at <= len(low) - len(stem)]
+        for k, c in enumerate(stem[2:], 2):
             at = at[low[at + k] == ord(c)]
         token = np.searchsorted(starts, at, "right") - 1
         out[token[at + len(stem) <= ends[token]]] = True
@@ -83,14 +97,22 @@ def token_features(texts: pa.Array):
     kind, length = _CLASS[w.body], (w.ends - w.starts).astype(np.int32)
     bits = np.bitwise_or.reduceat(kind, w.starts)
 
-    def count(mask: np.ndarray) -> np.ndarray:
-        upto = np.concatenate([np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)])
+    def count(numbers: np.ndarray) -> np.ndarray:
+        upto = np.zeros(len(numbers) + 1, numbers.dtype)
+        np.cumsum(numbers, out=upto[1:])
         return upto[w.ends] - upto[w.starts]
 
-    digits, hexes = count(kind == 4), count(_IS_HEX[w.body])
     change = np.zeros(len(kind), bool)
     change[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
-    switches = count(change) - change[w.starts]
+    counted = _COUNTED[w.body]
+    if length.max() < 1 << BITS:  # all counts by one running sum
+        counted += change.astype(np.uint64) << np.uint64(5 * BITS)
+        sums = count(counted)
+        own_counts = [(sums >> np.uint64(BITS * k) & np.uint64((1 << BITS) - 1)).astype(np.int32) for k in range(6)]
+    else:
+        own_counts = [count((counted >> np.uint64(BITS * k) & np.uint64(1)).astype(np.int32)) for k in range(5)] + [count(change.astype(np.int32))]
+    digits, hexes, letters, vowelled, joints, changes = own_counts
+    switches = changes - change[w.starts]
     doc = w.doc_of().astype(np.int32)
     key = _named(w.body, w.starts, w.ends) & (length <= 24)
     first = w.body[w.starts]
@@ -119,9 +141,8 @@ def token_features(texts: pa.Array):
     touching[1:-1] = (w.starts[1:] == w.ends[:-1]) & (doc[1:] == doc[:-1])
     mark = _PARTS[first] > 1
     glue = touching[:-1] * 1 + touching[1:] * 2 + mark * 4
-    letters = count((kind == 1) | (kind == 2))
-    vowels = np.where(letters > 0, np.digitize(count(_IS_VOWEL[w.body]) / np.maximum(letters, 1), [0.12, 0.22, 0.32]), 4)
-    sound = vowels * 2 + (count(_IS_JOINT[w.body]) > 0)
+    vowels = np.where(letters > 0, np.digitize(vowelled / np.maximum(letters, 1), [0.12, 0.22, 0.32]), 4)
+    sound = vowels * 2 + (joints > 0)
     # the nearest word on either side; long ones and those with digits count as none in particular
     own = np.where((digits == 0) & (length <= 14), 2 + (w.hashes >> np.uint64(52)).astype(np.int64) % (NEIGHBOURS - 2), 1)
     place = np.arange(n)
@@ -132,6 +153,27 @@ def token_features(texts: pa.Array):
     return w, np.stack([c.astype(np.int16) for c in columns], 1) + _AT[:-1]
 
 
+def packed(f: np.ndarray) -> np.ndarray:
+    """Features as one number for each of TOGETHER_AS, in the last axis."""
+    own = f - _AT[:-1]
+    out = np.zeros((*f.shape[:-1], len(TOGETHER_AS)), np.int16)
+    for k, columns in enumerate(TOGETHER_AS):
+        for j in columns:
+            out[..., k] = out[..., k] * SIZES[j] + own[..., j]
+    return out
+
+
+def unpacked(codes: np.ndarray) -> np.ndarray:
+    """The features that packed() made these numbers of."""
+    out = np.zeros((*codes.shape[:-1], len(SIZES)), np.int16)
+    for k, columns in enumerate(TOGETHER_AS):
+        left = codes[..., k].copy()
+        for j in reversed(columns):
+            out[..., j] = left % SIZES[j] + _AT[j]
+            left //= SIZES[j]
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, start of the secret itself), in code points, by start and then kind."""
     out = [("assign", m.start(), m.end(), m.start(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
@@ -165,52 +207,25 @@ class Field:
         return out
 
     def gradient(self, f: np.ndarray, tags: np.ndarray, mask: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """f: sequences * LENGTH * features; of the weighted sum of negative log-likelihoods, by scaled forward and backward sums."""
-        count, size = tags.shape
-        mask = np.ascontiguousarray(mask.T)  # by place: a step of the sums is one row
-        tags = tags.T
-        columns, gold = np.ascontiguousarray(f.transpose(1, 0, 2)[mask].T.astype(np.intp)), tags[mask]
-        cells = len(self.w)
-        e = np.stack([sum(x[c] for c in columns) for x in np.ascontiguousarray(self.w.T)])
-        likely = np.ones((3, size, count))
-        likely[:, mask] = np.exp(e - e.max(0))
-        likely = np.ascontiguousarray(likely.transpose(1, 0, 2))
-        move, start = np.exp(self.t[:3]), np.exp(self.t[3])
-        alpha, beta, scale = np.empty((size, 3, count)), np.ones((size, 3, count)), np.ones((size, count))
-        alpha[0] = start[:, None] * likely[0]
-        alpha[0] /= alpha[0].sum(0)
-        for i in range(1, size):
-            ahead = (move.T @ alpha[i - 1]) * likely[i]
-            total = ahead.sum(0)
-            alpha[i] = np.where(mask[i], ahead / total, alpha[i - 1])
-            scale[i] = np.where(mask[i], total, 1)
-        for i in range(size - 2, -1, -1):
-            beta[i] = np.where(mask[i + 1], move @ (likely[i + 1] * beta[i + 1] / scale[i + 1]), 1)
-        p = alpha * beta
-        off = (p.transpose(0, 2, 1)[mask] - np.eye(3)[gold]) * np.broadcast_to(weight, (size, count))[mask][:, None]
-        grad_w = np.stack([sum(np.bincount(c, weights=x, minlength=cells) for c in columns) for x in np.ascontiguousarray(off.T)], 1)
-        grad_t = np.zeros_like(self.t)
-        np.add.at(grad_t, (tags[:-1][mask[1:]], tags[1:][mask[1:]]), -np.broadcast_to(weight, (size - 1, count))[mask[1:]])
-        np.add.at(grad_t, (3, tags[0][mask[0]]), -weight[mask[0]])
-        grad_t[3] += (p[0] * weight)[:, mask[0]].sum(1)
-        ahead = likely[1:] * beta[1:] / scale[1:, None]
-        grad_t[:3] += move * sum(np.where(m, x * weight, 0) @ y.T for m, x, y in zip(mask[1:], alpha[:-1], ahead))
-        return grad_w, grad_t
+        """f: sequences * LENGTH * features; of the weighted sum of negative log-likelihoods. mask: the places that a sequence has, its first ones."""
+        return Sums(self).of(packed(f), np.where(mask, tags, -1), weight)
 
     def train(self, f: np.ndarray, tags: np.ndarray, mask: np.ndarray, windows: Callable[[Field], DataFrame] | None = None) -> None:
-        """Adam on the mean negative log-likelihood: STEPS on these sequences; then JOINT_STEPS on them and the rows that windows makes for the field so far (windows_of)."""
+        """Adam on the mean negative log-likelihood: STEPS on these sequences; then JOINT_STEPS on them and the rows that windows makes for the field so far (packed_windows)."""
         state = [np.zeros_like(self.w), np.zeros_like(self.w), np.zeros_like(self.t), np.zeros_like(self.t)]
-        own, rows = np.ones(len(tags)), None
+        own, table = np.ones(len(tags)), None
         total, kinds = own.sum(), {}
+        codes, tags = packed(f), np.where(mask, tags, -1)
         for step in range(1, STEPS + 1 + (JOINT_STEPS if windows else 0)):
             if step == STEPS + 1:
-                rows = windows(self)
-                number = {r.hit: r["count"] for r in rows.groupBy("hit").count().orderBy("hit").collect()}
+                table = windows(self)
+                counts = table.agg(F.sum("others"), F.sum("hits")).first()
+                number = {hit: n for hit, n in zip((False, True), counts) if n}
                 kinds = {hit: min(1.0, WINDOWS / n) for hit, n in number.items()}
                 total += sum(kinds[hit] * n for hit, n in number.items())
                 # each task sends a whole gradient, so there are few for a small table
-                rows = rows.coalesce(max(8, -(-sum(number.values()) // A_TASK)))
-            grads = self.gradient(f, tags, mask, own)
+                rows = table.select("f", "tags").coalesce(max(8, -(-sum(number.values()) // A_TASK)))
+            grads = Sums(self).of(codes, tags, own)
             for more in rows.mapInArrow(_gradients(self, kinds), "w binary, t binary").collect() if kinds else ():
                 grads = [g + np.frombuffer(bytes(x)).reshape(g.shape) for g, x in zip(grads, more)]
             for x, g, m, v in ((self.w, grads[0], *state[:2]), (self.t, grads[1], *state[2:])):
@@ -218,36 +233,40 @@ class Field:
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        if table is not None:
+            drop(table)
 
-    def doubted(self, e: np.ndarray) -> np.ndarray:
-        """The tokens, by their emissions, at which a secret tag trails O by no more than transitions can make up for; all others are O in every best path."""
-        t = self.t
+    def doubted(self, codes: np.ndarray) -> np.ndarray:
+        """The tokens, by their packed features, at which a secret tag trails O by no more than transitions can make up for; all others are O in every best path."""
+        t, sums = self.t, Sums(self)
         made_up = max(0.0, max(t[a, s] - t[a, O] for a in range(4) for s in (B, I)) + max(max(t[s, b] - t[O, b] for b in range(3)) for s in (B, I)), max(t[a, s] - t[a, O] for a in range(4) for s in (B, I)))
-        return np.flatnonzero(np.maximum(e[:, B], e[:, I]) - e[:, O] >= -made_up)
+        # a little more, as sums in another order differ by rounding
+        return np.flatnonzero(np.maximum(*(sums.lead(s, codes.T) for s in (B, I))) >= -made_up - 1e-6)
 
     def tags(self, f: np.ndarray, doc_at: np.ndarray) -> np.ndarray:
         """The best path of each text, exactly."""
-        e = self.emissions(f)
-        out = np.full(len(e), O, np.int8)
+        out = np.full(len(f), O, np.int8)
         t = self.t
-        open_ = self.doubted(e)
+        open_ = self.doubted(packed(f))
         if not len(open_):
             return out
-        starts = np.zeros(len(e) + 1, bool)
+        e = self.emissions(f[open_])
+        starts = np.zeros(len(f) + 1, bool)
         starts[doc_at] = True
         split = np.ones(len(open_), bool)
         split[1:] = (np.diff(open_) > 1) | starts[open_[1:]]
         first = np.flatnonzero(split)
         length = np.diff(np.append(first, len(open_)))
         order = np.argsort(-length, kind="stable")
-        first, length = open_[first[order]], length[order]
+        here, length = first[order], length[order]
+        first = open_[here]
         came = np.where(starts[first], 3, O)
-        best, back = t[came] + e[first], []
+        best, back = t[came] + e[here], []
         for k in range(1, int(length[0])):
             n = int(np.searchsorted(-length, -k, "left"))  # runs longer than k
             ways = best[:n, :, None] + t[None, :3]
             back.append(ways.argmax(1))
-            best[:n] = ways.max(1) + e[first[:n] + k]
+            best[:n] = ways.max(1) + e[here[:n] + k]
         follows = ~starts[first + length]
         best = best + np.where(follows[:, None], t[None, :3, O], 0)
         tag = best.argmax(1)
@@ -259,6 +278,97 @@ class Field:
         return out
 
 
+class Sums:
+    """Gradients of a field's weighted negative log-likelihood, by scaled forward and backward sums.
+
+    A tag's likelihood stands in proportion to that of O, so two of the three tags need tables; the gradient by O's weights
+    is what the other two leave, as a token's probabilities add up to 1, and so do its tags.
+    """
+
+    def __init__(self, field: Field) -> None:
+        self.tables = [[self._joined(field.w[:, s] - field.w[:, O], columns) for columns in TOGETHER_AS] for s in (B, I)]
+        self.move, self.start = np.exp(field.t[:3]), np.exp(field.t[3])
+
+    @staticmethod
+    def _joined(w: np.ndarray, columns: tuple[int, ...]) -> np.ndarray:
+        """The sum of the columns' weights for each number that stands for them."""
+        out = np.zeros(1)
+        for j in columns:
+            out = (out[:, None] + w[_AT[j] : _AT[j + 1]]).reshape(-1)
+        return out
+
+    def lead(self, tag: int, columns: Iterable[np.ndarray]) -> np.ndarray:
+        """By how much a tag's emission is above that of O."""
+        tables = zip(self.tables[tag], columns)
+        table, c = next(tables)
+        out = table.take(c)
+        for table, c in tables:
+            out += table.take(c)
+        return out
+
+    def of(self, codes: np.ndarray, tags: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """codes: sequences * places * packed features; tags of -1 are beyond a sequence's end."""
+        return self.apart(self.joint(codes, tags, weight))
+
+    def joint(self, codes: np.ndarray, tags: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+        """The gradient by the transitions, and by each packed number for B and then I: arrays that add up over sequences."""
+        length = (tags >= 0).sum(1)
+        if (length[1:] > length[:-1]).any():
+            order = np.argsort(-length, kind="stable")
+            codes, tags, weight, length = codes[order], tags[order], weight[order], length[order]
+        size = int(length.max(initial=0))
+        # by place: a step of the sums is one row, of the sequences that reach so far
+        reach = [int(np.searchsorted(-length, -k, "left")) for k in range(size + 1)]
+        at = np.concatenate([[0], np.cumsum(reach[:size])]).astype(np.int64)
+        cells = lambda x: np.concatenate([x[:n, k] for k, n in enumerate(reach[:size])]) if size else x[:0, 0]
+        columns, gold = [cells(codes[:, :, j]).astype(np.intp) for j in range(codes.shape[2])], cells(tags)
+        likely = np.ones((3, len(gold)))
+        for s in (B, I):
+            np.exp(self.lead(s, columns), out=likely[s])
+        alpha, scale = np.empty_like(likely), np.empty(len(gold))
+        for k, n in enumerate(reach[:size]):
+            here = slice(at[k], at[k] + n)
+            ahead = (self.move.T @ alpha[:, at[k - 1] : at[k - 1] + n] if k else self.start[:, None]) * likely[:, here]
+            np.add(np.add(ahead[0], ahead[1], out=scale[here]), ahead[2], out=scale[here])
+            np.divide(ahead, scale[here], out=alpha[:, here])
+        likely /= scale
+        off, grad_t = np.empty((2, len(gold))), np.zeros((4, 3))
+        beta = np.ones((3, len(tags)))
+        for k in range(size - 1, -1, -1):
+            n, m = reach[k], reach[k + 1]
+            here = alpha[:, at[k] : at[k] + n]
+            if m:
+                ahead = likely[:, at[k + 1] : at[k + 1] + m] * beta[:, :m]
+                beta[:, :m] = self.move @ ahead
+                grad_t[:3] += (here[:, :m] * weight[:m]) @ ahead.T
+            np.multiply(here[:2], beta[:2, :n], out=off[:, at[k] : at[k] + n])
+            if not k:
+                grad_t[3] = (here * beta[:, :n]) @ weight[:n]
+        grad_t[:3] *= self.move
+        own = np.concatenate([weight[:n] for n in reach[:size]]) if size else weight[:0]
+        pair = gold[: len(gold) - reach[0]] if size else gold
+        if size:
+            pair = np.concatenate([gold[at[k] : at[k] + reach[k + 1]] for k in range(size)]) * 3 + gold[reach[0] :]
+            grad_t[:3] -= np.bincount(pair, weights=own[reach[0] :], minlength=9).reshape(3, 3)
+            grad_t[3] -= np.bincount(gold[: reach[0]], weights=weight[: reach[0]], minlength=3)
+        for s in (B, I):
+            off[s] -= gold == s
+            off[s] *= own
+        return [grad_t] + [np.bincount(c, weights=off[s], minlength=len(table)) for s in (B, I) for table, c in zip(self.tables[s], columns)]
+
+    @staticmethod
+    def apart(joint: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The gradient by each feature's weights, and by the transitions."""
+        grad_w = np.zeros((int(_AT[-1]), 3))
+        for k, sums in enumerate(joint[1:]):
+            columns = TOGETHER_AS[k % len(TOGETHER_AS)]
+            sums = sums.reshape([SIZES[j] for j in columns])
+            for axis, j in enumerate(columns):
+                grad_w[_AT[j] : _AT[j + 1], k // len(TOGETHER_AS)] = sums.sum(tuple(x for x in range(sums.ndim) if x != axis))
+        grad_w[:, O] = -grad_w[:, B] - grad_w[:, I]
+        return grad_w, joint[0]
+
+
 def _chars(rng: random.Random, alphabet: str, least: int, most: int) -> str:
     return "".join(rng.choice(alphabet) for _ in range(rng.randint(least, most)))
 
@@ -394,7 +504,7 @@ def _windows_in(field: Field):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             w, f = token_features(part.column("text"))
-            tag, doubt = np.full(len(f) + 1, O, np.int8), field.doubted(field.emissions(f))
+            tag, doubt = np.full(len(f) + 1, O, np.int8), field.doubted(codes := packed(f))
             for i in map(int, _may_match(part.column("text"), w.body, w.byte_at)):
                 text, lo, hi = part.column("text")[i].as_py(), int(w.doc_at[i]), int(w.doc_at[i + 1])
                 for s in base_spans(text):
@@ -426,37 +536,82 @@ def _windows_in(field: Field):
             tags = np.where(there, tag[place], -1).astype(np.int8)
             text = np.searchsorted(w.doc_at, at, "right") - 1
             key = part.column("own").take(pa.array(text))
-            yield pa.RecordBatch.from_arrays([key, pa.array(at - w.doc_at[text]), _rows_of(np.where(there[:, :, None], f[place], 0).astype(np.int16) if len(f) else f), _rows_of(tags), pa.array((tags == B).any(1))], names=["own", "place", "f", "tags", "hit"])
+            yield pa.RecordBatch.from_arrays([key, pa.array(at - w.doc_at[text]), _rows_of(np.where(there[:, :, None], codes[place], 0).astype(np.int16) if len(f) else codes), _rows_of(tags), pa.array((tags == B).any(1))], names=["own", "place", "f", "tags", "hit"])
 
     return run
 
 
 def _rows_of(array: np.ndarray) -> pa.Array:
-    return pa.array([x.tobytes() for x in array], pa.binary())
+    size = array[0].nbytes if len(array) else 0
+    return pa.Array.from_buffers(pa.binary(), len(array), [None, pa.py_buffer(np.arange(0, size * len(array) + 1, size, dtype=np.int32) if size else np.zeros(1, np.int32)), pa.py_buffer(np.ascontiguousarray(array))])
+
+
+def _array_of(rows: pa.Array, kind: type) -> np.ndarray:
+    """What rows of bytes hold, one after the other."""
+    held = rows.cast(pa.large_binary())
+    offsets = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+    return np.frombuffer(held.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind)
+
+
+def _arrays_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """f (windows * LENGTH * numbers a token) and tags of a batch, however many windows are in a row."""
+    tags = _array_of(batch.column("tags"), np.int8).reshape(-1, LENGTH)
+    return _array_of(batch.column("f"), np.int16).reshape(len(tags), LENGTH, -1), tags
+
+
+_WINDOW = "own long, place long, f binary, tags binary, hit boolean"
+
+
+def _rowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A_ROW windows as one row, those of a task's batch that are left over too."""
+    for batch in batches:
+        own, place = (np.ascontiguousarray(batch.column(c).to_numpy(zero_copy_only=False)).astype(np.int64) for c in ("own", "place"))
+        f, tags = _arrays_of(batch)
+        cuts = range(0, len(tags), A_ROW)
+        hit = (tags == B).any(1)
+        hits = np.array([hit[k : k + A_ROW].sum() for k in cuts], np.int64)
+        size = np.array([len(hit[k : k + A_ROW]) for k in cuts], np.int64)
+        yield pa.RecordBatch.from_arrays([*(pa.array([x[k : k + A_ROW].tobytes() for k in cuts], pa.binary()) for x in (own, place, f, tags)), pa.array(hits), pa.array(size - hits)], names=["own", "place", "f", "tags", "hits", "others"])
+
+
+def packed_windows(docs: DataFrame, field: Field) -> DataFrame:
+    """(own, place, f, tags, hits, others): windows_of, up to A_ROW of them in a row, with f as packed features; and how many hold a secret or none."""
+    rows = docs.withColumn("own", F.xxhash64("text")).mapInArrow(_windows_in(field), _WINDOW)
+    # in order, so that sums and with them the field are the same each time
+    rows = rows.distinct().sortWithinPartitions("own", "place")
+    return staged(rows.mapInArrow(_rowed, "own binary, place binary, f binary, tags binary, hits long, others long"), "windows")
+
+
+def _written_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            codes, tags = _arrays_of(batch)
+            f = np.where(tags[:, :, None] >= 0, unpacked(codes), 0).astype(np.int16)
+            own, place = (pa.array(_array_of(batch.column(c), np.int64)) for c in ("own", "place"))
+            yield pa.RecordBatch.from_arrays([own, place, _rows_of(f), _rows_of(tags), pa.array((tags == B).any(1))], names=["own", "place", "f", "tags", "hit"])
 
 
 def windows_of(docs: DataFrame, field: Field) -> DataFrame:
     """(own, place, f, tags, hit) of all texts in docs, one column text: each text (own, its hash) once, however many copies it has. Tags of -1: places beyond the text's end."""
-    rows = docs.withColumn("own", F.xxhash64("text")).mapInArrow(_windows_in(field), "own long, place long, f binary, tags binary, hit boolean")
-    # in order, so that sums and with them the field are the same each time
-    return staged(rows.distinct().sortWithinPartitions("own", "place"), "windows")
+    return packed_windows(docs, field).mapInArrow(_written_out, _WINDOW)
 
 
 def _gradients(field: Field, weights: dict[bool, float]):
-    """A task's sum of gradients, by whether a window holds a secret weighted so."""
+    """A task's sum of gradients, by whether a window holds a secret weighted so. f as features or packed, one window or more in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total, sums = None, Sums(field)
         for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
-                f, tags = (np.frombuffer(b"".join(part.column(c).to_pylist()), kind).reshape(len(part.column(c)), LENGTH, -1) for c, kind in (("f", np.int16), ("tags", np.int8)))
-                tags = tags[:, :, 0].astype(np.int64)
-                weight = np.where(part.column("hit").to_numpy(zero_copy_only=False), weights.get(True, 0.0), weights.get(False, 0.0))
-                more = field.gradient(f, np.where(tags < 0, O, tags), tags >= 0, weight)
+            all_codes, all_tags = _arrays_of(batch) if batch.num_rows else (None, ())
+            for at in range(0, len(all_tags), TOGETHER):
+                codes, tags = all_codes[at : at + TOGETHER], all_tags[at : at + TOGETHER]
+                if codes.shape[2] == len(SIZES):
+                    codes = packed(np.where(tags[:, :, None] < 0, _AT[:-1], codes))
+                weight = np.where((tags == B).any(1), weights.get(True, 0.0), weights.get(False, 0.0))
+                more = sums.joint(codes, tags, weight)
                 total = [a + b for a, b in zip(total, more)] if total else more
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in total], names=["w", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in sums.apart(total)], names=["w", "t"])
 
     return run
 
@@ -468,7 +623,7 @@ def fit(docs: DataFrame | None, made_up: int = EXAMPLES, without: tuple[str, ...
     for i, (r, g) in enumerate(zip(rows, tags)):
         f[i, : len(r)], t[i, : len(g)], mask[i, : len(g)] = r, g, True
     field = Field()
-    field.train(f, t, mask, None if docs is None else lambda field: windows_of(docs, field))
+    field.train(f, t, mask, None if docs is None else lambda field: packed_windows(docs, field))
     return field
 
 

@@ -93,6 +93,77 @@ def test_every_text_trains_the_field(spark):
     assert np.allclose(sum(np.frombuffer(bytes(p.w)).reshape(w.shape) for p in parts), w) and np.allclose(sum(np.frombuffer(bytes(p.t)).reshape(t.shape) for p in parts), t)
 
 
+def test_windows_are_kept_packed(spark):
+    """What each step reads again is less than half of the features' own 704 bytes a window, in fewer rows, and loses nothing."""
+    texts = [x for x, _ in secrets.examples(200, seed=5)] + ["", " and then ".join(f"token = abc{i:05d}xyz" for i in range(40))]
+    docs = spark.createDataFrame([(x,) for x in texts], "text string").repartition(3)
+    field = secrets.fit(None)
+    held, rows = {}, secrets.packed_windows(docs, field).collect()
+    for r in rows:
+        own, place = (np.frombuffer(bytes(x), np.int64).tolist() for x in (r.own, r.place))
+        codes, tags = np.frombuffer(bytes(r.f), np.int16).reshape(len(own), secrets.LENGTH, -1), np.frombuffer(bytes(r.tags), np.int8).reshape(len(own), -1)
+        assert codes.nbytes <= 256 * len(own) and r.hits + r.others == len(own) and r.hits == (tags == secrets.B).any(1).sum()
+        held |= {key: x for key, *x in zip(zip(own, place), codes, tags)}
+    wide = secrets.windows_of(docs, field).collect()
+    assert len(held) == len(wide) > 400 and len(rows) < len(wide) / 8 and any(r.hit for r in wide) and not all(r.hit for r in wide)
+    for r in wide:
+        (codes, tags), f = held[r.own, r.place], np.frombuffer(bytes(r.f), np.int16).reshape(secrets.LENGTH, -1)
+        there = tags >= 0
+        assert tags.tobytes() == bytes(r.tags) and r.hit == (tags == secrets.B).any()
+        assert (secrets.packed(f[there]) == codes[there]).all() and (secrets.unpacked(codes[there]) == f[there]).all() and not f[~there].any()
+
+
+def test_long_tokens_are_counted_as_short_ones():
+    """Where a token is too long for all counts in one number, each has a running sum of its own."""
+    texts = ["key = a1-b2_c3 DEADbeef 12 é", "x" * 1023, "secret: 9"]
+    short, long = (secrets.token_features(pa.array(texts + more))[1] for more in ([], ["Ab1-_e" * 400]))
+    assert (long[: len(short)] == short).all() and len(long) == len(short) + 1
+    assert (secrets.token_features(pa.array(["Ab1-_e" * 400]))[1] == long[-1:]).all()
+    assert (long[-1] - secrets._AT[:-1])[[0, 1, 3, 8]].tolist() == [15, 10, 4, 2 * 3 + 1]
+
+
+def test_features_pack_to_their_ends():
+    """The largest value of every feature, and each by itself, fits the number that stands for it."""
+    sizes, first = np.array(secrets.SIZES), secrets._AT[:-1]
+    f = np.concatenate([[sizes - 1], np.zeros((1, len(sizes)), int), np.diag(sizes - 1)]) + first
+    codes = secrets.packed(f.astype(np.int16))
+    assert (codes >= 0).all() and len(np.unique(codes, axis=0)) == len(f) and (secrets.unpacked(codes) == f).all()
+
+
+def test_gradient_against_all_paths():
+    """The slope of the likelihood over all paths one by one; sequences of several lengths, one of them empty, in any order."""
+    rng = np.random.default_rng(3)
+    field = secrets.Field()
+    field.w, field.t = rng.normal(0, 0.7, field.w.shape), rng.normal(0, 0.7, field.t.shape)
+    length, weight = np.array([2, 5, 0, 1, 4]), np.array([1.0, 0.3, 2.0, 0.7, 1.5])
+    _, f = secrets.token_features(pa.array(["password = x7Kq secret: 12 ab"] * 5))
+    f = np.stack([rng.permutation(f)[:5] for _ in length])
+    mask = np.arange(5) < length[:, None]
+    tags = rng.integers(0, 3, (5, 5))
+
+    def loss():
+        total = 0.0
+        for x, gold, n, c in zip(f, tags, length, weight):
+            if n:
+                e = field.emissions(x)
+                score = lambda path: sum(e[k, s] + field.t[path[k - 1] if k else 3, s] for k, s in enumerate(path))
+                total += c * (np.log(sum(np.exp(score(p)) for p in itertools.product(range(3), repeat=int(n)))) - score(gold[:n]))
+        return total
+
+    w, t = field.gradient(f, tags, mask, weight)
+    held = np.unique(f[mask])
+    assert not np.delete(w, held, 0).any()
+    for slope, values, places in ((w, field.w, [(int(i), s) for i in rng.choice(held, 6, replace=False) for s in range(3)]), (t, field.t, [(a, s) for a in range(4) for s in range(3)])):
+        for at in places:
+            own = values[at]
+            values[at] = own + 1e-5
+            up = loss()
+            values[at] = own - 1e-5
+            down = loss()
+            values[at] = own
+            assert np.isclose(slope[at], (up - down) / 2e-5, atol=1e-6)
+
+
 def _measured(field, seed, count=600, only=()):
     """Precision and recall of whole spans, exact to the character, over made-up lines that the field has not seen."""
     lines = secrets.examples(count, seed=seed, only=only)

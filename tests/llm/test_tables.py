@@ -13,7 +13,7 @@ def _left(before):
 def test_tables_go_when_nothing_reads_them_any_more(spark):
     """A stage keeps what its result reads, and its results are whole without the rest."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for stage, kept in ((corpus_pipeline.near_dedup, ["gone", "minhash", "several", "star", "star"]), (corpus_pipeline.decontamination, [])):
+    for stage, kept in ((corpus_pipeline.near_dedup, ["gone", "minhash", "several", "star", "star"]), (corpus_pipeline.decontamination, []), (corpus_pipeline.secrets, [])):
         before = {path for _, path in tables._written}
         out = stage(spark, docs, SF)
         assert _left(before) == kept
