@@ -215,3 +215,39 @@ def test_graphs_and_lists_on_disk(spark, tmp_path):
     io.save_classification(merged, str(tmp_path / "c"))
     io.save_classification(merged.limit(0), str(tmp_path / "c"))
     assert sorted(map(tuple, io.classification(spark, str(tmp_path / "c")).collect())) == [("d", "x", "METHOD"), ("e", "y", "DOMAIN"), ("e", "z", "unclassified")]
+
+
+def test_best_matches_in_blocks(spark, monkeypatch):
+    """Blocks of a document are any size; documents that are null meet none, nor do null keys; keys of all lengths and characters."""
+    import random
+
+    rng = random.Random(3)
+    make = lambda: "".join(rng.choice("aé1 \U0001f600z") for _ in range(rng.choice((0, 3, 9, 70, 210))))
+    sides = [[(rng.choice((1, 2, None)), x) for x in {make() for _ in range(40)}] + [(1, None), (1, "")] for _ in "ab"]
+    sides[1] += [(doc, x[:-2] + "a") for doc, x in sides[0] if x]
+    monkeypatch.setattr(matching, "LEFT_KEYS", 7)
+    monkeypatch.setattr(matching, "RIGHT_KEYS", 11)
+    left, right = (spark.createDataFrame(rows, "doc int, key string") for rows in sides)
+    got = {(r.doc, r.left): (r.right, r.score) for r in matching.best_matches(left, right, 0.5, ("doc",)).collect()}
+    want = {}
+    for doc, a in sides[0]:
+        near = [(-SequenceMatcher(None, a, b).ratio(), b) for d, b in sides[1] if doc is not None and d == doc and None not in (a, b)]
+        if near and min(near)[0] <= -0.5:
+            want[doc, a] = (min(near)[1], -min(near)[0])
+    assert got == want and len(want) > 15
+
+
+def test_best_matches_compare_few_pairs(monkeypatch):
+    """Ratios are computed for a few of a left key's pairs, however many there are; before, for each within the bounds."""
+    names = [f"{a} {b}" for a in ("large", "hot", "blue", "cold", "small") for b in ("ring", "bolt", "plate", "gear", "rod")]
+    left = [f"{n} {k}" for n in names for k in range(0, 90, 3)]
+    right = [f"{n} {k} model" for n in names for k in range(90)] + [f"{n} {k}" for n in names for k in range(1, 90, 3)]
+    asked, ratio = [], SequenceMatcher.ratio
+    monkeypatch.setattr(SequenceMatcher, "ratio", lambda self: asked.append(1) or ratio(self))
+    for own in (right[::5], right):
+        asked.clear()
+        found = matching._best(left, own, 0.7)
+        assert len(found) == len(left) and len(asked) < 6 * len(left)
+    monkeypatch.setattr(SequenceMatcher, "ratio", ratio)
+    for a, b, score in found[::50]:
+        assert (-score, b) == min((-SequenceMatcher(None, a, x).ratio(), x) for x in right)
