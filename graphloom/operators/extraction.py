@@ -8,19 +8,32 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import let
+
 ENTITY = "struct<name: string, type: string, description: string>"
 
 
-def extract_entities(units: DataFrame, extractor: Callable | None = None, least: int = 9, id_col: str = "doc_id") -> DataFrame:
-    """(id, chunk_index, ord, name, type): an extractor (a mapInPandas function with this result), or else words of at least least letters.
+def entities_of(text: Column, least: int = 9) -> Column:
+    """ARRAY<STRUCT<name, type>> of a unit's text, in order: words of at least least letters. A word's type is LONG from twelve letters on, else TERM."""
+    word = F.regexp_extract_all(text, F.lit(rf"[a-zA-Z]{{{least},}}"), F.lit(0))
+    return F.transform(word, lambda w: F.struct(F.upper(w).alias("name"), F.when(F.length(w) >= 12, "LONG").otherwise("TERM").alias("type")))
 
-    A word's type is LONG from twelve letters on, else TERM.
-    """
+
+def relations_of(entities: Column, span: int = 3) -> Column:
+    """ARRAY<STRUCT<source, target, strength>> of one unit's entities (entities_of), as extract_relations has them; entities are named once here, so let() it."""
+    near = lambda e, k: F.transform(
+        F.filter(F.sequence(F.lit(1), F.lit(span)), lambda gap: (k + gap < F.size(entities)) & (F.get(entities, k + gap)["name"] != e["name"])),
+        lambda gap: F.struct(e["name"].alias("source"), F.get(entities, k + gap)["name"].alias("target"), (10.0 / gap).alias("strength")),
+    )
+    return F.flatten(F.transform(entities, near))
+
+
+def extract_entities(units: DataFrame, extractor: Callable | None = None, least: int = 9, id_col: str = "doc_id") -> DataFrame:
+    """(id, chunk_index, ord, name, type): an extractor (a mapInPandas function with this result), or else entities_of each unit."""
     if extractor:
         return units.mapInPandas(extractor, f"{id_col} long, chunk_index int, ord int, name string, type string")
-    word = F.regexp_extract_all("text_unit", F.lit(rf"[a-zA-Z]{{{least},}}"), F.lit(0))
-    rows = units.select(id_col, "chunk_index", F.posexplode(word).alias("ord", "word"))
-    return rows.select(id_col, "chunk_index", "ord", F.upper("word").alias("name"), F.when(F.length("word") >= 12, "LONG").otherwise("TERM").alias("type"))
+    rows = units.select(id_col, "chunk_index", F.posexplode(entities_of(F.col("text_unit"), least)).alias("ord", "e"))
+    return rows.select(id_col, "chunk_index", "ord", "e.name", "e.type")
 
 
 def extract_relations(entities: DataFrame, span: int = 3, id_col: str = "doc_id") -> DataFrame:
@@ -67,6 +80,21 @@ def extract_rounds(
     return reduce(DataFrame.unionByName, rows), turns
 
 
+def rounds_of(unit: Column, extract: Callable[[Column, int], Column], ask_again: Callable[[Column], Column], most: int = 3) -> Column:
+    """STRUCT<rounds, turns>: extract_rounds for an extraction that is a column of the unit alone: no unit is sent anywhere, whatever the table's size.
+
+    extract(unit, turn) is an array; ask_again(the array of a round) says whether there is another. rounds: the arrays of
+    those that took place; a later one is not computed where an earlier one gave enough.
+    """
+
+    def again(turn: int) -> Column:
+        if turn == most - 1:
+            return F.array(extract(unit, turn))
+        return let(extract(unit, turn), lambda found: F.when(ask_again(found), F.concat(F.array(found), again(turn + 1))).otherwise(F.array(found)))
+
+    return let(again(0), lambda rounds: F.struct(rounds.alias("rounds"), F.size(rounds).cast("long").alias("turns")))
+
+
 def with_fewer(least: int, keys: tuple[str, ...]) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """Feedback for extract_rounds: units with fewer than least rows in the round are asked again."""
     return lambda units, found: units.join(found.groupBy(*keys).count().where(F.col("count") >= least), list(keys), "left_anti")

@@ -430,16 +430,14 @@ def stored_documents(spark, d):
 @query
 def extraction_rounds(spark, d):
     """Entities of ever shorter words, then relations over ever wider spans, for units that gave too few; rounds counted apart."""
-    unit = ("doc_id", "chunk_index")
     units = chunking.text_units(table(spark, d, "documents"), 250)
-    entities, e_turns = extraction.extract_rounds(units, lambda u, turn: extraction.extract_entities(u, least=13 - 2 * turn), extraction.with_fewer(3, unit), unit)
-    own = extraction.extract_entities(units)
-    relations, r_turns = extraction.extract_rounds(own, lambda e, turn: extraction.extract_relations(e, span=1 + turn), extraction.with_fewer(2, unit), unit)
-    count = lambda df, name: df.groupBy(*unit).agg(F.count("*").alias(name))
-    out = e_turns.withColumnRenamed("turns", "entity_turns")
-    for part in (count(entities, "entities"), r_turns.withColumnRenamed("turns", "relation_turns"), count(relations, "relations")):
-        out = out.join(part, list(unit), "left")
-    return out.na.fill(0)
+    few = lambda least: lambda found: F.size(found) < least
+    total = lambda rounds: F.aggregate(rounds, F.lit(0).cast("long"), lambda n, found: n + F.size(found))
+    entities = extraction.rounds_of(F.col("text_unit"), lambda text, turn: extraction.entities_of(text, 13 - 2 * turn), few(3))
+    relations = T.let(extraction.entities_of(F.col("text_unit")), lambda own: F.when(F.size(own) > 0, extraction.rounds_of(own, lambda e, turn: extraction.relations_of(e, 1 + turn), few(2))))
+    rounds = lambda x: F.struct(x["turns"].alias("turns"), total(x["rounds"]).alias("n"))
+    out = units.select("doc_id", "chunk_index", T.let(entities, rounds).alias("e"), T.let(relations, rounds).alias("r"))
+    return out.select("doc_id", "chunk_index", F.col("e.turns").alias("entity_turns"), F.col("e.n").alias("entities"), F.col("r.turns").alias("relation_turns"), F.col("r.n").alias("relations")).na.fill(0, ["relation_turns", "relations"])
 
 
 @query

@@ -251,3 +251,29 @@ def test_best_matches_compare_few_pairs(monkeypatch):
     monkeypatch.setattr(SequenceMatcher, "ratio", ratio)
     for a, b, score in found[::50]:
         assert (-score, b) == min((-SequenceMatcher(None, a, x).ratio(), x) for x in right)
+
+
+def test_rounds_within_a_unit(spark):
+    """rounds_of and relations_of give what extract_rounds and extract_relations do, without an exchange."""
+    words = ["alphabetic", "Elephants", "extraordinarily", "short", "transformations", "ELEPHANTS", "gigantic", "wonderfully"]
+    units = spark.createDataFrame([(d, 0, " ".join(words[(d * k + k * k) % 8] for k in range(d))) for d in range(12)], "doc_id long, chunk_index int, text_unit string")
+    few = lambda least: lambda found: F.size(found) < least
+    unit = ("doc_id", "chunk_index")
+    rows, turns = extraction.extract_rounds(units, lambda u, turn: extraction.extract_entities(u, least=13 - 2 * turn), extraction.with_fewer(3, unit), unit)
+    own = units.select("doc_id", extraction.rounds_of(F.col("text_unit"), lambda text, turn: extraction.entities_of(text, 13 - 2 * turn), few(3)).alias("x")).select("doc_id", "x.*")
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.turns for r in own.collect()} == {r.doc_id: r.turns for r in turns.collect()}
+    flat = [(r.doc_id, turn, e.name, e.type) for r in own.collect() for turn, found in enumerate(r.rounds) for e in found]
+    assert sorted(flat) == sorted((r.doc_id, r.turn, r.name, r.type) for r in rows.collect())
+    for span in (1, 3):
+        near = units.select("doc_id", F.inline(text.let(extraction.entities_of(F.col("text_unit")), lambda e: extraction.relations_of(e, span))))
+        want = extraction.extract_relations(extraction.extract_entities(units), span).drop("chunk_index")
+        assert sorted(map(tuple, near.collect())) == sorted(map(tuple, want.collect())) and near.count() > 10
+
+
+def test_extraction_rounds_send_no_text(spark):
+    """The query's units stay where they are read; before, each round sorted and joined their texts, so a task held ever more of them."""
+    from graphloom.plans.queries import QUERIES
+
+    plan = QUERIES["extraction_rounds"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
