@@ -42,6 +42,10 @@ BUCKETS, RANK, OVERSAMPLED, ITEM_WEIGHT = 16384, 64, 72, 30.0
 PASSAGE, LONG, BALANCE = 48, 4, 60_000
 #: So many passages are multiplied together, and by one task; buckets with more than FREQUENT words of those together are summed one by one.
 TOGETHER, A_TASK, FREQUENT = 2_000, 500_000, 32
+#: So many rows of matrices are added up or multiplied at a time: they stay in a core's cache.
+ROWS = 512
+#: So many bytes of text are cut into passages or searched at a time (or one text), and so many are cut into words, for the same reason.
+BYTES, TOKENIZED = 1 << 18, 1 << 16
 STEP, WINDOWS, STRIDES = 4, (4, 8, 13), (1, 2, 3)  # in blocks of STEP words
 LEAST_COSINE, LCS_SHARE, PARAPHRASE_SHARE, ANSWER_SHARE = 0.5, 0.6, 0.4, 0.8
 PIECE = STEP * WINDOWS[-1]
@@ -49,8 +53,10 @@ PIECE = STEP * WINDOWS[-1]
 SHORT, PIECE_COSINE = 80, 0.4
 #: The least cosine of places found by words.
 COSINE_BY_WORDS = 0.25
-#: So many postings are looked at together.
-POSTINGS = 1_000_000
+#: Words are looked up by so many values of their hashes first.
+SIEVE = 1 << 18
+#: So many postings are looked at together, and so many words of regions.
+POSTINGS, REGIONS = 1_000_000, 1 << 16
 #: So many cosines are in memory together, or those of 64 windows.
 MATRIX = 4_000_000
 #: Of the words that a match needs, this share may be of those not looked up; and items in one index of words.
@@ -60,7 +66,7 @@ ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 32 << 20
 
 
 def bucketed(texts: pa.Array):
-    w = words(texts)
+    w = words(texts, chunk=TOKENIZED)
     return w, (w.hashes >> np.uint64(50)).astype(np.int64)
 
 
@@ -80,7 +86,7 @@ def _passages(idf: np.ndarray):
     """Every word of every text, in runs of PASSAGE words of one text (its last run may be shorter): their buckets, one over the TF-IDF norm, and the weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=BYTES):
             w, bucket = bucketed(part.column("text"))
             begins = (np.arange(len(bucket)) - w.doc_at[w.doc_of()]) % PASSAGE == 0
             first = np.flatnonzero(begins)
@@ -118,10 +124,12 @@ def _multiply(idf: np.ndarray, basis: np.ndarray):
                 length = np.diff(offsets)
                 row = np.repeat(np.arange(len(held)), length)
                 table[np.arange(len(own)) - (offsets[:-1] - offsets[0])[row], row] = own
-                left = scaled.take(table[0], 0)
-                more = np.empty_like(left)
-                for words_at in table[1:]:
-                    left += scaled.take(words_at, 0, out=more, mode="clip")
+                left, more = np.empty((len(held), scaled.shape[1])), np.empty((ROWS, scaled.shape[1]))
+                for lo in range(0, len(held), ROWS):
+                    some = left[lo : lo + ROWS]
+                    scaled.take(table[0, lo : lo + ROWS], 0, out=some, mode="clip")
+                    for words_at in table[1:, lo : lo + ROWS]:
+                        some += scaled.take(words_at, 0, out=more[: len(some)], mode="clip")
                 left *= (np.square(part.column("share").to_numpy()) * part.column("weight").to_numpy())[:, None]
                 _add(total, own, left, row)
         yield parts_of(idf[:, None] * total)
@@ -140,11 +148,14 @@ def _add(total: np.ndarray, bucket: np.ndarray, left: np.ndarray, row: np.ndarra
     # of the others, all first words together, then all second ones
     few = np.flatnonzero(size <= FREQUENT)
     few = few[np.argsort(-size[few], kind="stable")]
-    sums = np.zeros((len(few), total.shape[1]))
-    for k in range(int(size[few].max(initial=0))):
-        n = int(np.searchsorted(-size[few], -k, "left"))
-        sums[:n] += left.take(row[begins[few[:n]] + k], 0)
-    total[bucket[begins[few]]] += sums
+    sums, more = np.empty((2, ROWS, total.shape[1]))
+    for lo in range(0, len(few), ROWS):
+        some = few[lo : lo + ROWS]
+        sums[:] = 0
+        for k in range(int(size[some[0]])):
+            n = int(np.searchsorted(-size[some], -k, "left"))
+            sums[:n] += left.take(row[begins[some[:n]] + k], 0, out=more[:n], mode="clip")
+        total[bucket[begins[some]]] += sums[: len(some)]
 
 
 def latent_basis(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
@@ -195,12 +206,17 @@ class Items:
     sieve: np.ndarray
 
 
+def _sieved(word: np.ndarray) -> np.ndarray:
+    """Places of words in a sieve."""
+    return (word >> np.uint64(65 - SIEVE.bit_length())).astype(np.int64)
+
+
 def _index(known: list[tuple[np.ndarray, np.ndarray]], weighted: Weighted, share: float) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
-    """How many looked-up words a match of this share has, by item; and, of items of at most SHORT words, (buckets held, words, their first postings, postings: items, places among the item's words, times there) for so many items at a time."""
+    """How many looked-up words a match of this share has, by item; and, of items of at most SHORT words, (a sieve of the words, words, their first postings, postings: items, times there) for so many items at a time."""
     least, kept = np.zeros(len(known), np.int64), []
     for i, (own, times) in enumerate(known):
         if times.sum() > SHORT:
-            kept.append((own[:0], times[:0], times[:0]))
+            kept.append((own[:0], times[:0]))
             continue
         needed = max(1, int(np.ceil(share * times.sum() - 1e-9)))
         spare, looked_up = int(COMMON * needed), np.ones(len(own), bool)
@@ -208,18 +224,18 @@ def _index(known: list[tuple[np.ndarray, np.ndarray]], weighted: Weighted, share
             if times[k] <= spare:
                 spare, looked_up[k] = spare - times[k], False
         least[i] = needed - times[~looked_up].sum()
-        kept.append((own[looked_up], np.flatnonzero(looked_up), times[looked_up]))
+        kept.append((own[looked_up], times[looked_up]))
     index = []
     for at in range(0, len(kept), ITEMS_AN_INDEX):
         some = kept[at : at + ITEMS_AN_INDEX]
-        word, slot, times = (np.concatenate(x) for x in zip(*some))
+        word, times = (np.concatenate(x) for x in zip(*some))
         item = np.repeat(np.arange(at, at + len(some)), [len(x) for x, *_ in some])
         order = np.argsort(word, kind="stable")
         distinct, first = np.unique(word[order], return_index=True)
-        held = np.zeros(BUCKETS, bool)
-        held[(distinct >> np.uint64(50)).astype(np.int64)] = True
+        held = np.zeros(SIEVE, bool)
+        held[_sieved(distinct)] = True
         if len(word):
-            index.append((held, distinct, np.append(first, len(word)), item[order], slot[order], times[order]))
+            index.append((held, distinct, np.append(first, len(word)), item[order], times[order]))
     return least, index
 
 
@@ -246,7 +262,7 @@ def _items(rows: list, weighted: Weighted, share: float) -> Items:
     cell = np.array([max(1, -(-len(h) // 2)) for h in hashes], np.int64)
     keys = _joint(np.concatenate([x for x, _ in known]), np.repeat(np.arange(len(known)), [len(x) for x, _ in known]))
     order = np.argsort(keys)
-    sieve = np.zeros(1 << max(16, int(4 * len(keys)).bit_length()), bool)
+    sieve = np.zeros(1 << max(16, int(32 * len(keys)).bit_length()), bool)
     sieve[keys & np.uint64(len(sieve) - 1)] = True
     return Items(
         [r.item for r in rows], length, hashes, known, answers, of, at, np.searchsorted(of, np.arange(len(cuts))), size, vectors.astype(np.float32), least, cell, index,
@@ -256,7 +272,11 @@ def _items(rows: list, weighted: Weighted, share: float) -> Items:
 
 def _joint(word: np.ndarray, item: np.ndarray) -> np.ndarray:
     """A word's hash and an item's number as one number."""
-    return mix(word ^ (item.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    return mix(word ^ _salt(item))
+
+
+def _salt(item: np.ndarray) -> np.ndarray:
+    return (item.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def _enough(hashes: np.ndarray, items: Items, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, share: float) -> np.ndarray:
@@ -266,12 +286,12 @@ def _enough(hashes: np.ndarray, items: Items, item: np.ndarray, lo: np.ndarray,
     ends = np.cumsum(hi - lo)
     first = 0
     while first < len(item):
-        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 400_000, "right")))
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + REGIONS, "right")))
         size = (hi - lo)[first:last]
         region = np.repeat(np.arange(last - first, dtype=np.int64), size)
         word = np.arange(size.sum()) + np.repeat(lo[first:last] - (np.cumsum(size) - size), size)
-        key = _joint(hashes[word], item[first:last][region])
-        here = np.flatnonzero(items.sieve[key & np.uint64(len(items.sieve) - 1)])
+        key = mix(hashes.take(word) ^ np.repeat(_salt(item[first:last]), size))
+        here = np.flatnonzero(items.sieve.take((key & np.uint64(len(items.sieve) - 1)).astype(np.int64), mode="clip"))
         place = np.minimum(items.keys.searchsorted(key[here]), len(items.keys) - 1)
         right = items.keys[place] == key[here]
         at = np.sort(region[here[right]] * len(items.keys) + place[right])
@@ -297,49 +317,78 @@ def common_subsequence(item: np.ndarray, region: np.ndarray) -> int:
     return len(item) - v.bit_count()
 
 
+def _runs(x: np.ndarray) -> list[np.ndarray]:
+    """For each size of windows, the sums of so many rows from each row on. A sum is of its own rows, added in pairs: what else is in x plays no part."""
+    out, done, width = [x[:0]] * len(WINDOWS), [0] * len(WINDOWS), 1
+    while True:
+        for i, size in enumerate(WINDOWS):
+            if size & width:
+                more = x[done[i] :]
+                out[i] = out[i][: len(more)] + more if done[i] else more
+                done[i] += width
+        if 2 * width > WINDOWS[-1]:
+            return out
+        x, width = x[:-width] + x[width:], 2 * width
+
+
+def _window_sums(table: np.ndarray, weighted: Weighted) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray]]]:
+    """(first block, projections, squares), ROWS blocks of a table of blocks at a time: of the windows of each size from each of them. The last blocks, less than the longest window, may have none."""
+    for at in range(0, len(table) - WINDOWS[-1] + 1, ROWS):
+        some, out = table[at : at + ROWS + WINDOWS[-1] - 1], []
+        for by_bucket in (weighted.projection, weighted.square):
+            blocks = by_bucket.take(some[:, 0], 0)
+            for k in range(1, STEP):
+                blocks += by_bucket.take(some[:, k], 0)
+            out.append(_runs(blocks))
+        yield at, *out
+
+
+def _norm(vector: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """Of windows. Where words repeat, the occurrences' own squares are too little; the projection alone is never more than the whole."""
+    return np.sqrt(np.maximum(np.maximum(square, np.einsum("ij,ij->i", vector, vector)), 1e-6))
+
+
 def _found(part: pa.Array, items: Items, weighted: Weighted, limits: tuple[float, float, float]) -> list[tuple[int, int, float, float, bool, int]]:
     """(row, item, cosine, share of the item's words, whether its answer is there, first word of the window)."""
     w, bucket = bucketed(part)
     lengths = np.diff(w.doc_at)
     blocks = -(-lengths // STEP)
-    block_at = np.concatenate([[0], np.cumsum(blocks)])
+    # each text has so many blocks of no weight after it that windows may reach over its end
+    block_at = np.append(0, np.cumsum(np.where(blocks > 0, blocks + WINDOWS[-1], 0)))
     if not block_at[-1]:
         return []
-    doc = np.repeat(np.arange(len(lengths)), blocks)
-    inside = (np.arange(block_at[-1]) - block_at[doc]) * STEP
-    # a text's last block is filled up with a word of no weight
-    first = w.doc_at[doc] + inside
-    padded, ends = np.append(bucket, BUCKETS), w.doc_at[doc + 1]
-    run = np.zeros((len(first) + 1, RANK), np.float32)
-    squares = np.zeros(len(first) + 1)
-    for k in range(STEP):
-        own = padded[np.where(first + k < ends, first + k, len(bucket))]
-        run[1:] += weighted.projection[own]
-        squares[1:] += weighted.square[own]
-    np.cumsum(run, axis=0, out=run)
-    np.cumsum(squares, out=squares)
-    near: list[tuple[np.ndarray, ...]] = []
-    for size, (window, stride) in enumerate(zip(WINDOWS, STRIDES)):
+    table, word_of = np.full(block_at[-1] * STEP, BUCKETS, np.int64), w.doc_of()
+    table[np.arange(len(bucket)) + (block_at[:-1] * STEP - w.doc_at[:-1])[word_of]] = bucket
+    table, doc = table.reshape(-1, STEP), np.repeat(np.arange(len(lengths)), blocks)
+    inside = np.arange(len(doc)) - (np.cumsum(blocks) - blocks)[doc]
+    place, sought = block_at[doc] + inside, []
+    for size, stride in enumerate(STRIDES):
         own = np.flatnonzero(items.size == size)
         own = own[items.length[items.of[own]] > 0]
         least = np.where(items.length[items.of[own]] > SHORT, min(limits[0], PIECE_COSINE), limits[0]).astype(np.float32)
         # a text's windows; the last ones reach over its end, so that short texts and ends have some
-        first = np.flatnonzero((np.arange(block_at[-1]) - block_at[doc]) % stride == 0)
-        if not len(own):
-            continue
-        last = np.minimum(first + window, block_at[doc[first] + 1])
-        together = max(64, min(8192, MATRIX // len(own)))
-        for at in range(0, len(first), together):
-            x, z = first[at : at + together], last[at : at + together]
-            vector = run[z] - run[x]
-            # where words repeat, the occurrences' own squares are too little; the projection alone is never more than the whole
-            norm = np.sqrt(np.maximum(np.maximum(squares[z] - squares[x], np.einsum("ij,ij->i", vector, vector)), 1e-6))
-            cosine = (vector / norm[:, None].astype(np.float32)) @ items.vectors[own].T
-            k, i = np.nonzero(cosine >= least)
-            near.append(_peaks(doc[x[k]], own[i], inside[x[k]], cosine[k, i], STEP * window // 2))
-    row, piece, start, cosine = _proposals(_all(near, (np.int64, np.int64, np.int64, np.float64)), items)
-    item, k = items.of[piece], len(piece)
-    by_word = _all(_by_words(w, bucket, items), (np.int64, np.int64, np.int64))
+        first = np.flatnonzero(inside % stride == 0)
+        if len(own):
+            sought.append((size, own, least, items.vectors[own].T, first, place[first].searchsorted(np.arange(0, len(table) + ROWS, ROWS))))
+    near: list[tuple[np.ndarray, ...]] = []
+    half = STEP * np.array(WINDOWS) // 2
+    for begin, vectors, squares in _window_sums(table, weighted):
+        for size, own, least, right, first, cuts in sought:
+            together = max(64, MATRIX // len(own))
+            for at in range(cuts[begin // ROWS], cuts[begin // ROWS + 1], together):
+                x = first[at : min(at + together, cuts[begin // ROWS + 1])]
+                vector = vectors[size].take(place[x] - begin, 0)
+                vector /= _norm(vector, squares[size].take(place[x] - begin))[:, None].astype(np.float32)
+                cosine = vector @ right
+                k = np.flatnonzero(cosine >= least)
+                if len(k):
+                    k, i = np.divmod(k, len(own))
+                    near.append(_peaks(doc[x[k]], own[i], inside[x[k]] * STEP, cosine[k, i], half[size]))
+    # once more, as these were cut apart
+    row, piece, start, cosine = _all(near, (np.int64, np.int64, np.int64, np.float64))
+    row, piece, start, cosine = _proposals(_peaks(row, piece, start, cosine, half[items.size[piece]]), items)
+    item, k, window = items.of[piece], len(piece), start // STEP
+    by_word = _all(_by_words(w, items), (np.int64, np.int64, np.int64))
     row, item = np.append(row, by_word[0]), np.append(item, by_word[1])
     cell = items.cell[by_word[1]]
     start, cosine = np.append(start - items.at[piece], by_word[2] * cell), np.append(cosine, np.full(len(cell), np.nan))
@@ -351,19 +400,21 @@ def _found(part: pa.Array, items: Items, weighted: Weighted, limits: tuple[float
     hi[k:] += 4 * cell
     lo, hi, start = np.maximum(lo, begin), np.minimum(hi, end), np.maximum(start, 0)
     kept = np.flatnonzero(_enough(w.hashes, items, item, lo, hi, min(limits[1:]) - 1e-9))
-    by_word = kept[kept >= k]
-    for at in range(0, len(by_word), 8192):
-        some = by_word[at : at + 8192]
-        # of the windows that begin in the region, the best
-        x, piece = block_at[row[some]] + start[some] // STEP, items.first[item[some]]
-        n = -(-(hi[some] - w.doc_at[row[some]]) // STEP) - start[some] // STEP
-        ends, best = block_at[row[some] + 1], np.full(len(some), -1.0)
-        for j in range(int(n.max(initial=0))):
-            own = np.flatnonzero(j < n)
-            u, v = x[own] + j, np.minimum(x[own] + j + np.array(WINDOWS)[items.size[piece[own]]], ends[own])
-            vector = run[v] - run[u]
-            norm = np.sqrt(np.maximum(np.maximum(squares[v] - squares[u], np.einsum("ij,ij->i", vector, vector)), 1e-6))
-            best[own] = np.maximum(best[own], np.einsum("ij,ij->i", vector, items.vectors[piece[own]]) / norm)
+    # the cosines of both kinds alike, so that the same window has the same one: of the window found, or of those that begin in the region the best
+    window, piece = np.append(window, start[k:] // STEP), np.append(piece, items.first[item[k:]])
+    windows = np.append(np.ones(k, np.int64), -(-(hi[k:] - w.doc_at[row[k:]]) // STEP) - window[k:])
+    for at in range(0, len(kept), 8192):
+        some = kept[at : at + 8192]
+        x, n = block_at[row[some]] + window[some], windows[some]
+        rows, best = np.maximum(n, 0) + WINDOWS[-1], np.full(len(some), -1.0)
+        offset = np.cumsum(rows) - rows
+        own = np.repeat(np.arange(len(some)), rows)
+        j = np.arange(len(own)) - offset[own]
+        for first, vectors, squares in _window_sums(table[np.minimum(x[own] + j, len(table) - 1)], weighted):
+            for size in range(len(WINDOWS)):
+                held = first + np.flatnonzero((j < n[own])[first : first + ROWS] & (items.size[piece[some[own[first : first + ROWS]]]] == size))
+                vector = vectors[size].take(held - first, 0)
+                np.maximum.at(best, own[held], np.einsum("ij,ij->i", vector, items.vectors[piece[some[own[held]]]]) / _norm(vector, squares[size].take(held - first)))
         cosine[some] = best
     kept = kept[(kept < k) | (cosine[kept] >= COSINE_BY_WORDS)]
     top: dict[tuple[int, int], tuple[float, float, bool, int]] = {}
@@ -399,13 +450,14 @@ def _all(parts, kinds: tuple) -> list[np.ndarray]:
     return [np.concatenate([p[k] for p in parts]).astype(kind) if parts else np.zeros(0, kind) for k, kind in enumerate(kinds)]
 
 
-def _by_words(w, bucket: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _by_words(w, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, items, cells): cells (each once) from which four hold as many looked-up words of the item as a match has at least."""
     doc = w.doc_of()
     # a range of words reaches so far into the next that no four cells are divided
     reach = 2 * SHORT + 4
-    for held, known, first, item, slot, most in items.index:
-        at = np.flatnonzero(held[bucket])
+    sieved = _sieved(w.hashes)
+    for held, known, first, item, most in items.index:
+        at = np.flatnonzero(held.take(sieved, mode="clip"))
         place = np.minimum(known.searchsorted(w.hashes[at]), len(known) - 1)
         right = known[place] == w.hashes[at]
         at, place = at[right], place[right]
@@ -414,27 +466,31 @@ def _by_words(w, bucket: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray,
         while begin < len(at):
             stop = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + POSTINGS, "right")))
             more = int(np.searchsorted(at, at[stop - 1] + reach, "right")) if stop < len(at) else stop
-            yield _in_cells(at[begin:more], place[begin:more], w, doc, items, first, item, slot, most)
+            yield _in_cells(at[begin:more], place[begin:more], w, doc, items, first, item, most)
             begin = stop
 
 
-def _in_cells(at: np.ndarray, place: np.ndarray, w, doc: np.ndarray, items: Items, first: np.ndarray, item: np.ndarray, slot: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
+def _in_cells(at: np.ndarray, place: np.ndarray, w, doc: np.ndarray, items: Items, first: np.ndarray, item: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
     """_by_words for some of the words, at and their places in the index."""
     out = []
     times = first[place + 1] - first[place]
     posting = np.arange(times.sum()) + np.repeat(first[place] - (np.cumsum(times) - times), times)
+    at = np.repeat(at, times)
+    kept = _dense_places(at - at[0], item.take(posting), items)
+    at, posting = at[kept], posting[kept]
+    if not len(at):
+        return _all(out, (np.int64,) * 3)
     of = item[posting]
-    cell = np.repeat(at - w.doc_at[doc[at]], times) // items.cell[of] + 3
+    cell = (at - w.doc_at[doc[at]]) // items.cell[of] + 3
     # so many cells a text that the next text's are never in reach
-    cells, base, slots = int(cell.max()) + 4, int(item.min()), int(slot.max()) + 1
-    count = int(item.max()) - base + 1
-    key = ((np.repeat(doc[at], times).astype(np.int64) * count + of - base) * cells + cell) * slots + slot[posting]
-    order = np.argsort(key)
-    key, posting = key[order], posting[order]
+    cells, base = int(cell.max()) + 4, int(of.min())
+    count = int(of.max()) - base + 1
+    # an item's word has one posting
+    key = np.sort((((doc[at] * count + of - base) * cells + cell) * len(item)) + posting)
     # a word counts in a cell at most as often as in the item
     begins = np.flatnonzero(np.append(True, np.diff(key) > 0))
-    n = np.minimum(np.diff(np.append(begins, len(key))), most[posting[begins]])
-    key = key[begins] // slots
+    n = np.minimum(np.diff(np.append(begins, len(key))), most[key[begins] % len(item)])
+    key = key[begins] // len(item)
     begins = np.flatnonzero(np.append(True, np.diff(key) > 0))
     key, n = key[begins], np.add.reduceat(n, begins)
     of = key // cells % count + base
@@ -450,7 +506,20 @@ def _in_cells(at: np.ndarray, place: np.ndarray, w, doc: np.ndarray, items: Item
     return tuple(_all(out, (np.int64,) * 3))
 
 
-def _peaks(row: np.ndarray, item: np.ndarray, start: np.ndarray, cosine: np.ndarray, half: int) -> tuple[np.ndarray, ...]:
+def _dense_places(at: np.ndarray, of: np.ndarray, items: Items) -> np.ndarray:
+    """Which postings (places of words and their items) may be among as many within four cells as a match has: such places lie in two bins of that length, one after the other."""
+    base = int(of.min())
+    length = 4 * items.cell[base : int(of.max()) + 1] + 1
+    bins = at[-1] // length + 3  # the last ones stay empty
+    bin_at = np.cumsum(bins) - bins
+    own = of - base
+    own = bin_at.take(own) + (at * (1.0 / length).take(own)).astype(np.int64)
+    n = np.bincount(own, minlength=bins.sum())
+    most = n + np.maximum(np.append(n[1:], 0), np.append(0, n[:-1]))
+    return np.flatnonzero(most.take(own) >= items.least.take(of))
+
+
+def _peaks(row: np.ndarray, item: np.ndarray, start: np.ndarray, cosine: np.ndarray, half: int | np.ndarray) -> tuple[np.ndarray, ...]:
     """(rows, items, starts, cosines): the best of the windows that begin within half a window's length; their regions overlap almost whole."""
     order = np.lexsort((start, -cosine, start // half, item, row))
     key = np.stack([row, item, start // half])[:, order]
@@ -505,7 +574,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for k, items in enumerate(fitted.item_groups(min(lcs_share, paraphrase_share))):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, limit=1 << 20):
+            for part in slices(batches, limit=BYTES):
                 found = _found(part.column("text"), items.value, weighted.value, limits)
                 ids = part.column("id").to_pylist()
                 yield pa.RecordBatch.from_pylist([{"id": ids[r], "item_id": items.value.ids[i], "cosine": min(c, 1.0), "lcs": s, "answered": bool(a), "word": at} for r, i, c, s, a, at in found], schema=schema)
@@ -526,7 +595,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for items in fitted.item_groups(min(limits[1:])):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, text_col, 1 << 20):
+            for part in slices(batches, text_col, BYTES):
                 held = {r for r, *_ in _found(part.column(text_col), items.value, weighted.value, limits)}
                 yield part.filter(pc.invert(pa.array([i in held for i in range(part.num_rows)], pa.bool_()))) if held else part
 

@@ -97,18 +97,18 @@ class Words:
         return self.body[self.starts[i] : self.ends[i]].tobytes().decode("utf-8", "replace")
 
 
-def words(texts: pa.Array, lower: bool = True, kinds: np.ndarray = WHOLE) -> Words:
-    """All words of the texts: runs of bytes of one kind other than 0."""
+def words(texts: pa.Array, lower: bool = True, kinds: np.ndarray = WHOLE, chunk: int = CHUNK) -> Words:
+    """All words of the texts: runs of bytes of one kind other than 0. chunk: so many bytes are looked at together; it changes no result."""
     body, byte_at = flat(texts)
     codes = _LOWER_CODES if lower else _CODES
     edges = np.unique(byte_at)
     hashes, starts, ends = [], [], []
     first, n = 0, len(body)
     while first < n:
-        last = _cut(body, edges, first, min(n, first + CHUNK))
+        last = _cut(body, edges, first, min(n, first + chunk))
         part = body[first:last]
         full = np.zeros(len(part) + 2, np.uint8)
-        full[1:-1] = kinds[part]
+        kinds.take(part, mode="clip", out=full[1:-1])
         split = edges[np.searchsorted(edges, first, "right") : np.searchsorted(edges, last, "left")] - first
         change = full[1:] != full[:-1]
         change[split] = True
@@ -117,7 +117,7 @@ def words(texts: pa.Array, lower: bool = True, kinds: np.ndarray = WHOLE) -> Wor
         s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
         power, inverse = powers(len(part) + 1)
         sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(codes[part] * power[: len(part)], out=sums[1:])
+        np.cumsum(codes.take(part, mode="clip") * power[: len(part)], out=sums[1:])
         hashes.append(mix((sums[e] - sums[s]) * inverse[s]))
         starts.append(s + first)
         ends.append(e + first)

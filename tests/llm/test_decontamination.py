@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontamination as D
@@ -169,3 +171,25 @@ def test_later_passages_and_texts_count(spark, monkeypatch):
     bench = spark.createDataFrame([(1, " ".join(f"item{i}" for i in range(480)))], "item_id long, text string")
     D.contaminated(docs, bench)
     assert seen == [30_000 + 100 + 10]
+
+
+def test_places_do_not_depend_on_other_texts():
+    """An item is told at the same place and cosine whatever texts are searched with its text; of equal places the first. Before, sums over all texts before it moved them."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(2000)]
+    make = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    texts = [make(n) for n in (16, 24, 33, 41, 52, 120)]
+    basis = np.linalg.qr(np.random.default_rng(5).normal(size=(D.BUCKETS, D.RANK)))[0]
+    weighted = D.Weighted(np.vstack([basis, np.zeros(D.RANK)]).astype(np.float32), np.append(np.ones(D.BUCKETS), 0.0))
+    items = D._items([Row(item=k, text=" ".join(x)) for k, x in enumerate(texts)], weighted, D.PARAPHRASE_SHARE)
+    docs = []
+    for k in range(60):
+        item = texts[k % len(texts)]
+        # twice, at places that are as many blocks apart from the text's begin as windows of all sizes are
+        docs.append(" ".join([*make(12 * rng.randrange(40)), *item, *make(-len(item) % 24 + 24 * 30), *item, *make(rng.randrange(200))]))
+    limits = (D.LEAST_COSINE, D.LCS_SHARE, D.PARAPHRASE_SHARE)
+    together = {f[:2]: f[2:] for f in D._found(pa.array(docs), items, weighted, limits)}
+    alone = {(k, f[1]): f[2:] for k, text in enumerate(docs) for f in D._found(pa.array([text]), items, weighted, limits)}
+    assert set(together) == set(alone) >= {(k, k % len(texts)) for k in range(60)}
+    for k, (cosine, share, answered, word) in together.items():
+        assert (share, answered, word) == alone[k][1:] and abs(cosine - alone[k][0]) < 1e-6
