@@ -1,14 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval (operator 1).
 
-1. Document frequencies of hashed words over all documents.
+1. Document frequencies of hashed words over all documents; the buckets of each text's words are kept from the same reading.
 2. A randomised SVD of the TF-IDF matrix of passages: all words of all documents (each text once, so that copies
-   do not count more) and of the benchmark's items, in runs of PASSAGE words. Two passes over the distributed rows
-   multiply by A'A; only matrices of BUCKETS rows meet on the driver, whatever the input. The passages of a text weigh
+   do not count more) and of the benchmark's items, in runs of PASSAGE words. A first pass over the distributed rows
+   multiplies by A'A, a second one tells the inner products of A with the range found, which is all that Rayleigh-Ritz needs of A'A there;
+   only one matrix of BUCKETS rows and a small one meet on the driver, whatever the input. The passages of a text weigh
    LONG at most together, so that long texts and items don't crowd out short ones; where those of the documents weigh more than
    BALANCE, the items weigh more in proportion, so that a larger table leaves them their share of the subspace.
 3. Every window of every document is projected and compared with the items by cosine: the inner product within
    the subspace over the whole vectors' norms, divided by the share of the item's own energy that the subspace
-   holds. A copy scores 1, and text about other things little, however few dimensions there are.
+   holds. A copy scores 1, and text about other things little, however few dimensions there are. Windows of whose norm the
+   subspace holds too little for any item's cosine are not compared with the items.
    Beside that, items of at most SHORT words are found by words: a text that shares enough of an item's words in order holds, within
    some stretch, at least as many of them less those left out as too common. Counted by cells of half an item's
    length, this loses no stretch of up to one and a half times the item's length. The cosine of such a place must
@@ -34,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.sampling import groups, parts_of, summed
+from graphloom.llm.sampling import SUMS, groups, parts_of, summed, total_of
 from graphloom.llm.tables import drop, staged
 from graphloom.llm.words import mix, slices, words
 
@@ -46,6 +48,8 @@ TOGETHER, A_TASK, FREQUENT = 2_000, 500_000, 32
 ROWS = 512
 #: So many bytes of text are cut into passages or searched at a time (or one text), and so many are cut into words, for the same reason.
 BYTES, TOKENIZED = 1 << 18, 1 << 16
+#: The columns of _tokens; a task remembers so many texts.
+TOKENS, SEEN = ["part", "salt", "sums", "key", "other", "words"], 200_000
 STEP, WINDOWS, STRIDES = 4, (4, 8, 13), (1, 2, 3)  # in blocks of STEP words
 LEAST_COSINE, LCS_SHARE, PARAPHRASE_SHARE, ANSWER_SHARE = 0.5, 0.6, 0.4, 0.8
 PIECE = STEP * WINDOWS[-1]
@@ -57,8 +61,8 @@ COSINE_BY_WORDS = 0.25
 SIEVE = 1 << 18
 #: So many postings are looked at together, and so many words of regions.
 POSTINGS, REGIONS = 1_000_000, 1 << 16
-#: So many cosines are in memory together, or those of 64 windows.
-MATRIX = 4_000_000
+#: So many cosines are in memory together, or those of 64 windows; windows are kept for them until there are so many.
+MATRIX, WINDOWS_AT_ONCE = 4_000_000, 8_192
 #: Of the words that a match needs, this share may be of those not looked up; and items in one index of words.
 COMMON, ITEMS_AN_INDEX = 0.6, 2_000
 #: Items are compared so many, and so many bytes of them, at a time; more take another pass over the documents.
@@ -70,73 +74,133 @@ def bucketed(texts: pa.Array):
     return w, (w.hashes >> np.uint64(50)).astype(np.int64)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts each bucket occurs, and the number of texts."""
-    total = np.zeros(BUCKETS + 1)
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of two kinds: the buckets of each text's words, with the text's hashes; and, as in summed(), in how many texts each bucket occurs and the number of texts. Copies in a task mostly come once, so that no text has many rows."""
+    total, seen = np.zeros(BUCKETS + 1), set()
     for part in groups(batches):
         w, bucket = bucketed(part.column("text"))
         held = np.zeros((part.num_rows, BUCKETS), bool)
         held[w.doc_of(), bucket] = True
         total[:-1] += held.sum(0)
         total[-1] += part.num_rows
-    yield parts_of(total)
+        if len(seen) > SEEN:
+            seen.clear()
+        words_of = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((2 * w.doc_at).astype(np.int32)), pa.py_buffer(bucket.astype(np.int16))])
+        nulls = [pa.nulls(part.num_rows, x) for x in (pa.int64(), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*nulls, part.column("key"), part.column("other"), words_of], names=TOKENS).filter(_new(part, seen))
+    rows = parts_of(total)
+    yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.nulls(rows.num_rows, x) for x in (pa.int64(), pa.int64(), pa.binary()))], names=TOKENS)
 
 
-def _passages(idf: np.ndarray):
+def _new(part: pa.RecordBatch, seen: set[int]) -> pa.Array:
+    """Which rows' texts, by two hashes as one, are not among the seen ones; now they are."""
+    out = []
+    for key, other in zip(part.column("key").to_pylist(), part.column("other").to_pylist()):
+        both = (key << 64) + other
+        out.append(both not in seen)
+        seen.add(both)
+    return pa.array(out, pa.bool_())
+
+
+def _cut(bucket: np.ndarray, doc_at: np.ndarray, idf: np.ndarray) -> pa.RecordBatch:
     """Every word of every text, in runs of PASSAGE words of one text (its last run may be shorter): their buckets, one over the TF-IDF norm, and the weight."""
+    doc = np.repeat(np.arange(len(doc_at) - 1), np.diff(doc_at))
+    begins = (np.arange(len(bucket)) - doc_at[doc]) % PASSAGE == 0
+    first = np.flatnonzero(begins)
+    cell, count = np.unique((np.cumsum(begins) - 1) * BUCKETS + bucket, return_counts=True)
+    value = count * idf[cell % BUCKETS]
+    share = 1 / np.maximum(np.sqrt(np.bincount(cell // BUCKETS, value * value, len(first))), 1e-12)
+    of = doc[first]
+    weight = np.minimum(1.0, LONG / np.bincount(of, minlength=1)[of])
+    offsets = 2 * np.append(first, len(bucket)).astype(np.int32)
+    body = pa.py_buffer(bucket.astype(np.int16).tobytes())
+    return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), body]), pa.array(share), pa.array(weight)], names=["passage", "share", "weight"])
 
+
+def _passages(idf: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=BYTES):
             w, bucket = bucketed(part.column("text"))
-            begins = (np.arange(len(bucket)) - w.doc_at[w.doc_of()]) % PASSAGE == 0
-            first = np.flatnonzero(begins)
-            cell, count = np.unique((np.cumsum(begins) - 1) * BUCKETS + bucket, return_counts=True)
-            value = count * idf[cell % BUCKETS]
-            share = 1 / np.maximum(np.sqrt(np.bincount(cell // BUCKETS, value * value, len(first))), 1e-12)
-            of = w.doc_of()[first]
-            weight = np.minimum(1.0, LONG / np.bincount(of, minlength=1)[of])
-            offsets = 2 * np.append(first, len(bucket)).astype(np.int32)
-            body = pa.py_buffer(bucket.astype(np.int16).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), body]), pa.array(share), pa.array(weight)], names=["passage", "share", "weight"])
+            yield _cut(bucket, w.doc_at, idf)
 
     return run
 
 
+def _passages_once(idf: np.ndarray):
+    """Of _tokens, where all rows of a text are in one task: each text once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for part in slices(batches, "words", BYTES // 2):
+            own, doc_at = _packed(part.filter(_new(part, seen)).column("words"))
+            yield _cut(own.astype(np.int64), doc_at, idf)
+
+    return run
+
+
+def _packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all rows, one after the other, and where each row's begin (and the last end)."""
+    held = column.cast(pa.large_binary())
+    offsets = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1] // 2 if len(held) else np.zeros(1, np.int64)
+    return (np.frombuffer(held.buffers()[2], np.int16)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.int16)), offsets - offsets[0]
+
+
 def passages(texts: DataFrame, idf: np.ndarray) -> DataFrame:
     """(passage, share, weight) of texts, one column text."""
     return texts.mapInArrow(_passages(idf), "passage binary, share double, weight double")
 
 
+def _products(batches: Iterator[pa.RecordBatch], scaled: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(buckets, their passages, sums, shares, weights) of TOGETHER passages at a time: a passage's sum is of its words' rows of scaled, whose last row is 0."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(at, TOGETHER)
+            own, offsets = _packed(part.column("passage"))
+            # short passages are filled up with a word of no weight
+            table = np.full((PASSAGE, part.num_rows), BUCKETS, np.int64)
+            row = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+            table[np.arange(len(own)) - offsets[row], row] = own
+            left, more = np.empty((part.num_rows, scaled.shape[1])), np.empty((ROWS, scaled.shape[1]))
+            for lo in range(0, part.num_rows, ROWS):
+                some = left[lo : lo + ROWS]
+                scaled.take(table[0, lo : lo + ROWS], 0, out=some, mode="clip")
+                for words_at in table[1:, lo : lo + ROWS]:
+                    some += scaled.take(words_at, 0, out=more[: len(some)], mode="clip")
+            yield own, row, left, part.column("share").to_numpy(), part.column("weight").to_numpy()
+
+
+def _scaled(idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    return np.vstack([idf[:, None] * basis, np.zeros(basis.shape[1])])
+
+
 def _multiply(idf: np.ndarray, basis: np.ndarray):
     """A'A times the basis, a task's share of it; A's rows are unit TF-IDF passages times the root of their weight."""
-    scaled = np.vstack([idf[:, None] * basis, np.zeros(basis.shape[1])])
+    scaled = _scaled(idf, basis)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BUCKETS, scaled.shape[1]))  # and so basis itself isn't sent
-        for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
-                held = part.column("passage").cast(pa.large_binary())
-                offsets = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1] // 2
-                own = np.frombuffer(held.buffers()[2], np.int16)[offsets[0] : offsets[-1]]
-                # short passages are filled up with a word of no weight
-                table = np.full((PASSAGE, len(held)), BUCKETS, np.int64)
-                length = np.diff(offsets)
-                row = np.repeat(np.arange(len(held)), length)
-                table[np.arange(len(own)) - (offsets[:-1] - offsets[0])[row], row] = own
-                left, more = np.empty((len(held), scaled.shape[1])), np.empty((ROWS, scaled.shape[1]))
-                for lo in range(0, len(held), ROWS):
-                    some = left[lo : lo + ROWS]
-                    scaled.take(table[0, lo : lo + ROWS], 0, out=some, mode="clip")
-                    for words_at in table[1:, lo : lo + ROWS]:
-                        some += scaled.take(words_at, 0, out=more[: len(some)], mode="clip")
-                left *= (np.square(part.column("share").to_numpy()) * part.column("weight").to_numpy())[:, None]
-                _add(total, own, left, row)
+        for own, row, left, share, weight in _products(batches, scaled):
+            left *= (np.square(share) * weight)[:, None]
+            _add(total, own, left, row)
         yield parts_of(idf[:, None] * total)
 
     return run
 
 
+def _gram(idf: np.ndarray, basis: np.ndarray):
+    """The basis' transpose times A'A times the basis, a task's share of it: of A times the basis, no more than its rows' inner products."""
+    scaled = _scaled(idf, basis)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((scaled.shape[1],) * 2)
+        for _, _, left, share, weight in _products(batches, scaled):
+            left *= (share * np.sqrt(weight))[:, None]
+            total += left.T @ left
+        yield parts_of(total)
+
+    return run
+
+
 def _add(total: np.ndarray, bucket: np.ndarray, left: np.ndarray, row: np.ndarray) -> None:
     """Adds to each word's bucket its passage's row of left."""
     order = np.argsort(bucket, kind="stable")
@@ -165,8 +229,7 @@ def latent_basis(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
     if once is None:
         return start[:, :RANK]
     q = np.linalg.qr(once.reshape(BUCKETS, -1))[0]
-    again = summed(rows, _multiply(idf, q)).reshape(BUCKETS, -1)
-    inner = q.T @ again
+    inner = summed(rows, _gram(idf, q)).reshape(q.shape[1], -1)
     vectors = np.linalg.eigh((inner + inner.T) / 2)[1][:, ::-1]
     return q @ vectors[:, :RANK]
 
@@ -212,7 +275,7 @@ def _sieved(word: np.ndarray) -> np.ndarray:
 
 
 def _index(known: list[tuple[np.ndarray, np.ndarray]], weighted: Weighted, share: float) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
-    """How many looked-up words a match of this share has, by item; and, of items of at most SHORT words, (a sieve of the words, words, their first postings, postings: items, times there) for so many items at a time."""
+    """How many looked-up words a match of this share has, by item; and, of items of at most SHORT words, (the first word of each cell of a sieve, words, their first postings, postings: items, times there) for so many items at a time."""
     least, kept = np.zeros(len(known), np.int64), []
     for i, (own, times) in enumerate(known):
         if times.sum() > SHORT:
@@ -232,8 +295,9 @@ def _index(known: list[tuple[np.ndarray, np.ndarray]], weighted: Weighted, share
         item = np.repeat(np.arange(at, at + len(some)), [len(x) for x, *_ in some])
         order = np.argsort(word, kind="stable")
         distinct, first = np.unique(word[order], return_index=True)
-        held = np.zeros(SIEVE, bool)
-        held[_sieved(distinct)] = True
+        # the first word in each cell, or -1
+        held, cell = np.full(SIEVE, -1, np.int32), _sieved(distinct)
+        held[cell[::-1]] = np.arange(len(distinct))[::-1]
         if len(word):
             index.append((held, distinct, np.append(first, len(word)), item[order], times[order]))
     return least, index
@@ -263,7 +327,7 @@ def _items(rows: list, weighted: Weighted, share: float) -> Items:
     keys = _joint(np.concatenate([x for x, _ in known]), np.repeat(np.arange(len(known)), [len(x) for x, _ in known]))
     order = np.argsort(keys)
     sieve = np.zeros(1 << max(16, int(32 * len(keys)).bit_length()), bool)
-    sieve[keys & np.uint64(len(sieve) - 1)] = True
+    sieve[_half(np.concatenate([x for x, _ in known]) ^ _salt(np.repeat(np.arange(len(known)), [len(x) for x, _ in known]))) >> np.uint32(33 - len(sieve).bit_length())] = True
     return Items(
         [r.item for r in rows], length, hashes, known, answers, of, at, np.searchsorted(of, np.arange(len(cuts))), size, vectors.astype(np.float32), least, cell, index,
         keys[order], np.concatenate([x for _, x in known])[order], sieve,
@@ -279,22 +343,31 @@ def _salt(item: np.ndarray) -> np.ndarray:
     return (item.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 
 
+def _half(x: np.ndarray) -> np.ndarray:
+    """The upper half of hashes."""
+    return (x >> np.uint64(32)).astype(np.uint32)
+
+
 def _enough(hashes: np.ndarray, items: Items, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, share: float) -> np.ndarray:
     """Which regions hold this share of the item's words in any order: no subsequence is longer than what the two have in common."""
     out = np.zeros(len(item), bool)
     needed = share * items.length
     ends = np.cumsum(hi - lo)
-    first = 0
+    first, half, salt = 0, _half(hashes), _salt(item)
+    salted, shift = _half(salt), np.uint32(33 - len(items.sieve).bit_length())
     while first < len(item):
         last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + REGIONS, "right")))
         size = (hi - lo)[first:last]
-        region = np.repeat(np.arange(last - first, dtype=np.int64), size)
-        word = np.arange(size.sum()) + np.repeat(lo[first:last] - (np.cumsum(size) - size), size)
-        key = mix(hashes.take(word) ^ np.repeat(_salt(item[first:last]), size))
-        here = np.flatnonzero(items.sieve.take((key & np.uint64(len(items.sieve) - 1)).astype(np.int64), mode="clip"))
-        place = np.minimum(items.keys.searchsorted(key[here]), len(items.keys) - 1)
-        right = items.keys[place] == key[here]
-        at = np.sort(region[here[right]] * len(items.keys) + place[right])
+        region = np.repeat(np.arange(last - first), size)
+        word = np.arange(len(region)) + (lo[first:last] - (np.cumsum(size) - size)).take(region)
+        # half of each hash tells most words that are not in the item
+        key = half.take(word) ^ salted[first:last].take(region)
+        here = np.flatnonzero(items.sieve.take(key >> shift, mode="clip"))
+        region = region[here]
+        key = mix(hashes.take(word[here]) ^ salt[first:last].take(region))
+        place = np.minimum(items.keys.searchsorted(key), len(items.keys) - 1)
+        right = items.keys[place] == key
+        at = np.sort(region[right] * len(items.keys) + place[right])
         begins = np.flatnonzero(np.append(True, np.diff(at) > 0)[: len(at)])
         n = np.minimum(np.diff(np.append(begins, len(at))), items.times[at[begins] % len(items.keys)])
         out[first:last] = np.bincount(at[begins] // len(items.keys), weights=n, minlength=last - first) >= needed[item[first:last]]
@@ -333,19 +406,25 @@ def _runs(x: np.ndarray) -> list[np.ndarray]:
 
 def _window_sums(table: np.ndarray, weighted: Weighted) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray]]]:
     """(first block, projections, squares), ROWS blocks of a table of blocks at a time: of the windows of each size from each of them. The last blocks, less than the longest window, may have none."""
+    kinds = [(x, *(np.empty((ROWS + WINDOWS[-1] - 1, *x.shape[1:]), x.dtype) for _ in range(2))) for x in (weighted.projection, weighted.square)]
     for at in range(0, len(table) - WINDOWS[-1] + 1, ROWS):
-        some, out = table[at : at + ROWS + WINDOWS[-1] - 1], []
-        for by_bucket in (weighted.projection, weighted.square):
-            blocks = by_bucket.take(some[:, 0], 0)
+        some, out = np.ascontiguousarray(table[at : at + ROWS + WINDOWS[-1] - 1].T), []
+        for by_bucket, blocks, more in kinds:
+            blocks, more = blocks[: some.shape[1]], more[: some.shape[1]]
+            by_bucket.take(some[0], 0, out=blocks, mode="clip")
             for k in range(1, STEP):
-                blocks += by_bucket.take(some[:, k], 0)
+                blocks += by_bucket.take(some[k], 0, out=more, mode="clip")
             out.append(_runs(blocks))
         yield at, *out
 
 
-def _norm(vector: np.ndarray, square: np.ndarray) -> np.ndarray:
-    """Of windows. Where words repeat, the occurrences' own squares are too little; the projection alone is never more than the whole."""
-    return np.sqrt(np.maximum(np.maximum(square, np.einsum("ij,ij->i", vector, vector)), 1e-6))
+def _norm(square: np.ndarray, energy: np.ndarray) -> np.ndarray:
+    """Of windows, by their squares and those of their projections. Where words repeat, the occurrences' own squares are too little; the projection alone is never more than the whole."""
+    return np.sqrt(np.maximum(np.maximum(square, energy), 1e-6))
+
+
+def _energy(vector: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", vector, vector)
 
 
 def _found(part: pa.Array, items: Items, weighted: Weighted, limits: tuple[float, float, float]) -> list[tuple[int, int, float, float, bool, int]]:
@@ -369,21 +448,40 @@ def _found(part: pa.Array, items: Items, weighted: Weighted, limits: tuple[float
         # a text's windows; the last ones reach over its end, so that short texts and ends have some
         first = np.flatnonzero(inside % stride == 0)
         if len(own):
-            sought.append((size, own, least, items.vectors[own].T, first, place[first].searchsorted(np.arange(0, len(table) + ROWS, ROWS))))
+            right = items.vectors[own]
+            # no cosine is more than the share of a window's norm that the subspace holds, times the item's length there; less some room for rounding
+            bound = np.float32((1 - 1e-4) / (np.sqrt(_energy(right)) / least).max())
+            sought.append((size, own, least, right.T, bound * bound, first, place[first].searchsorted(np.arange(0, len(table) + ROWS, ROWS)), []))
     near: list[tuple[np.ndarray, ...]] = []
     half = STEP * np.array(WINDOWS) // 2
+
+    def compare(size: int, own: np.ndarray, least: np.ndarray, right: np.ndarray, held: list) -> None:
+        x, vector = (np.concatenate(y) for y in zip(*held))
+        held.clear()
+        together = max(64, MATRIX // len(own))
+        for at in range(0, len(x), together):
+            cosine = vector[at : at + together] @ right
+            k = np.flatnonzero(cosine >= least)
+            if len(k):
+                k, i = np.divmod(k, len(own))
+                block = x[at + k]
+                near.append(_peaks(doc[block], own[i], inside[block] * STEP, cosine[k, i], half[size]))
+
     for begin, vectors, squares in _window_sums(table, weighted):
-        for size, own, least, right, first, cuts in sought:
-            together = max(64, MATRIX // len(own))
-            for at in range(cuts[begin // ROWS], cuts[begin // ROWS + 1], together):
-                x = first[at : min(at + together, cuts[begin // ROWS + 1])]
-                vector = vectors[size].take(place[x] - begin, 0)
-                vector /= _norm(vector, squares[size].take(place[x] - begin))[:, None].astype(np.float32)
-                cosine = vector @ right
-                k = np.flatnonzero(cosine >= least)
-                if len(k):
-                    k, i = np.divmod(k, len(own))
-                    near.append(_peaks(doc[x[k]], own[i], inside[x[k]] * STEP, cosine[k, i], half[size]))
+        for size, own, least, right, bound, first, cuts, held in sought:
+            x = first[cuts[begin // ROWS] : cuts[begin // ROWS + 1]]
+            energy = _energy(vectors[size])
+            norm = _norm(squares[size], energy)
+            row = place[x] - begin
+            some = np.flatnonzero((energy >= bound * (norm * norm)).take(row))
+            if len(some):
+                row = row[some]
+                held.append((x[some], vectors[size].take(row, 0) / norm.take(row)[:, None].astype(np.float32)))
+                if sum(len(y) for y, _ in held) >= WINDOWS_AT_ONCE:
+                    compare(size, own, least, right, held)
+    for size, own, least, right, *_, held in sought:
+        if held:
+            compare(size, own, least, right, held)
     # once more, as these were cut apart
     row, piece, start, cosine = _all(near, (np.int64, np.int64, np.int64, np.float64))
     row, piece, start, cosine = _proposals(_peaks(row, piece, start, cosine, half[items.size[piece]]), items)
@@ -414,7 +512,7 @@ def _found(part: pa.Array, items: Items, weighted: Weighted, limits: tuple[float
             for size in range(len(WINDOWS)):
                 held = first + np.flatnonzero((j < n[own])[first : first + ROWS] & (items.size[piece[some[own[first : first + ROWS]]]] == size))
                 vector = vectors[size].take(held - first, 0)
-                np.maximum.at(best, own[held], np.einsum("ij,ij->i", vector, items.vectors[piece[some[own[held]]]]) / _norm(vector, squares[size].take(held - first)))
+                np.maximum.at(best, own[held], np.einsum("ij,ij->i", vector, items.vectors[piece[some[own[held]]]]) / _norm(squares[size].take(held - first), _energy(vector)))
         cosine[some] = best
     kept = kept[(kept < k) | (cosine[kept] >= COSINE_BY_WORDS)]
     top: dict[tuple[int, int], tuple[float, float, bool, int]] = {}
@@ -457,9 +555,13 @@ def _by_words(w, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
     reach = 2 * SHORT + 4
     sieved = _sieved(w.hashes)
     for held, known, first, item, most in items.index:
-        at = np.flatnonzero(held.take(sieved, mode="clip"))
-        place = np.minimum(known.searchsorted(w.hashes[at]), len(known) - 1)
-        right = known[place] == w.hashes[at]
+        place = held.take(sieved, mode="clip")
+        at = np.flatnonzero(place >= 0)
+        place, word = place[at].astype(np.int64), w.hashes[at]
+        # another word than the cell's first one may be a later one
+        other = np.flatnonzero(known.take(place) != word)
+        place[other] = np.minimum(known.searchsorted(word[other]), len(known) - 1)
+        right = known.take(place) == word
         at, place = at[right], place[right]
         upto = np.cumsum(first[place + 1] - first[place])
         begin = 0
@@ -534,10 +636,15 @@ class Retriever:
         spark = docs.sparkSession
         texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
         named = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
-        counts = summed(texts, _frequencies)
+        # read and cut into words once for both: the frequencies, and the passages, which need them
+        keyed = texts.select("text", F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), "text").alias("other"))
+        tokens = staged(keyed.mapInArrow(_tokens, f"{SUMS}, key long, other long, words binary"), "tokens")
+        counts = total_of(tokens.where("part is not null").select("part", "salt", "sums"))
         df, n = (counts[:-1], counts[-1]) if counts is not None else (np.zeros(BUCKETS), 0.0)
         idf = np.log((n + 1) / (df + 1)) + 0.05
-        own = staged(passages(texts.distinct(), idf), "passages")
+        once = tokens.where("part is null").select("key", "other", "words").repartition("key")
+        own = staged(once.mapInArrow(_passages_once(idf), "passage binary, share double, weight double"), "passages")
+        drop(tokens)
         count, weighed = own.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
         weight = ITEM_WEIGHT**2 * max(1.0, weighed / BALANCE)
         # each task sends a whole matrix of sums, so there are few for a small table

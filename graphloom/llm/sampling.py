@@ -62,13 +62,21 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([salt], pa.int64()), pa.array([x], pa.binary())], names=["part", "salt", "sums"])
 
 
+#: The columns of parts_of.
+SUMS = "part long, salt long, sums binary"
+
+
 def summed(df: DataFrame, run) -> np.ndarray | None:
-    """The sum over all tasks of the arrays that run makes of df's partitions (parts_of); None without partitions.
+    """The sum over all tasks of the arrays that run makes of df's partitions (parts_of); None without partitions."""
+    return total_of(df.mapInArrow(run, SUMS))
+
+
+def total_of(parts: DataFrame) -> np.ndarray | None:
+    """The sum of all tasks' arrays, whose rows (parts_of) these are; None without rows.
 
     Two steps, so that no task reads a row of every task: by piece and group of tasks, then by piece. The second shuffles an array
     for each group, not for each task: one where there are few tasks.
     """
-    schema = "part long, salt long, sums binary"
-    rows = df.mapInArrow(run, schema).repartition("part", "salt").mapInArrow(_total, schema)
-    whole = rows.withColumn("salt", F.lit(0).cast("long")).repartition("part").mapInArrow(_total, schema).collect()
+    rows = parts.repartition("part", "salt").mapInArrow(_total, SUMS)
+    whole = rows.withColumn("salt", F.lit(0).cast("long")).repartition("part").mapInArrow(_total, SUMS).collect()
     return np.concatenate([np.frombuffer(bytes(r.sums)) for r in sorted(whole, key=lambda r: r.part)]) if whole else None

@@ -193,3 +193,67 @@ def test_places_do_not_depend_on_other_texts():
     assert set(together) == set(alone) >= {(k, k % len(texts)) for k in range(60)}
     for k, (cosine, share, answered, word) in together.items():
         assert (share, answered, word) == alone[k][1:] and abs(cosine - alone[k][0]) < 1e-6
+
+
+def test_documents_are_read_once_before_the_search(spark, monkeypatch):
+    """Frequencies and passages come of one reading, and one product of two sends a matrix of BUCKETS rows; before, two each. Copies in several tasks are one text, other blanks make another."""
+    products, seen, plain, fitted = [], [], D._multiply, D.latent_basis
+    monkeypatch.setattr(D, "_multiply", lambda *x: products.append(1) or plain(*x))
+    monkeypatch.setattr(D, "latent_basis", lambda rows, idf: seen.append((rows.count(), idf)) or fitted(rows, idf))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    texts = [f"text {k % 500}" for k in range(3_000)] + ["text  7", None, "", "same words " * 100, "same words " * 100]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7).mapInArrow(counted, "doc_id long, text string")
+    D.Retriever(docs, spark.createDataFrame([(1, "an item of words")], "item_id long, text string"), "text", "item_id", "text")
+    assert read.value == len(texts) and len(products) == 1
+    (rows, idf), n = seen[0], len(texts)
+    assert rows == 500 + 1 + -(-200 // D.PASSAGE) + 1
+    _, bucket = D.bucketed(pa.array(["text same never"]))
+    assert np.allclose(idf[bucket], [np.log((n + 1) / (df + 1)) + 0.05 for df in (3_001, 2, 0)])
+
+
+def test_inner_products_of_the_second_pass(spark):
+    few = spark.createDataFrame([(" ".join(f"w{i % 700}" for i in range(3_000)),), ("a a a b",)], "text string")
+    idf, basis = np.linspace(0.05, 3, D.BUCKETS), np.linalg.qr(np.random.default_rng(6).normal(size=(D.BUCKETS, D.OVERSAMPLED)))[0]
+    rows = D.passages(few, idf)
+    whole = summed(rows, D._multiply(idf, basis)).reshape(D.BUCKETS, -1)
+    assert np.allclose(summed(rows, D._gram(idf, basis)).reshape(D.OVERSAMPLED, -1), basis.T @ whole)
+
+
+def test_windows_left_out_reach_no_cosine(monkeypatch):
+    """All windows compared with all pieces find no more than those whose norms within the subspace allow it."""
+    rng, near = random.Random(9), set()
+    vocabulary = [f"w{k}" for k in range(1500)]
+    make = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    texts = [make(n) for n in (10, 16, 24, 33, 41, 52, 120, 300)]
+    docs = [" ".join([*make(rng.randrange(300)), *(w if rng.random() < 0.6 else rng.choice(vocabulary) for w in rng.choice(texts)), *make(rng.randrange(300))]) for _ in range(80)]
+    idf = np.array([rng.uniform(0.05, 8) for _ in range(D.BUCKETS)])
+    basis = np.linalg.qr(np.random.default_rng(5).normal(size=(D.BUCKETS, D.RANK)))[0]
+    weighted = D.Weighted(np.vstack([idf[:, None] * basis, np.zeros(D.RANK)]).astype(np.float32), np.append(idf * idf, 0.0))
+    items = D._items([Row(item=k, text=" ".join(x)) for k, x in enumerate(texts)], weighted, D.PARAPHRASE_SHARE)
+    peaks = D._peaks
+
+    def kept(row, item, start, cosine, half):
+        near.update(zip(row.tolist(), item.tolist(), start.tolist()))
+        return peaks(row, item, start, cosine, half)
+
+    monkeypatch.setattr(D, "_peaks", kept)
+    D._found(pa.array(docs), items, weighted, (D.LEAST_COSINE, D.LCS_SHARE, D.PARAPHRASE_SHARE))
+    sure, maybe = set(), set()
+    for k, doc in enumerate(docs):
+        own = D.bucketed(pa.array([doc]))[1]
+        for piece, size in enumerate(items.size.tolist()):
+            least = D.PIECE_COSINE if items.length[items.of[piece]] > D.SHORT else D.LEAST_COSINE
+            for start in range(0, len(own), D.STEP * D.STRIDES[size]):
+                some = own[start : start + D.STEP * D.WINDOWS[size]]
+                vector = weighted.projection[some].sum(0, dtype=np.float64)
+                cosine = vector @ items.vectors[piece] / np.sqrt(max(weighted.square[some].sum(), vector @ vector))
+                for margin, found in ((1e-5, sure), (-1e-5, maybe)):
+                    if cosine >= least + margin:
+                        found.add((k, piece, start))
+    assert len(sure) > 200 and sure <= near <= maybe
